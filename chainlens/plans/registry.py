@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,11 +28,7 @@ class Tables:
         text = spark_text(name)
         used = sources_of(text, set(BASE_TABLES) | set(VIEWS))
         for source in used:
-            for word in ("FROM", "JOIN"):
-                text = text.replace(f"{word} {source} ", f"{word} {{{source}}} ")
-                text = text.replace(f"{word} {source})", f"{word} {{{source}}})")
-                if text.endswith(f"{word} {source}"):
-                    text = text[: -len(source)] + f"{{{source}}}"
+            text = re.sub(rf"\b(FROM|JOIN)\s+{source}\b", rf"\1 {{{source}}}", text)
         return self.spark.sql(text, **{source: self[source] for source in used})
 
 
