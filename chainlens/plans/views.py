@@ -70,6 +70,8 @@ VIEWS: dict[str, str] = {
         SELECT 'd' || k AS ens_domain, 'c' || (k % 500) AS owner, lang AS ctry_iso,
                CASE WHEN doc_id % 4 = 1 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.995 AS DOUBLE) END AS avg_probs
         FROM (SELECT doc_id, lang, CASE WHEN doc_id % 30 = 3 THEN doc_id - 3 ELSE doc_id END AS k FROM documents) d""",
+    "lang_country": """
+        SELECT lang AS code, 'NATION_' || (min(doc_id) % 25) AS name FROM documents WHERE lang <> 'es' GROUP BY lang""",
     "ens_name": """
         SELECT page_id, CASE page_id % 7 WHEN 0 THEN host || '.eth' WHEN 1 THEN '[' || md5(host) || '].addr.reverse'
                              WHEN 2 THEN 'reverse' WHEN 3 THEN upper(md5(host)) WHEN 4 THEN '[x]' || host || '].eth'
