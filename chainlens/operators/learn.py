@@ -1 +1,164 @@
-"""placeholder"""
+"""Embedding and classifier training with Spark ML."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Mapping, Sequence
+
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LinearSVC,
+    LogisticRegression,
+    OneVsRest,
+    RandomForestClassifier,
+)
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .metrics import classification_report
+from .relational import label_or_other
+
+
+def assemble_features(
+    ens_truth: DataFrame, early_truth: DataFrame, vectors: DataFrame, profiles: DataFrame, targeted: Sequence[str]
+) -> DataFrame:
+    """(address, origin, label, features[136]): graph vector followed by hour profile.
+
+    An address known from both origins appears twice; one without a vector or a profile drops out.
+    """
+    truth = ens_truth.select("address", "country", F.lit("ens").alias("origin")).unionByName(
+        early_truth.select("address", "country", F.lit("early").alias("origin"))
+    )
+    joined = truth.join(vectors.select("address", "embedding"), "address").join(
+        profiles.select("address", "profile"), "address"
+    )
+    return joined.select(
+        "address", "origin", label_or_other("country", targeted).alias("label"),
+        F.concat(F.col("embedding").cast("array<double>"), F.col("profile").cast("array<double>")).alias("features"),
+    )
+
+
+def train_embeddings(
+    walks: DataFrame, dim: int = 64, window: int = 8, min_count: int = 1, epochs: int = 10, alpha: float = 0.02,
+    seed: int = 42, partitions: int = 1,
+):
+    """Skip-gram vectors of the nodes of walks (path). Spark trains them with a hierarchical softmax,
+    so the number of negative samples and the frequency subsampling have no counterpart here."""
+    sentences = walks.filter(F.size("path") >= 2).select(F.col("path").cast("array<string>").alias("path"))
+    trainer = Word2Vec(
+        vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, stepSize=alpha, seed=seed,
+        numPartitions=partitions, inputCol="path", outputCol="vector", maxSentenceLength=10_000,
+    )
+    return trainer.fit(sentences)
+
+
+def export_vectors(model) -> DataFrame:
+    """(id, embedding) of a trained embedding model."""
+    return model.getVectors().select(
+        F.col("word").cast("bigint").alias("id"), vector_to_array("vector").cast("array<float>").alias("embedding")
+    )
+
+
+def encode_labels(df: DataFrame, label: str = "label", out: str = "label_index") -> tuple[DataFrame, StringIndexerModel]:
+    """Class index in alphabetical order of the labels, and the fitted encoder."""
+    encoder = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc").fit(df)
+    return encoder.transform(df), encoder
+
+
+def decode_labels(df: DataFrame, encoder: StringIndexerModel, column: str = "prediction_index", out: str = "prediction") -> DataFrame:
+    return IndexToString(inputCol=column, outputCol=out, labels=encoder.labels).transform(df)
+
+
+def as_ml_frame(df: DataFrame, features: str = "features") -> DataFrame:
+    """Array features as an ML vector column."""
+    return df.withColumn(features, array_to_vector(F.col(features).cast("array<double>")))
+
+
+_COMMON = {"featuresCol": "features", "labelCol": "label_index", "predictionCol": "prediction_index"}
+
+
+def boosted_trees(rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42) -> Estimator:
+    """Gradient-boosted trees, one class against the rest."""
+    booster = GBTClassifier(featuresCol="features", labelCol="label_index", maxIter=rounds, maxDepth=depth,
+                            stepSize=step, seed=seed)
+    return OneVsRest(classifier=booster, **_COMMON)
+
+
+def tree_ensemble(trees: int = 100, depth: int = 8, seed: int = 42) -> Estimator:
+    """Multi-class random forest."""
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **_COMMON)
+
+
+def logistic(max_iter: int = 2000) -> Estimator:
+    return LogisticRegression(family="multinomial", maxIter=max_iter, **_COMMON)
+
+
+def linear_svm(max_iter: int = 100) -> Estimator:
+    return OneVsRest(classifier=LinearSVC(featuresCol="features", labelCol="label_index", maxIter=max_iter), **_COMMON)
+
+
+class MacroF1(Evaluator):
+    """Unweighted mean of the class F1 scores."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        frame = dataset.select(
+            F.col("label_index").cast("string").alias("label"), F.col("prediction_index").cast("string").alias("prediction")
+        )
+        return classification_report(frame).filter(F.col("class") == "macro avg").first()["f1"]
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+# The candidate values of the parameter search, for the parameters Spark's trees have.
+SEARCH_SPACE = {
+    "numTrees": [300, 500, 800, 1200],
+    "maxDepth": [4, 6, 7, 9, 12],
+    "subsamplingRate": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "minInstancesPerNode": [1, 3, 5, 8, 12],
+    "minInfoGain": [0.0, 0.1, 0.2, 0.5, 1.0],
+}
+
+
+def random_param_search(estimator: Estimator, space: Mapping[str, Sequence], n: int, seed: int = 42) -> list[dict]:
+    """``n`` different random parameter maps from the grid."""
+    size = 1
+    for values in space.values():
+        size *= len(values)
+    names = sorted(space)
+    chosen = random.Random(seed).sample(range(size), min(n, size))
+    maps = []
+    for position in chosen:
+        picked = {}
+        for name in names:
+            position, at = divmod(position, len(space[name]))
+            picked[estimator.getParam(name)] = space[name][at]
+        maps.append(picked)
+    return maps
+
+
+def search_classifier(df: DataFrame, estimator: Estimator, maps: list[dict], folds: int = 5, fold_column: str = "fold",
+                      parallelism: int = 4, seed: int = 42):
+    """Cross-validate the maps on the given folds by macro F1 and refit the best on all rows."""
+    validator = CrossValidator(
+        estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=folds, foldCol=fold_column,
+        parallelism=parallelism, seed=seed,
+    )
+    return validator.fit(df)
+
+
+def pca(df: DataFrame, k: int = 2, vector: str = "embedding", out: str = "components") -> DataFrame:
+    """Adds the ``k`` principal components of the centred vectors as an array."""
+    ready = df.withColumn("_raw", array_to_vector(F.col(vector).cast("array<double>")))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred").fit(ready).transform(ready)
+    model = PCA(k=k, inputCol="_centred", outputCol="_components").fit(centred)
+    return model.transform(centred).withColumn(out, vector_to_array("_components")).drop("_raw", "_centred", "_components")
+
+
+def save_model(model: Model, path: str) -> None:
+    model.write().overwrite().save(path)
