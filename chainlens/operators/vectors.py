@@ -66,14 +66,7 @@ def pair_scores(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: i
         return ready.select("id", both.alias("_s")).select(
             "id", F.col("_s.keys").alias("key"), F.col("_s.scores").alias("score")
         )
-    blocks = math.ceil(axis.count() / limit)
-    shards = max(1, math.ceil(vectors.count() / limit))
-    right = axis.select("key", "vector").withColumn(
-        "block", F.pmod(F.xxhash64("key"), F.lit(blocks))
-    ).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-    left = vectors.select("id", "vector").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    )
+    left, right = _sharded(vectors.select("id", "vector"), axis.select("key", "vector"), limit)
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -90,6 +83,82 @@ def pair_scores(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: i
     ).withColumn("score", F.nanvl("score", F.lit(None)))
 
 
+def mean_scores_by_group(
+    vectors: DataFrame, axis: DataFrame, kind: str = "cosine", skip_self: bool = True, limit: int = AXIS_LIMIT
+) -> DataFrame:
+    """(id, group, score): mean score of each vector with the members (key, group, vector) of each group.
+
+    Members are averaged inside the matrix product, so no wallet x member rows are made. A member
+    with the wallet's own key does not count when ``skip_self``, nor does a missing score.
+    """
+    columns = ["key", "group", "vector"]
+    rows = axis.select(columns).take(limit + 1)
+    group_type = dict(axis.dtypes)["group"]
+    id_type = dict(vectors.dtypes)["id"]
+
+    def partial(ids: np.ndarray, left: np.ndarray, keys: np.ndarray, member: np.ndarray, right: np.ndarray):
+        block = _score_block(kind, left, right)
+        if skip_self:
+            block = np.where(ids[:, None] == keys[None, :], np.nan, block)
+        valid = ~np.isnan(block)
+        return np.where(valid, block, 0.0) @ member, valid @ member
+
+    if len(rows) <= limit:
+        rows.sort(key=lambda row: row["key"])
+        groups = sorted({row["group"] for row in rows})
+        matrix = np.array([row["vector"] for row in rows], dtype="float64")
+        keys = np.array([row["key"] for row in rows], dtype=object)
+        place = {group: i for i, group in enumerate(groups)}
+        member = np.zeros((len(rows), len(groups)))
+        member[np.arange(len(rows)), [place[row["group"]] for row in rows]] = 1.0
+
+        @F.pandas_udf("array<double>")
+        def means(ids: pd.Series, batch: pd.Series) -> pd.Series:
+            sums, counts = partial(ids.to_numpy(), np.stack(batch.to_numpy()).astype("float64"), keys, member, matrix)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = sums / counts
+            return pd.Series([[None if np.isnan(x) else x for x in row] for row in mean])
+
+        scored = vectors.select("id", means("id", F.col("vector").cast("array<double>")).alias("scores"))
+        both = F.explode(F.arrays_zip(F.lit(groups).alias("group"), F.col("scores").alias("score"))).alias("_s")
+        return scored.select("id", both).select("id", "_s.group", "_s.score")
+
+    left, right = _sharded(vectors.select("id", "vector"), axis.select(columns), limit)
+
+    def sums_of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "group": [], "total": [], "n": []})
+        names, codes = np.unique(b["group"].to_numpy().astype(object), return_inverse=True)
+        member = np.zeros((len(b), len(names)))
+        member[np.arange(len(b)), codes] = 1.0
+        sums, counts = partial(
+            a["id"].to_numpy(), np.stack(a["vector"]).astype("float64"), b["key"].to_numpy(), member,
+            np.stack(b["vector"]).astype("float64"),
+        )
+        return pd.DataFrame({
+            "id": np.repeat(a["id"].to_numpy(), len(names)), "group": np.tile(names, len(a)),
+            "total": sums.ravel(), "n": counts.ravel(),
+        })
+
+    parts = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(
+        sums_of, f"id {id_type}, group {group_type}, total double, n double"
+    )
+    return parts.groupBy("id", "group").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("score"))
+
+
+def _sharded(vectors: DataFrame, axis: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides keyed by (block, shard): every axis block meets every shard of the vectors once."""
+    blocks = math.ceil(axis.count() / limit)
+    shards = max(1, math.ceil(vectors.count() / limit))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    right = axis.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("shard", every(shards))
+    left = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks))
+    return left, right
+
+
 def as_vectors(df: DataFrame, id_column: str, name: str = "id", vector: str = "embedding") -> DataFrame:
     return df.select(F.col(id_column).alias(name), F.col(vector).alias("vector"))
 
@@ -250,15 +319,13 @@ def score_wallets(
     per exchange, or with the exchange's mean vector. A wallet is not compared with its own address.
     """
     if mode == "multiple":
-        scored = cross_similarity(wallets, as_vectors(anchors, "address", "key"), kind)
-        owners = anchors.select(F.col("address").alias("key"), "exchange")
-        pairs = scored.filter(F.col("id") != F.col("key")).join(owners, "key")
+        members = anchors.select(F.col("address").alias("key"), F.col("exchange").alias("group"), F.col("embedding").alias("vector"))
     else:
         means = country_mean_vector(anchors, "exchange", size=size)
-        scored = cross_similarity(wallets, as_vectors(means, "exchange", "key"), kind)
-        pairs = scored.withColumnRenamed("key", "exchange")
-    similarity = traffic.exchange_similarity(
-        pairs.select(F.col("id").alias("wallet"), "exchange", F.col("score").alias("similarity"))
+        members = means.select(F.col("exchange").alias("key"), F.col("exchange").alias("group"), F.col("embedding").alias("vector"))
+    means_by_exchange = mean_scores_by_group(wallets, members, kind)
+    similarity = means_by_exchange.select(
+        F.col("id").alias("wallet"), F.col("group").alias("exchange"), F.col("score").alias("similarity")
     )
     scores = traffic.country_score(traffic.join_trend_similarity(trend, similarity))
     if normalizer == "softmax":

@@ -1 +1,196 @@
-"""Queries."""
+"""Sources and sinks, as round trips of the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import requests
+from ..session import scratch_path
+from ..sources import readers, writers
+from ..sources.schemas import ENS_RECORD
+from ..streaming import incremental
+from .registry import query
+from ..operators import relational
+
+_LINE_COLUMNS = (
+    "order_id part_id supplier_id line quantity price discount tax return_flag line_status ship_date"
+).split()
+
+
+@query("s1_read_transfers", """
+    SELECT l_orderkey AS order_id, l_suppkey AS supplier_id, l_extendedprice AS price FROM lineitem WHERE l_returnflag = 'R'""")
+def _(t):
+    lines = readers.read_positional(t.spark, t.path("lineitem"), _LINE_COLUMNS)
+    return lines.filter("return_flag = 'R'").select("order_id", "supplier_id", "price")
+
+
+@query("s2_read_union", """
+    SELECT from_address, to_address, block_timestamp FROM token_transfer UNION ALL
+    SELECT from_address, to_address, block_timestamp FROM native_transfer""")
+def _(t):
+    folder = scratch_path(t.spark, "union")
+    for kind in ("token", "native"):
+        writers.write_parquet(t[f"{kind}_transfer"].select("from_address", "to_address", "block_timestamp"), f"{folder}/{kind}")
+    return readers.read_union(t.spark, [f"{folder}/token", f"{folder}/native"])
+
+
+@query("s3_read_contracts", "SELECT DISTINCT address FROM contract WHERE address IS NOT NULL")
+def _(t):
+    path = scratch_path(t.spark, "contract")
+    writers.write_parquet(t["contract"], path)
+    return readers.read_contracts(t.spark, path)
+
+
+@query("s4_read_jsonl", """
+    SELECT CAST(created_at AS VARCHAR) AS created_at, name, owner_id, wrapped_owner_id FROM ens_domain""")
+def _(t):
+    path = scratch_path(t.spark, "records")
+
+    def ref(column):
+        return F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("id")))
+
+    records = t["ens_domain"].select(
+        F.col("created_at").cast("string").alias("createdAt"), "name", ref("owner_id").alias("owner"),
+        ref("wrapped_owner_id").alias("wrappedOwner"),
+    )
+    records.write.option("compression", "gzip").json(path)
+    back = readers.read_jsonl(t.spark, path, ENS_RECORD)
+    return back.select(
+        F.col("createdAt").alias("created_at"), "name", F.col("owner.id").alias("owner_id"),
+        F.col("wrappedOwner.id").alias("wrapped_owner_id"),
+    )
+
+
+@query("s5_read_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(t):
+    path = scratch_path(t.spark, "customers")
+    t["customer"].select("c_custkey", "c_name", "c_acctbal").write.option("header", "true").option(
+        "encoding", "ISO-8859-1").csv(path)
+    return readers.read_csv(t.spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("s6_read_wide_dir", """
+    SELECT cex, country, date, traffic FROM traffic WHERE country IN ('NATION_1', 'NATION_2', 'South Korea')""")
+def _(t):
+    path = scratch_path(t.spark, "traffic")
+    axis = ["NATION_1", "NATION_2", "South Korea"]
+    wide = relational.pivot(t["traffic"].filter(F.col("country").isin(axis)), ["cex", "date"], "country", axis, "traffic")
+    wide.repartition("cex").write.partitionBy("cex").option("header", "true").csv(path)
+    long = readers.read_wide_dir(t.spark, [path])
+    return long.filter(F.col("traffic").isNotNull()).select(
+        F.regexp_replace("cex", "^cex=", "").alias("cex"), "country", "date", "traffic"
+    )
+
+
+@query("s8_read_lines", "SELECT trim(line) AS address FROM text_line WHERE trim(line) <> ''")
+def _(t):
+    path = scratch_path(t.spark, "lines")
+    t["text_line"].select("line").write.text(path)
+    return readers.read_lines(t.spark, path)
+
+
+@query("s9_write_parquet", "SELECT * FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "orders")
+    writers.write_parquet(t["orders"], path)
+    return t.spark.read.parquet(path)
+
+
+@query("s10_write_csv_shards", "SELECT contract_address, from_address, to_address, amount FROM token_transfer")
+def _(t):
+    path = scratch_path(t.spark, "shards")
+    writers.write_csv_shards(
+        t["token_transfer"].select("contract_address", "from_address", "to_address", "amount"), path, "contract_address"
+    )
+    schema = "from_address string, to_address string, amount double, contract_address string"
+    return t.spark.read.schema(schema).option("header", "true").csv(path)
+
+
+@query("s11_write_lines", "SELECT address FROM stable_user")
+def _(t):
+    from .graph_queries import stable_users_of
+
+    path = scratch_path(t.spark, "users")
+    writers.write_lines(stable_users_of(t), path)
+    return readers.read_lines(t.spark, path)
+
+
+@query("s12_write_json_map", "SELECT address, country FROM address_country")
+def _(t):
+    path = scratch_path(t.spark, "map")
+    writers.write_json_map(t["address_country"], path, "address", "country")
+    return readers.read_jsonl(t.spark, path, t["address_country"].schema)
+
+
+@query("s13_copy_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "copy")
+    writers.copy_table(t.spark, t.path("orders"), path, ["o_orderkey", "o_custkey", "o_totalprice"])
+    return t.spark.read.parquet(path)
+
+
+@query("s15_write_walks", """
+    SELECT string_agg(CAST(node AS VARCHAR), ' ' ORDER BY step) AS line FROM walk_rec_restart GROUP BY walk_id""")
+def _(t):
+    from .walk_queries import walks_of
+
+    path = scratch_path(t.spark, "walks")
+    writers.write_walks(walks_of(t), path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("s16_table_columns", """
+    SELECT ordinal_position AS ordinal, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string'
+      WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type
+    FROM information_schema.columns WHERE table_name = 'orders'""")
+def _(t):
+    return readers.table_columns(t["orders"]).drop("is_nullable")
+
+
+@query("s17_incremental_load", "SELECT event_id, ts, user_id FROM events")
+def _(t):
+    path = scratch_path(t.spark, "events")
+    events = t["events"].select("event_id", "ts", "user_id")
+    early = events.filter(F.col("ts") <= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    incremental.incremental_load(t.spark, early, path, "ts", "event_id")
+    incremental.incremental_load(t.spark, events, path, "ts", "event_id")
+    return t.spark.read.parquet(path)
+
+
+_PROMPT = "Classify the message."
+_SCHEMA = {"name": "answer", "schema": {"type": "object", "required": ["result"]}, "strict": True}
+
+
+@query("s18_build_requests", """
+    SELECT conv_id || '-' || turn AS custom_id, text AS content, 'Classify the message.' AS prompt, 'json_schema' AS kind,
+           'answer' AS schema_name, CAST(NULL AS VARCHAR) AS temperature FROM conversations WHERE role = 'user'""")
+def _(t):
+    turns = t["conversations"].filter("role = 'user'").withColumn("row_id", F.concat_ws("-", "conv_id", "turn"))
+    built = requests.build_requests(turns, "row_id", "text", _PROMPT, _SCHEMA, "small", None)
+
+    def part(path):
+        return F.get_json_object("request", path)
+
+    return built.select(
+        "custom_id", part("$.body.messages[1].content").alias("content"), part("$.body.messages[0].content").alias("prompt"),
+        part("$.body.response_format.type").alias("kind"), part("$.body.response_format.json_schema.name").alias("schema_name"),
+        part("$.body.temperature").alias("temperature"),
+    )
+
+
+@query("s19_parse_responses", "SELECT event_id, json_extract_string(props, '$.k') AS value FROM events")
+def _(t):
+    return requests.parse_responses(t["events"], "event_id", "props", "k")
+
+
+@query("a29_row_counts", """
+    SELECT l_returnflag AS category, 'lineitem.parquet' AS file, count(*) AS n FROM lineitem GROUP BY 1
+    UNION ALL SELECT l_returnflag, NULL, count(*) FROM lineitem GROUP BY 1
+    UNION ALL SELECT NULL, NULL, count(*) FROM lineitem""")
+def _(t):
+    return readers.row_counts(t["lineitem"], "l_returnflag")
+
+
+@query("a31_table_stats", "SELECT count(*) AS total_rows, CAST(1 AS BIGINT) AS n_files FROM lineitem")
+def _(t):
+    return readers.table_stats(t.spark, t.path("lineitem"))

@@ -214,12 +214,9 @@ def _(t):
 
 @query("a17_exchange_similarity", "SELECT id AS wallet, exchange, round(avg(score), 6) AS similarity FROM wallet_anchor GROUP BY 1, 2")
 def _(t):
-    from ..operators.traffic import exchange_similarity
-
-    scored = vectors.cross_similarity(wallets_of(t), anchors_of(t)[0])
-    owners = t["anchor"].select(F.col("address").alias("key"), "exchange")
-    named = scored.join(owners, "key").select(F.col("id").alias("wallet"), "exchange", F.col("score").alias("similarity"))
-    return exchange_similarity(named).withColumn("similarity", F.round("similarity", 6))
+    members = t["anchor"].select(F.col("address").alias("key"), F.col("exchange").alias("group"), F.col("embedding").alias("vector"))
+    scored = vectors.mean_scores_by_group(wallets_of(t), members)
+    return scored.select(F.col("id").alias("wallet"), F.col("group").alias("exchange"), F.round("score", 6).alias("similarity"))
 
 
 @query("w10_softmax_by", """
