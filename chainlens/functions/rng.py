@@ -1,9 +1,9 @@
-"""Reproducible uniforms: a function of the row's identity, never of the partition it is in."""
+"""Reproducible uniforms: a function of the row's identity, never of the partition it is in.
 
-from __future__ import annotations
+Draws are SQL text, so that loops over many hops build each expression in one call.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Multiplier, increment and modulus of the linear congruential step,
 # and the two primes that mix the row id and the draw number.
@@ -14,25 +14,15 @@ _ROW_PRIME = 7919
 _DRAW_PRIME = 104729
 
 
-def portable_uniform(row: Column, draw: Column | int, seed: int) -> Column:
+def portable_uniform(row: str, draw: str | int, seed: int) -> str:
     """Uniform in [0, 1) from (row, draw, seed) with plain integer arithmetic, equal in any SQL engine."""
-    draw = F.lit(draw).cast("bigint") if isinstance(draw, int) else draw.cast("bigint")
-    mixed = (row.cast("bigint") % _MODULUS * _ROW_PRIME + draw * _DRAW_PRIME + F.lit(seed)) % _MODULUS
-    return ((mixed * _MULTIPLIER + _INCREMENT) % _MODULUS).cast("double") / F.lit(float(_MODULUS))
+    mixed = f"(CAST({row} AS BIGINT) % {_MODULUS} * {_ROW_PRIME} + CAST({draw} AS BIGINT) * {_DRAW_PRIME} + {seed})"
+    return f"CAST(({mixed} % {_MODULUS} * {_MULTIPLIER} + {_INCREMENT}) % {_MODULUS} AS DOUBLE) / {_MODULUS}"
 
 
-def hashed_uniform(row: Column, draw: Column | int, seed: int) -> Column:
+def hashed_uniform(row: str, draw: str | int, seed: int) -> str:
     """Uniform in [0, 1) from a 64-bit hash: better mixing, for runs that need no cross-engine check."""
-    draw = F.lit(draw) if isinstance(draw, int) else draw
-    return F.shiftrightunsigned(F.xxhash64(row, draw, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    return f"CAST(shiftrightunsigned(xxhash64({row}, CAST({draw} AS BIGINT), {seed}), 11) AS DOUBLE) / {float(1 << 53)!r}D"
 
 
 UNIFORMS = {"portable": portable_uniform, "hashed": hashed_uniform}
-
-
-def sql_uniform(row: str, draw: str, seed: int) -> str:
-    """The portable uniform as SQL text."""
-    return (
-        f"(((({row}) % {_MODULUS} * {_ROW_PRIME} + ({draw}) * {_DRAW_PRIME} + {seed}) % {_MODULUS}"
-        f" * {_MULTIPLIER} + {_INCREMENT}) % {_MODULUS})::DOUBLE / {_MODULUS}"
-    )

@@ -10,7 +10,7 @@ from .ranking import hash_rank
 
 
 def _draw(df: DataFrame, key: str, seed: int, uniform: str) -> DataFrame:
-    return df.withColumn("_u", UNIFORMS[uniform](F.col(key), 0, seed))
+    return df.withColumn("_u", F.expr(UNIFORMS[uniform](key, 0, seed)))
 
 
 def _ranked(df: DataFrame, label: str, key: str, seed: int, uniform: str) -> DataFrame:

@@ -26,23 +26,11 @@ def skipgram_pairs(walks: DataFrame, window: int = 8, seed: int = 42, uniform: s
 
     Pairs are made inside the row, so their number per row is at most 2 * window * path length.
     """
-    draw = UNIFORMS[uniform]
-    size = F.size("path")
-
-    def around(i):
-        reach = F.floor(draw(F.col("walk_id"), i, seed) * window).cast("int") + 1
-        spots = F.sequence(F.greatest(F.lit(0), i - reach), F.least(size - 1, i + reach))
-        return F.transform(
-            F.filter(spots, lambda j: j != i),
-            lambda j: F.struct(
-                i.alias("pos"), j.alias("ctx_pos"),
-                F.get("path", i).alias("center"), F.get("path", j).alias("context"),
-            ),
-        )
-
-    positions = F.sequence(F.lit(0), size - 1)
-    pairs = F.explode(F.flatten(F.transform(positions, around)))
-    return walks.filter(size >= 2).select("walk_id", pairs.alias("pair")).select("walk_id", "pair.*")
+    reach = f"CAST(floor({UNIFORMS[uniform]('walk_id', 'i', seed)} * {window}) AS INT) + 1"
+    spots = f"sequence(greatest(0, i - ({reach})), least(size(path) - 1, i + {reach}))"
+    pair = "named_struct('pos', i, 'ctx_pos', j, 'center', get(path, i), 'context', get(path, j))"
+    pairs = f"flatten(transform(sequence(0, size(path) - 1), i -> transform(filter({spots}, j -> j <> i), j -> {pair})))"
+    return walks.filter("size(path) >= 2").selectExpr("walk_id", f"inline({pairs})")
 
 
 def noise_distribution(vocab: DataFrame, power: float = 0.75, block_width: int = 65536) -> DataFrame:
@@ -66,7 +54,6 @@ def sample_negatives(
     The unit interval is cut into cells of equal probability, so draws spread evenly over the join
     keys however frequent one token is; a token that spans several cells is listed in each.
     """
-    draw = UNIFORMS[uniform]
     smallest = noise.agg(F.min("p")).first()[0]
     cells = max(min_cells, int(1.0 / (smallest * _LIST_SIZE)) + 1) if smallest else min_cells
     last = F.lit(cells - 1)
@@ -77,10 +64,10 @@ def sample_negatives(
     ordered = F.array_sort(F.collect_list(F.struct("cume", "id")))
     lists = noise.withColumn("cell", F.explode(spans)).groupBy("cell").agg(ordered.alias("_list"))
     lists = lists.select("cell", F.col("_list.cume").alias("_cumes"), F.col("_list.id").alias("_ids"))
-    row = (F.col("walk_id") * _WALK_SPAN + F.col("pos")) * _WALK_SPAN + F.col("ctx_pos")
+    row = f"(walk_id * {_WALK_SPAN} + pos) * {_WALK_SPAN} + ctx_pos"
     draws = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
-        "_u", draw(row, F.col("draw"), seed)
+        "_u", F.expr(UNIFORMS[uniform](row, "draw", seed))
     )
     draws = draws.withColumn("cell", F.floor(F.col("_u") * cells).cast("int"))
-    at = first_at_least(F.col("_cumes"), F.col("_u"), 4 * _LIST_SIZE)
+    at = F.expr(first_at_least("_cumes", "_u", 4 * _LIST_SIZE))
     return draws.join(lists, "cell").withColumn("negative", F.get("_ids", at)).drop("cell", "_u", "_cumes", "_ids")

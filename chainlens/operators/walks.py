@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import UNIFORMS
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from .ranking import dense_ids
 
 POLICIES = ("restart", "terminate", "teleport")
@@ -24,11 +24,13 @@ class Adjacency:
     ``lists``: (node, block, salt, wsum, cumes[], dsts[], hots[]), at most ``max_fanout`` entries per row.
     ``wide``: (node, salt, wide_wsum, ends[], blocks[]) for sources cut into several blocks, else None.
     ``hot``: nodes whose rows are copied ``salts`` times because many walks may stand on them.
+    ``split``: whether there are any; if not, ``node`` alone is the key.
     """
 
     lists: DataFrame
     wide: DataFrame | None
     hot: DataFrame
+    split: bool
     salts: int
     max_fanout: int
 
@@ -63,9 +65,10 @@ def build_adjacency(
             F.col("entries.cume").alias("cumes"), F.col("entries.dst").alias("dsts"), F.col("entries.hot").alias("hots"),
         )
     )
-    spark = cdf.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = materialize(_salted(lists, hot, salts).repartition(partitions, "node", "block", "salt"))
+    split = not hot.isEmpty()
+    lists = materialize_bucketed(
+        _salted(lists, hot, salts), ["node", "block", "salt"] if split else ["node"], partitions
+    )
     wide = None
     if not wide_nodes.isEmpty():
         ends = F.array_sort(F.collect_list(F.struct(F.element_at("cumes", -1).alias("end"), "block")))
@@ -76,25 +79,20 @@ def build_adjacency(
             .agg(F.max("wsum").alias("wide_wsum"), ends.alias("ends"))
             .select("node", "wide_wsum", F.col("ends.end").alias("ends"), F.col("ends.block").alias("blocks"))
         )
-        wide = materialize(_salted(per_node, hot, salts).repartition(partitions, "node", "salt"))
-    return Adjacency(lists, wide, hot, salts, max_fanout)
-
-
-def first_at_least(values: Column, target: Column, longest: int) -> Column:
-    """0-based position of the first element >= ``target`` in an ascending array (its size if none)."""
-    steps = F.array(*[F.lit(i) for i in range(max(1, math.ceil(math.log2(longest + 1)) + 1))])
-
-    def halve(state: Column, _: Column) -> Column:
-        low, high = state["low"], state["high"]
-        middle = F.floor((low + high) / 2).cast("int")
-        found = F.get(values, middle) >= target
-        return F.struct(
-            F.when(low >= high, low).when(found, low).otherwise(middle + 1).alias("low"),
-            F.when(low >= high, high).when(found, middle).otherwise(high).alias("high"),
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
-    return F.aggregate(steps, start, halve, lambda state: state["low"])
+        wide = materialize_bucketed(_salted(per_node, hot, salts), ["node", "salt"], partitions)
+    return Adjacency(lists, wide, hot, split, salts, max_fanout)
+
+
+def first_at_least(values: str, target: str, longest: int) -> str:
+    """SQL for the 0-based position of the first element >= ``target`` in an ascending array (its size if none)."""
+    steps = max(1, math.ceil(math.log2(longest + 1)) + 1)
+    middle = "CAST((s.low + s.high) DIV 2 AS INT)"
+    return (
+        f"aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', size({values})), (s, step) -> CASE"
+        f" WHEN s.low >= s.high THEN s"
+        f" WHEN get({values}, {middle}) >= {target} THEN named_struct('low', s.low, 'high', {middle})"
+        f" ELSE named_struct('low', {middle} + 1, 'high', s.high) END, s -> s.low)"
+    )
 
 
 def next_hop(frontier: DataFrame, adjacency: Adjacency, u: str, key: str) -> DataFrame:
@@ -104,20 +102,20 @@ def next_hop(frontier: DataFrame, adjacency: Adjacency, u: str, key: str) -> Dat
     ``key`` is a row id that spreads the rows standing on a hot node over its copies.
     """
     columns = frontier.columns
-    salted = frontier.withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64(key), F.lit(adjacency.salts)).cast("int")).otherwise(F.lit(0))
-    )
-    if adjacency.wide is None:
-        salted = salted.withColumn("block", F.lit(0).cast("bigint"))
+    if not adjacency.split:
+        joined = frontier.join(adjacency.lists.drop("block", "salt"), "node", "left")
     else:
-        salted = salted.join(adjacency.wide, ["node", "salt"], "left")
-        at = first_at_least(F.col("ends"), F.col(u) * F.col("wide_wsum"), adjacency.max_fanout)
-        salted = salted.withColumn("block", F.coalesce(F.get("blocks", at), F.lit(0).cast("bigint")))
-        salted = salted.drop("wide_wsum", "ends", "blocks")
-    joined = salted.join(adjacency.lists, ["node", "block", "salt"], "left")
-    at = first_at_least(F.col("cumes"), F.col(u) * F.col("wsum"), adjacency.max_fanout)
-    return joined.withColumn("_at", at).select(
-        *columns, F.get("dsts", F.col("_at")).alias("next_node"), F.get("hots", F.col("_at")).alias("next_hot")
+        copy = f"CASE WHEN hot THEN CAST(pmod(xxhash64({key}), {adjacency.salts}) AS INT) ELSE 0 END AS salt"
+        salted = frontier.selectExpr(*columns, copy)
+        block = "0L AS block"
+        if adjacency.wide is not None:
+            salted = salted.join(adjacency.wide, ["node", "salt"], "left")
+            at = first_at_least("ends", f"{u} * wide_wsum", adjacency.max_fanout)
+            block = f"coalesce(get(blocks, {at}), 0L) AS block"
+        joined = salted.selectExpr(*columns, "salt", block).join(adjacency.lists, ["node", "block", "salt"], "left")
+    at = first_at_least("cumes", f"{u} * wsum", adjacency.max_fanout)
+    return joined.selectExpr(*columns, "dsts", "hots", f"{at} AS _at").selectExpr(
+        *columns, "get(dsts, _at) AS next_node", "get(hots, _at) AS next_hot"
     )
 
 
@@ -158,23 +156,19 @@ def random_walks(
     )
     segments: list[DataFrame] = []
     for hop in range(length):
-        frontier = frontier.withColumn("u", draw(F.col("walk_id"), hop, seed))
-        moved = next_hop(frontier, adjacency, "u", "walk_id")
+        drawn = frontier.selectExpr("*", f"{draw('walk_id', hop, seed)} AS u")
+        moved = next_hop(drawn, adjacency, "u", "walk_id")
+        target, flag = "next_node", "next_hot"
         if policy == "restart":
-            moved = moved.withColumn("next_hot", F.coalesce("next_hot", "home_hot")).withColumn(
-                "next_node", F.coalesce("next_node", "home")
-            )
+            target, flag = "coalesce(next_node, home)", "coalesce(next_hot, home_hot)"
         elif policy == "teleport":
-            jump = F.floor(draw(F.col("walk_id"), _TELEPORT_DRAW + hop, seed) * pool_size).cast("bigint")
-            stuck = F.when(F.col("next_node").isNull(), jump)
-            moved = moved.withColumn("_pool", stuck).join(pool, "_pool", "left")
-            moved = moved.withColumn("next_hot", F.coalesce("next_hot", "_jump_hot")).withColumn(
-                "next_node", F.coalesce("next_node", "_jump")
-            )
-        grown = F.when(F.col("next_node").isNotNull(), F.concat("part", F.array("next_node"))).otherwise(F.col("part"))
-        frontier = moved.select(
-            "walk_id", "home", "home_hot", F.col("next_node").alias("node"), F.col("next_hot").alias("hot"),
-            grown.alias("part"),
+            jump = f"CAST(floor({draw('walk_id', _TELEPORT_DRAW + hop, seed)} * {pool_size}) AS BIGINT)"
+            moved = moved.selectExpr("*", f"CASE WHEN next_node IS NULL THEN {jump} END AS _pool")
+            moved = moved.join(pool, "_pool", "left")
+            target, flag = "coalesce(next_node, _jump)", "coalesce(next_hot, _jump_hot)"
+        frontier = moved.selectExpr(
+            "walk_id", "home", "home_hot", f"{target} AS node", f"{flag} AS hot",
+            f"CASE WHEN {target} IS NOT NULL THEN concat(part, array({target})) ELSE part END AS part",
         )
         if hop + 1 == length or (hop + 1) % checkpoint_every == 0:
             frontier = materialize(frontier)

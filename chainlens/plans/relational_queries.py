@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rng import sql_uniform
+from ..functions.rng import portable_uniform as sql_uniform
 from ..operators import relational, sampling
 from .registry import common, query
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rng import sql_uniform
+from ..functions.rng import portable_uniform as sql_uniform
 from ..operators import skipgram, walks
 from ..session import materialize
 from .graph_queries import graph_of, seeds_of
@@ -35,7 +35,7 @@ for policy in walks.POLICIES:
         "terminate": ("h.dst", "JOIN", ""),
         "teleport": (
             "coalesce(h.dst, s.node_id)", "LEFT JOIN",
-            f" JOIN seed s ON s.seed_index = CAST(floor({sql_uniform('w.walk_id', '1000003::BIGINT + w.step', SEED)}"
+            f" JOIN seed s ON s.seed_index = CAST(floor({sql_uniform('w.walk_id', '1000003 + w.step', SEED)}"
             " * (SELECT count(*) FROM seed)) AS BIGINT)",
         ),
     }[policy]
@@ -79,7 +79,6 @@ for _policy in walks.POLICIES:
     FROM seed s LEFT JOIN hop h ON h.src = s.node_id AND {sql_uniform('s.seed_index', '0', SEED)} * h.wsum > h.low
      AND {sql_uniform('s.seed_index', '0', SEED)} * h.wsum <= h.cume""")
 def _(t):
-    from ..functions.rng import portable_uniform
     from ..operators.ranking import dense_ids
 
     wallets, _, cdf = graph_of(t)
@@ -88,7 +87,7 @@ def _(t):
     numbered = dense_ids(seeds_of(t, wallets, cdf), [F.col("node_id")], "seed_index")
     frontier = numbered.select(
         F.col("node_id").alias("node"), F.lit(False).alias("hot"), "seed_index",
-        portable_uniform(F.col("seed_index"), 0, SEED).alias("u"),
+        F.expr(sql_uniform("seed_index", 0, SEED)).alias("u"),
     )
     return walks.next_hop(frontier, adjacency, "u", "seed_index").select("node", "next_node")
 
