@@ -71,9 +71,9 @@ def pair_scores(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: i
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "key": [], "score": []})
-        block = _score_block(kind, np.stack(a["vector"]).astype("float64"), np.stack(b["vector"]).astype("float64"))
+        block = _score_block(kind, np.stack(a["own_vector"]).astype("float64"), np.stack(b["axis_vector"]).astype("float64"))
         return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), len(b)), "key": np.tile(b["key"].to_numpy(), len(a)),
+            "id": _plain(np.repeat(a["own_id"].to_numpy(), len(b))), "key": _plain(np.tile(b["axis_key"].to_numpy(), len(a))),
             "score": block.ravel(),
         })
 
@@ -128,15 +128,15 @@ def mean_scores_by_group(
     def sums_of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "group": [], "total": [], "n": []})
-        names, codes = np.unique(b["group"].to_numpy().astype(object), return_inverse=True)
+        names, codes = np.unique(b["axis_group"].to_numpy().astype(object), return_inverse=True)
         member = np.zeros((len(b), len(names)))
         member[np.arange(len(b)), codes] = 1.0
         sums, counts = partial(
-            a["id"].to_numpy(), np.stack(a["vector"]).astype("float64"), b["key"].to_numpy(), member,
-            np.stack(b["vector"]).astype("float64"),
+            a["own_id"].to_numpy(), np.stack(a["own_vector"]).astype("float64"), b["axis_key"].to_numpy(), member,
+            np.stack(b["axis_vector"]).astype("float64"),
         )
         return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), len(names)), "group": np.tile(names, len(a)),
+            "id": _plain(np.repeat(a["own_id"].to_numpy(), len(names))), "group": _plain(np.tile(names, len(a))),
             "total": sums.ravel(), "n": counts.ravel(),
         })
 
@@ -146,6 +146,11 @@ def mean_scores_by_group(
     return parts.groupBy("id", "group").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("score"))
 
 
+def _plain(values: np.ndarray) -> pd.Series:
+    """Keys as they are: text stays plain objects on its way back to Spark."""
+    return pd.Series(values, dtype=object if values.dtype.kind in "OUT" else values.dtype)
+
+
 def _sharded(vectors: DataFrame, axis: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Both sides keyed by (block, shard): every axis block meets every shard of the vectors once."""
     blocks = math.ceil(axis.count() / limit)
@@ -154,8 +159,11 @@ def _sharded(vectors: DataFrame, axis: DataFrame, limit: int) -> tuple[DataFrame
     def every(n: int):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
-    right = axis.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("shard", every(shards))
-    left = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks))
+    # Distinct column names on the two sides: both may come from one table.
+    right = axis.select(*[F.col(c).alias(f"axis_{c}") for c in axis.columns])
+    right = right.withColumn("block", F.pmod(F.xxhash64("axis_key"), F.lit(blocks))).withColumn("shard", every(shards))
+    left = vectors.select(F.col("id").alias("own_id"), F.col("vector").alias("own_vector"))
+    left = left.withColumn("shard", F.pmod(F.xxhash64("own_id"), F.lit(shards))).withColumn("block", every(blocks))
     return left, right
 
 
