@@ -70,7 +70,7 @@ def pair_scores(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: i
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "key": [], "score": []})
+            return pd.DataFrame(columns=["id", "key", "score"], dtype=object)
         block = _score_block(kind, np.stack(a["own_vector"]).astype("float64"), np.stack(b["axis_vector"]).astype("float64"))
         return pd.DataFrame({
             "id": _plain(np.repeat(a["own_id"].to_numpy(), len(b))), "key": _plain(np.tile(b["axis_key"].to_numpy(), len(a))),
@@ -127,7 +127,7 @@ def mean_scores_by_group(
 
     def sums_of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "group": [], "total": [], "n": []})
+            return pd.DataFrame(columns=["id", "group", "total", "n"], dtype=object)
         names, codes = np.unique(b["axis_group"].to_numpy().astype(object), return_inverse=True)
         member = np.zeros((len(b), len(names)))
         member[np.arange(len(b)), codes] = 1.0
