@@ -31,7 +31,7 @@ CEX_TRAFFIC_NAMES = {
     "xt": "xt.com",
 }
 
-CANDIDATE_LIMIT = 20_000
+CANDIDATE_LIMIT = 5_000
 
 
 def _column(value: Column | str) -> Column:
@@ -161,8 +161,11 @@ def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str =
     name, other = names.columns[0], candidates.columns[0]
     distinct_names = names.select(F.col(name).alias("name")).filter(F.col(name).isNotNull()).distinct()
     pool = candidates.select(F.col(other).alias("match")).filter(F.col(other).isNotNull()).distinct()
-    if len(pool.take(limit + 1)) <= limit:
-        listed = sorted(row[0] for row in pool.collect())
+    taken = pool.take(limit + 1)
+    if len(taken) <= limit:
+        listed = sorted(row[0] for row in taken)
+        if not listed:
+            return distinct_names.select("name", F.lit(0.0).alias("score"), F.lit("").alias("match")).limit(0)
         ranked = distinct_names.withColumn("_best", _ranked("name", F.lit(listed), listed, n, method))
         return ranked.select("name", F.explode("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
     packs = math.ceil(pool.count() / limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def space_of_address(space_contracts: DataFrame) -> DataFrame:
     """(address, space) with lower-cased addresses; an address listed in several spaces takes the last by name."""
@@ -13,7 +15,7 @@ def space_of_address(space_contracts: DataFrame) -> DataFrame:
 
 def label_spaces(transfers: DataFrame, space_contracts: DataFrame) -> DataFrame:
     """Transfers that touch a space contract, with from_label and to_label."""
-    spaces = space_of_address(space_contracts)
+    spaces = broadcast_if_small(space_of_address(space_contracts))
     for side, label in (("from_address", "from_label"), ("to_address", "to_label")):
         names = spaces.select(F.col("address").alias(side), F.col("space").alias(label))
         transfers = transfers.join(names, side, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_year, year_range
+from ..session import broadcast_if_small
 from .relational import replace_values
 
 MIN_YEAR = 2015
@@ -35,6 +36,7 @@ def early_stage_counterparties(transfers: DataFrame, years: DataFrame) -> DataFr
     A transfer that matches on both ends gives two rows, as a bag union.
     """
     dated = transfers.select("from_address", "to_address", epoch_year("block_timestamp").alias("year"))
+    years = broadcast_if_small(years)
     parts = []
     for near, far in (("from_address", "to_address"), ("to_address", "from_address")):
         side = years.withColumnRenamed("address", near)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def label_flow(transfers: DataFrame, address_country: DataFrame) -> DataFrame:
     """Country of sender and receiver; unknown addresses stay with a null country."""
+    address_country = broadcast_if_small(address_country.select("address", "country"))
     for side, label in (("from_address", "from_country"), ("to_address", "to_country")):
         named = address_country.select(F.col("address").alias(side), F.col("country").alias(label))
         transfers = transfers.join(named, side, "left")

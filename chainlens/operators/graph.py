@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 from .ranking import dense_ids, running_sum
 from .transfers import endpoints
 
@@ -66,7 +66,7 @@ def build_cdf(edges: DataFrame, log: bool = True, max_fanout: int = 65536) -> Da
     """
     weight = log_weight("weight") if log else positive_weight("weight")
     kept = edges.select("src", "dst", weight.alias("weight")).filter(F.col("weight") > 0)
-    wide = wide_sources(kept, max_fanout).withColumn("_wide", F.lit(True))
+    wide = broadcast_if_small(wide_sources(kept, max_fanout)).withColumn("_wide", F.lit(True))
     block = F.when(F.col("_wide"), F.floor(F.col("dst") / F.lit(max_fanout))).otherwise(F.lit(0)).cast("bigint")
     blocked = kept.join(wide, "src", "left").withColumn("block", block).drop("_wide")
     summed = running_sum(blocked, ["src"], "block", ["dst"], "weight", "cume", total="wsum")

@@ -43,12 +43,22 @@ def assemble_features(
     )
 
 
+# Vector elements Spark's own embedding trainer may hold on the driver.
+WORD2VEC_CELLS = 64_000_000
+
+
 def train_embeddings(
     walks: DataFrame, dim: int = 64, window: int = 8, min_count: int = 1, epochs: int = 10, alpha: float = 0.02,
     seed: int = 42, partitions: int = 1,
 ):
-    """Skip-gram vectors of the nodes of walks (path). Spark trains them with a hierarchical softmax,
-    so the number of negative samples and the frequency subsampling have no counterpart here."""
+    """Skip-gram vectors of the nodes of walks (path) by Spark's own trainer, a hierarchical softmax.
+
+    That trainer holds vocabulary and vectors on the driver, so it only takes vocabularies up to
+    ``WORD2VEC_CELLS`` / ``dim``; ``skipgram.train_vectors`` has no such bound.
+    """
+    distinct = walks.select(F.explode("path").alias("id")).distinct()
+    if distinct.limit(WORD2VEC_CELLS // dim + 1).count() > WORD2VEC_CELLS // dim:
+        raise ValueError("vocabulary too large for the driver; use skipgram.train_vectors")
     sentences = walks.filter(F.size("path") >= 2).select(F.col("path").cast("array<string>").alias("path"))
     trainer = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, stepSize=alpha, seed=seed,

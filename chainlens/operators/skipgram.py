@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import UNIFORMS
+from ..session import materialize
 from .ranking import running_sum
-from .walks import first_at_least
+from .walks import first_at_least, vocab_counts
 
 _WALK_SPAN = 64
 _LIST_SIZE = 65536
@@ -71,3 +76,73 @@ def sample_negatives(
     draws = draws.withColumn("cell", F.floor(F.col("_u") * cells).cast("int"))
     at = F.expr(first_at_least("_cumes", "_u", 4 * _LIST_SIZE))
     return draws.join(lists, "cell").withColumn("negative", F.get("_ids", at)).drop("cell", "_u", "_cumes", "_ids")
+
+
+def initial_vectors(vocab: DataFrame, dim: int, seed: int = 42) -> DataFrame:
+    """(id, center[], context[]): small random centre vectors, zero context vectors."""
+    draws = ", ".join(f"({UNIFORMS['hashed']('id', i, seed)} - 0.5D) / {dim}" for i in range(dim))
+    return vocab.selectExpr("id", f"array({draws}) AS center", f"array_repeat(0.0D, {dim}) AS context")
+
+
+def gradient_step(vectors: DataFrame, examples: DataFrame, dim: int, rate: float) -> DataFrame:
+    """One averaged gradient step of all vectors on examples (center, other, label).
+
+    The vector table is joined to both ends, each Arrow batch adds up its own gradients per node, and
+    one aggregate per (node, side) finishes the sums; a node in most examples arrives pre-added.
+    """
+    left = vectors.select(F.col("id").alias("center"), F.col("center").alias("u"))
+    right = vectors.select(F.col("id").alias("other"), F.col("context").alias("v"))
+    joined = examples.join(left, "center").join(right, "other").select("center", "other", "label", "u", "v")
+
+    def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            u, v = np.stack(batch["u"]), np.stack(batch["v"])
+            miss = batch["label"].to_numpy() - 1.0 / (1.0 + np.exp(-np.clip((u * v).sum(axis=1), -30, 30)))
+            for side, ids, pull in (("u", batch["center"], v), ("v", batch["other"], u)):
+                nodes, codes = np.unique(ids.to_numpy(), return_inverse=True)
+                sums = np.zeros((len(nodes), dim))
+                np.add.at(sums, codes, miss[:, None] * pull)
+                yield pd.DataFrame({"id": nodes, "side": side, "grad": list(sums), "n": np.bincount(codes)})
+
+    partial = joined.mapInPandas(gradients, "id bigint, side string, grad array<double>, n bigint")
+    mean = F.array(*[F.sum(F.get("grad", F.lit(i))) / F.sum("n") for i in range(dim)])
+    steps = partial.groupBy("id").pivot("side", ["u", "v"]).agg(mean)
+
+    def moved(column: str, step: str):
+        return F.when(F.col(step).isNull(), F.col(column)).otherwise(
+            F.zip_with(column, step, lambda x, g: x + F.lit(rate) * g)
+        ).alias(column)
+
+    return vectors.join(steps, "id", "left").select("id", moved("center", "u"), moved("context", "v"))
+
+
+def train_vectors(
+    walks: DataFrame, dim: int = 64, window: int = 8, negatives: int = 5, epochs: int = 10, rate: float = 1.0,
+    batches: int = 1, min_count: int = 1, seed: int = 42, power: float = 0.75,
+) -> DataFrame:
+    """(id, embedding): skip-gram with negative sampling, with the vectors kept as a distributed table.
+
+    Every epoch draws new windows and noise, walks are dealt to ``batches`` steps, and the vectors
+    are checkpointed after each step. Nothing of vocabulary size passes through the driver.
+    """
+    vocab = materialize(vocab_counts(walks, min_count))
+    noise = materialize(noise_distribution(vocab, power))
+    kept = walks if min_count <= 1 else encode_kept(walks, vocab)
+    vectors = initial_vectors(vocab, dim, seed)
+    for epoch in range(epochs):
+        for batch in range(batches):
+            share = kept.filter(F.pmod(F.xxhash64("walk_id"), F.lit(batches)) == batch)
+            pairs = skipgram_pairs(share, window, seed + epoch, "hashed")
+            drawn = sample_negatives(pairs, noise, negatives, seed + epoch, "hashed")
+            examples = pairs.select("center", F.col("context").alias("other"), F.lit(1.0).alias("label")).unionByName(
+                drawn.select("center", F.col("negative").alias("other"), F.lit(0.0).alias("label"))
+            )
+            vectors = materialize(gradient_step(vectors, examples, dim, rate))
+    return vectors.select("id", F.col("center").alias("embedding"))
+
+
+def encode_kept(walks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Walks without the tokens missing from the vocabulary."""
+    return encode_walks(walks, vocab.select("id", F.col("id").alias("index")))

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 # The two stablecoin contracts the flow reports follow.
 USDC = "0xa0b86991c6218b36c1d19d4a2e9eb0ce3606eb48"
 USDT = "0xdac17f958d2ee523a2206206994597c13d831ec7"
@@ -23,14 +25,16 @@ def drop_contract_transfers(transfers: DataFrame, contracts: DataFrame) -> DataF
     Reads only the endpoint columns, so it gives the same edges before or after ``edge_weights``;
     after it, the two anti joins move pair sums instead of raw transfers.
     """
-    addresses = contract_addresses(contracts)
+    columns = transfers.columns
+    addresses = broadcast_if_small(contract_addresses(contracts))
     for side in ("from_address", "to_address"):
         transfers = transfers.join(addresses.withColumnRenamed("address", side), side, "left_anti")
-    return transfers
+    return transfers.select(columns)
 
 
 def keep_sender_in(transfers: DataFrame, wallets: DataFrame) -> DataFrame:
-    return transfers.join(wallets.select(F.col("address").alias("from_address")), "from_address", "left_semi")
+    senders = broadcast_if_small(wallets.select(F.col("address").alias("from_address")))
+    return transfers.join(senders, "from_address", "left_semi")
 
 
 def filter_nonzero(df: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import UNIFORMS
-from ..session import materialize, materialize_bucketed
+from ..session import broadcast_if_small, materialize, materialize_bucketed
 from .ranking import dense_ids
 
 POLICIES = ("restart", "terminate", "teleport")
@@ -53,7 +53,8 @@ def build_adjacency(
     spread = cdf.groupBy(F.col("src").alias("node")).agg(F.min("block").alias("a"), F.max("block").alias("b"))
     wide_nodes = spread.filter(F.col("a") != F.col("b")).select("node")
     hot = materialize(incoming.select("node").union(wide_nodes).distinct())
-    flagged = cdf.join(hot.select(F.col("node").alias("dst"), F.lit(True).alias("hot")), "dst", "left").withColumn(
+    known_hot = broadcast_if_small(hot)
+    flagged = cdf.join(known_hot.select(F.col("node").alias("dst"), F.lit(True).alias("hot")), "dst", "left").withColumn(
         "hot", F.coalesce("hot", F.lit(False))
     )
     entries = F.array_sort(F.collect_list(F.struct("cume", "dst", "hot")))
@@ -67,7 +68,7 @@ def build_adjacency(
     )
     split = not hot.isEmpty()
     lists = materialize_bucketed(
-        _salted(lists, hot, salts), ["node", "block", "salt"] if split else ["node"], partitions
+        _salted(lists, known_hot, salts), ["node", "block", "salt"] if split else ["node"], partitions
     )
     wide = None
     if not wide_nodes.isEmpty():

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of a few short columns that are safe to hold on every executor.
+BROADCAST_ROWS = 500_000
 
 
 def build_session(app_name: str = "chainlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,6 +72,15 @@ def materialize_bucketed(df: DataFrame, keys: list[str], buckets: int | None = N
     return spark.table(name)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when counting proves it short, else unchanged.
+
+    Counting stops after ``max_rows`` rows. Without the mark a short table behind joins or
+    aggregates is estimated as large, and the raw transfers it meets would be shuffled first.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -157,3 +157,15 @@ def test_contract_filter_commutes_with_the_edge_sum(spark):
     first = transfers.edge_weights(transfers.drop_contract_transfers(data, contracts))
     last = transfers.drop_contract_transfers(transfers.edge_weights(data), contracts)
     assert rows(first, "from_address", "to_address", "amount_usd") == rows(last, "from_address", "to_address", "amount_usd")
+
+
+def test_trained_vectors_separate_two_groups(spark):
+    """Walks that stay inside two node groups give vectors closer within a group than across."""
+    paths = [(g * 40 + w, [g * 10 + (w * 3 + i * (1 + w % 3)) % 8 for i in range(12)]) for g in range(2) for w in range(40)]
+    walked = spark.createDataFrame(paths, "walk_id bigint, path array<bigint>")
+    trained = skipgram.train_vectors(walked, dim=8, window=3, negatives=3, epochs=8, rate=4.0)
+    points = trained.select(F.col("id").alias("key"), F.col("embedding").alias("vector"))
+    scored = vectors.similarity_matrix(points).filter("id <> key")
+    near = scored.groupBy((F.floor(F.col("id") / 10) == F.floor(F.col("key") / 10)).alias("same")).agg(F.avg("score").alias("s"))
+    mean = {r.same: r.s for r in near.collect()}
+    assert trained.count() == 16 and mean[True] > mean[False] + 0.15
