@@ -153,7 +153,8 @@ def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str =
               limit: int = CANDIDATE_LIMIT) -> DataFrame:
     """(name, score, match): the ``n`` best candidates per distinct name, equal scores by the larger string.
 
-    Up to ``limit`` candidates travel with the expression. Beyond it they are packed into lists that
+    The lists are never empty, and an outer explode keeps Spark from testing that, with the whole
+    score inside the test, on the rows below the distinct. Up to ``limit`` candidates travel with the expression. Beyond it they are packed into lists that
     meet every name by key, and only the ``n`` best per list move on to the final choice.
     """
     if method not in METHODS:
@@ -167,7 +168,7 @@ def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str =
         if not listed:
             return distinct_names.select("name", F.lit(0.0).alias("score"), F.lit("").alias("match")).limit(0)
         ranked = distinct_names.withColumn("_best", _ranked("name", F.lit(listed), listed, n, method))
-        return ranked.select("name", F.explode("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
+        return ranked.select("name", F.explode_outer("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
     packs = math.ceil(pool.count() / limit)
     salts = max(1, math.ceil(distinct_names.count() / limit))
     packed = pool.groupBy(F.pmod(F.xxhash64("match"), F.lit(packs)).alias("pack")).agg(
@@ -189,7 +190,7 @@ def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str =
     )
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "match")))), 1, n)
     merged = per_pack.groupBy("name").agg(best.alias("_best"))
-    return merged.select("name", F.explode("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
+    return merged.select("name", F.explode_outer("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
 
 
 def _edit(a: str, b: str) -> float:

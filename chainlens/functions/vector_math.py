@@ -46,18 +46,25 @@ SIMILARITIES = {
 
 
 def l2_normalize(a: Column | str) -> Column:
-    """v / |v|; null elements for a zero vector."""
-    length = norm(a)
-    return F.transform(_column(a), lambda x: F.try_divide(x.cast("double"), length))
+    """v / |v|; null elements for a zero vector. The length is taken once, in the final step of the sum."""
+    column = _column(a)
+    return F.aggregate(
+        column, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"),
+        lambda total: F.transform(column, lambda x: F.try_divide(x.cast("double"), F.sqrt(total))),
+    )
 
 
 def softmax_array(a: Column | str) -> Column:
-    """exp(x - max) / sum over one row's array."""
+    """exp(x - max) / sum over one row's array; maximum and sum are taken once per row."""
     column = _column(a)
-    top = F.array_max(column)
-    raised = F.transform(column, lambda x: F.exp(x - top))
-    total = array_sum(raised)
-    return F.transform(raised, lambda x: x / total)
+
+    def scaled(top: Column) -> Column:
+        return F.aggregate(
+            column, F.lit(0.0), lambda total, x: total + F.exp(x - top),
+            lambda total: F.transform(column, lambda x: F.exp(x - top) / total),
+        )
+
+    return F.aggregate(F.array(F.lit(1)), F.array_max(column), lambda top, _: top, scaled)
 
 
 def one_hot(index: Column | str, size: int) -> Column:

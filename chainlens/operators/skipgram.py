@@ -35,7 +35,7 @@ def skipgram_pairs(walks: DataFrame, window: int = 8, seed: int = 42, uniform: s
     spots = f"sequence(greatest(0, i - ({reach})), least(size(path) - 1, i + {reach}))"
     pair = "named_struct('pos', i, 'ctx_pos', j, 'center', get(path, i), 'context', get(path, j))"
     pairs = f"flatten(transform(sequence(0, size(path) - 1), i -> transform(filter({spots}, j -> j <> i), j -> {pair})))"
-    return walks.filter("size(path) >= 2").selectExpr("walk_id", f"inline({pairs})")
+    return walks.filter("size(path) >= 2").selectExpr("walk_id", f"inline_outer({pairs})")
 
 
 def noise_distribution(vocab: DataFrame, power: float = 0.75, block_width: int = 65536) -> DataFrame:

@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector_math import l2_normalize, norm, softmax_array
+from ..functions.vector_math import l2_normalize
 from . import traffic
 
 AXIS_LIMIT = 20_000
 
 
 def _score_block(kind: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Scores of every left row with every right row."""
+    """Scores of every left row with every right row; "unit_dot" scales the left rows to length one."""
     if kind == "dot":
         return left @ right.T
+    if kind == "unit_dot":
+        length = np.linalg.norm(left, axis=1, keepdims=True)
+        return np.divide(left, length, out=left.copy(), where=length > 0) @ right.T
     if kind == "cosine":
         scale = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
         return np.divide(left @ right.T, scale, out=np.zeros_like(scale), where=scale > 0)
@@ -29,16 +32,36 @@ def _score_block(kind: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return inverse if kind == "inverse_euclidean" else inverse**2
 
 
-def score_rows(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: int = AXIS_LIMIT) -> DataFrame | None:
+def _softmax_rows(block: np.ndarray, keys: list) -> np.ndarray:
+    raised = np.exp(block - block.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def _share_of_total(block: np.ndarray, keys: list) -> np.ndarray:
+    """Rows divided by their value under the empty key; missing where that is 0."""
+    total = block[:, [keys.index("")]]
+    return np.divide(block, total, out=np.full_like(block, np.nan), where=total != 0)
+
+
+def score_rows(
+    vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: int = AXIS_LIMIT,
+    finish: Callable[[np.ndarray, list], np.ndarray] | None = None,
+) -> DataFrame | None:
     """(id, scores[]) against a sorted axis of at most ``limit`` vectors, else None.
 
+    ``finish`` turns the score rows of a batch into the final ones.
+
     The axis is read to the driver only up to the limit; each Arrow batch is one matrix product and
-    nothing is shuffled. The axis keys come back as the literal column ``keys``.
+    nothing is shuffled. Explode the result with an outer explode: a plain one makes Spark add a test
+    for empty arrays that runs the matrix product twice. The axis keys come back as the literal column ``keys``.
     """
     rows = axis.select("key", "vector").take(limit + 1)
     if len(rows) > limit:
         return None
+    if not rows:
+        return vectors.select("id", F.array().cast("array<double>").alias("scores"), F.array().cast("array<string>").alias("keys")).limit(0)
     rows.sort(key=lambda row: row["key"])
+    names = [row["key"] for row in rows]
     matrix = np.array([row["vector"] for row in rows], dtype="float64")
 
     @F.pandas_udf("array<double>")
@@ -48,9 +71,10 @@ def score_rows(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: in
                 yield pd.Series([], dtype=object)
                 continue
             block = _score_block(kind, np.stack(batch.to_numpy()).astype("float64"), matrix)
+            block = finish(block, names) if finish else block
             yield pd.Series(list(np.where(np.isnan(block), None, block) if np.isnan(block).any() else block))
 
-    keys = F.lit([row["key"] for row in rows]) if rows else F.array().cast("array<string>")
+    keys = F.lit(names)
     return vectors.select("id", scores(F.col("vector").cast("array<double>")).alias("scores"), keys.alias("keys"))
 
 
@@ -62,7 +86,7 @@ def pair_scores(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: i
     """
     ready = score_rows(vectors, axis, kind, limit)
     if ready is not None:
-        both = F.explode(F.arrays_zip("keys", "scores"))
+        both = F.explode_outer(F.arrays_zip("keys", "scores"))
         return ready.select("id", both.alias("_s")).select(
             "id", F.col("_s.keys").alias("key"), F.col("_s.scores").alias("score")
         )
@@ -103,6 +127,8 @@ def mean_scores_by_group(
         valid = ~np.isnan(block)
         return np.where(valid, block, 0.0) @ member, valid @ member
 
+    if len(rows) <= limit and not rows:
+        return vectors.select("id", F.lit(None).cast(group_type).alias("group"), F.lit(None).cast("double").alias("score")).limit(0)
     if len(rows) <= limit:
         rows.sort(key=lambda row: row["key"])
         groups = sorted({row["group"] for row in rows})
@@ -120,7 +146,7 @@ def mean_scores_by_group(
             return pd.Series([[None if np.isnan(x) else x for x in row] for row in mean])
 
         scored = vectors.select("id", means("id", F.col("vector").cast("array<double>")).alias("scores"))
-        both = F.explode(F.arrays_zip(F.lit(groups).alias("group"), F.col("scores").alias("score"))).alias("_s")
+        both = F.explode_outer(F.arrays_zip(F.lit(groups).alias("group"), F.col("scores").alias("score"))).alias("_s")
         return scored.select("id", both).select("id", "_s.group", "_s.score")
 
     left, right = _sharded(vectors.select("id", "vector"), axis.select(columns), limit)
@@ -241,26 +267,21 @@ def country_axis(anchors: DataFrame, values: DataFrame, size: int = 64, normaliz
     return summed.select(F.col("country").alias("key"), F.array(*[f"_s{i}" for i in range(size)]).alias("vector"))
 
 
-def _unit(wallets: DataFrame) -> DataFrame:
-    """Wallets scaled to length one; a vector without length stays as it is."""
-    return wallets.select("id", F.when(norm("vector") > 0, l2_normalize("vector")).otherwise(F.col("vector")).alias("vector"))
-
-
 def country_prob(wallets: DataFrame, anchors: DataFrame, values: DataFrame, size: int = 64) -> DataFrame:
     """(id, key = country, score): cosine to the anchors times the country matrix."""
-    return pair_scores(_unit(wallets), country_axis(anchors, values, size), "dot")
+    return pair_scores(wallets, country_axis(anchors, values, size), "unit_dot")
 
 
 def wallet_country(wallets: DataFrame, anchors: DataFrame, values: DataFrame, size: int = 64) -> DataFrame:
     """(id, country, prob): the same scores through a softmax per wallet."""
     axis = country_axis(anchors, values, size)
-    ready = score_rows(_unit(wallets), axis)
+    ready = score_rows(wallets, axis, "unit_dot", finish=_softmax_rows)
     if ready is None:
-        return softmax_by(pair_scores(_unit(wallets), axis), ["id"], "score", "prob").select(
+        return softmax_by(pair_scores(wallets, axis, "unit_dot"), ["id"], "score", "prob").select(
             "id", F.col("key").alias("country"), "prob"
         )
-    soft = ready.select("id", F.explode(F.arrays_zip("keys", softmax_array("scores").alias("p"))).alias("_s"))
-    return soft.select("id", F.col("_s.keys").alias("country"), F.col("_s.p").alias("prob"))
+    soft = ready.select("id", F.explode_outer(F.arrays_zip("keys", "scores")).alias("_s"))
+    return soft.select("id", F.col("_s.keys").alias("country"), F.col("_s.scores").alias("prob"))
 
 
 def weighted_country(wallets: DataFrame, anchors: DataFrame, values: DataFrame, size: int = 64) -> DataFrame:
@@ -270,15 +291,13 @@ def weighted_country(wallets: DataFrame, anchors: DataFrame, values: DataFrame,
     """
     everything = anchors.select("key", F.lit("").alias("country"), F.lit(1.0).alias("value"))
     axis = country_axis(anchors, values.select("key", "country", "value").unionByName(everything), size)
-    ready = score_rows(_unit(wallets), axis)
+    ready = score_rows(wallets, axis, "unit_dot", finish=_share_of_total)
     if ready is not None:
-        total = F.get("scores", F.array_position("keys", "") .cast("int") - 1)
-        scaled = F.transform("scores", lambda s: F.try_divide(s, total))
-        pairs = ready.select("id", F.explode(F.arrays_zip("keys", scaled.alias("s"))).alias("_p")).select(
-            "id", F.col("_p.keys").alias("key"), F.col("_p.s").alias("score")
+        pairs = ready.select("id", F.explode_outer(F.arrays_zip("keys", "scores")).alias("_p")).select(
+            "id", F.col("_p.keys").alias("key"), F.col("_p.scores").alias("score")
         )
         return pairs.filter(F.col("key") != "")
-    scores = pair_scores(_unit(wallets), axis)
+    scores = pair_scores(wallets, axis, "unit_dot")
     totals = scores.filter(F.col("key") == "").select("id", F.col("score").alias("_total"))
     return scores.filter(F.col("key") != "").join(totals, "id").select(
         "id", "key", F.try_divide("score", "_total").alias("score")

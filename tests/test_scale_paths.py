@@ -92,7 +92,7 @@ def points(spark):
     return spark.createDataFrame(data, "key string, group string, vector array<double>")
 
 
-@pytest.mark.parametrize("kind", ["dot", "cosine", "inverse_euclidean", "inverse_quadratic"])
+@pytest.mark.parametrize("kind", ["dot", "unit_dot", "cosine", "inverse_euclidean", "inverse_quadratic"])
 def test_long_axis_scores_equal_short_axis_scores(points, kind):
     wallets = points.withColumnRenamed("key", "id").select("id", "vector")
     short = vectors.pair_scores(wallets, points, kind)
