@@ -29,19 +29,19 @@ def hour_histogram(transfers: DataFrame) -> DataFrame:
     ).filter(F.col("from_address").isNotNull())
     counters = []
     for hour in HOURS:
-        at = F.col("_hour") == hour
-        counters.append(F.count_if(at & F.col("_dst")).alias(f"dst_{hour}"))
-        counters.append(F.count_if(at & ~F.col("_dst")).alias(f"non_dst_{hour}"))
+        counters.append(F.expr(f"count_if(_hour = {hour} AND _dst) AS dst_{hour}"))
+        counters.append(F.expr(f"count_if(_hour = {hour} AND NOT _dst) AS non_dst_{hour}"))
     counted = marked.groupBy("from_address").agg(*counters)
-    totals = {f"all_{hour}": F.col(f"dst_{hour}") + F.col(f"non_dst_{hour}") for hour in HOURS}
-    return counted.withColumns(totals).select("from_address", *histogram_columns())
+    totals = [f"dst_{hour} + non_dst_{hour} AS all_{hour}" for hour in HOURS]
+    split = [f"{kind}_{hour}" for kind in KINDS[1:] for hour in HOURS]
+    return counted.selectExpr("from_address", *totals, *split)
 
 
 def merge_histograms(*parts: DataFrame) -> DataFrame:
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    return merged.groupBy("from_address").agg(*[F.sum(c).alias(c) for c in histogram_columns()])
+    return merged.groupBy("from_address").agg(*[F.expr(f"sum({c}) AS {c}") for c in histogram_columns()])
 
 
 def normalize_histogram(df: DataFrame) -> DataFrame:
@@ -49,9 +49,9 @@ def normalize_histogram(df: DataFrame) -> DataFrame:
     shares = []
     for kind in KINDS:
         columns = [f"{kind}_{hour}" for hour in HOURS]
-        total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-        shares += [F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)).alias(c) for c in columns]
-    return df.select("from_address", *shares)
+        shares += [f"coalesce(try_divide({c}, _{kind}), 0.0D) AS {c}" for c in columns]
+    totals = [" + ".join(f"{kind}_{hour}" for hour in HOURS) + f" AS _{kind}" for kind in KINDS]
+    return df.selectExpr("*", *totals).selectExpr("from_address", *shares)
 
 
 def profile_vector(df: DataFrame) -> DataFrame:

@@ -223,17 +223,16 @@ def nearest(vectors: DataFrame, wanted: DataFrame, n: int, limit: int = AXIS_LIM
 
 def country_mean_vector(df: DataFrame, group: str, vector: str = "embedding", size: int = 64) -> DataFrame:
     """Element-wise mean vector per group, as one partial aggregate per element."""
-    means = [F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(size)]
+    means = [F.expr(f"avg(CAST(get({vector}, {i}) AS DOUBLE)) AS _m{i}") for i in range(size)]
     averaged = df.groupBy(group).agg(*means)
     return averaged.select(group, F.array(*[f"_m{i}" for i in range(size)]).alias(vector))
 
 
 def masked_mean(tokens: DataFrame, text: str, mask: str, vector: str = "embedding", size: int = 64) -> DataFrame:
     """Mean over the unmasked vectors of each text; the count is at least 1e-9, so an all-masked text is zeros."""
-    flag = F.col(mask).cast("double")
-    sums = [F.sum(F.get(vector, F.lit(i)).cast("double") * flag).alias(f"_s{i}") for i in range(size)]
-    summed = tokens.groupBy(text).agg(*sums, F.greatest(F.sum(flag), F.lit(1e-9)).alias("_n"))
-    return summed.select(text, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(size)]).alias(vector))
+    sums = [F.expr(f"sum(CAST(get({vector}, {i}) AS DOUBLE) * {mask}) AS _s{i}") for i in range(size)]
+    summed = tokens.groupBy(text).agg(*sums, F.expr(f"greatest(sum(CAST({mask} AS DOUBLE)), 1e-9D) AS _n"))
+    return summed.selectExpr(text, "array(" + ", ".join(f"_s{i} / _n" for i in range(size)) + f") AS {vector}")
 
 
 def anchor_multiple(panel: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -260,9 +259,7 @@ def country_axis(anchors: DataFrame, values: DataFrame, size: int = 64, normaliz
     """
     unit = anchors.select("key", (l2_normalize("vector") if normalize else F.col("vector")).alias("vector"))
     joined = values.join(unit, "key")
-    sums = [
-        F.sum(F.col("value") * F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0))).alias(f"_s{i}") for i in range(size)
-    ]
+    sums = [F.expr(f"sum(value * coalesce(get(vector, {i}), 0.0D)) AS _s{i}") for i in range(size)]
     summed = joined.groupBy("country").agg(*sums)
     return summed.select(F.col("country").alias("key"), F.array(*[f"_s{i}" for i in range(size)]).alias("vector"))
 
