@@ -212,8 +212,32 @@ def similarity_matrix(vectors: DataFrame, limit: int = AXIS_LIMIT) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, wanted: DataFrame, n: int, limit: int = AXIS_LIMIT) -> DataFrame:
-    """The ``n`` most similar other vectors (id, key, score) for each wanted (key, vector)."""
-    scored = cross_similarity(vectors, wanted, "cosine", limit).filter(F.col("id") != F.col("key"))
+    """The ``n`` most similar other vectors (id, key, score) for each wanted (key, vector), ties by id.
+
+    Each Arrow batch keeps its own ``n`` best per key, so the pairs themselves never leave the batch.
+    """
+    rows = wanted.select("key", "vector").take(limit + 1)
+    id_type, key_type = dict(vectors.dtypes)["id"], dict(wanted.dtypes)["key"]
+    if len(rows) > limit:
+        scored = cross_similarity(vectors, wanted, "cosine", limit).filter(F.col("id") != F.col("key"))
+    else:
+        names = [row["key"] for row in rows]
+        matrix = np.array([row["vector"] for row in rows], dtype="float64")
+
+        def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty or not names:
+                    continue
+                batch = batch.sort_values("id")
+                ids = batch["id"].to_numpy()
+                block = _score_block("cosine", np.stack(batch["vector"]).astype("float64"), matrix)
+                for at, name in enumerate(names):
+                    own = np.flatnonzero(ids != name)
+                    top = own[np.argsort(-block[own, at], kind="stable")[:n]]
+                    if len(top):
+                        yield pd.DataFrame({"id": ids[top], "key": [name] * len(top), "score": block[top, at]})
+
+        scored = vectors.select("id", "vector").mapInPandas(best_of, f"id {id_type}, key {key_type}, score double")
     shard = F.pmod(F.xxhash64("id"), F.lit(256))
     for part in (shard, F.lit(0)):
         best = Window.partitionBy("key", part).orderBy(F.col("score").desc(), "id")

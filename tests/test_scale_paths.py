@@ -169,3 +169,13 @@ def test_trained_vectors_separate_two_groups(spark):
     near = scored.groupBy((F.floor(F.col("id") / 10) == F.floor(F.col("key") / 10)).alias("same")).agg(F.avg("score").alias("s"))
     mean = {r.same: r.s for r in near.collect()}
     assert trained.count() == 16 and mean[True] > mean[False] + 0.15
+
+
+def test_nearest_is_the_same_for_a_long_axis(points):
+    wallets = points.withColumnRenamed("key", "id").select("id", "vector")
+    rounded = lambda df: rows(df.select("id", "key", F.round("score", 9)))
+    pairs = vectors.pair_scores(wallets, points, "cosine").filter("id <> key")
+    expected = pairs.withColumn("r", F.expr("row_number() OVER (PARTITION BY key ORDER BY score DESC, id)")).filter("r <= 3")
+    assert {r[1] for r in rounded(expected)} == {r[1] for r in rounded(vectors.nearest(wallets, points, 3))}
+    scores = lambda df: rows(df.select("key", F.round("score", 9)))
+    assert scores(expected) == scores(vectors.nearest(wallets, points, 3)) == scores(vectors.nearest(wallets, points, 3, limit=4))
