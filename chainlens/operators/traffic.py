@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ranking import first_by
 from .relational import replace_values
 
-# The reference window of the traffic series and the country alias merged into one name.
+# First and last date of the traffic series, and the country alias merged into one name.
 MIN_DATE = "2015-10-01"
 MAX_DATE = "2025-08-01"
 COUNTRY_ALIASES = {"Korea": "South Korea"}
