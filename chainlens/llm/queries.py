@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .language_id import predict_languages
 from .line_dedup import dedup_lines
 from .near_dups import near_duplicates
+from .packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = predict_languages(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def _word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), _word_tokenizer())
