@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .language_id import predict_languages
 from .line_dedup import dedup_lines
+from .mixing import mix_sources
 from .near_dups import near_duplicates
 from .packing import pack
 
@@ -114,3 +115,9 @@ def _word_tokenizer() -> str:
 @_query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _word_tokenizer())
+
+
+@_query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

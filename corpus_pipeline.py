@@ -1,26 +1,78 @@
-"""Documents to training sequences."""
+"""Documents to training sequences: language ID, line dedup, near-dedup, source mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. ``run`` writes each stage's rows
+below the shared folder and rereads them, so that no stage computes its predecessors again and a lost executor costs
+only its own tasks; a stage's folder is removed once the next stage is written.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chainlens.llm.common import remove_path, scratch_path
+from chainlens.llm.language_id import UNKNOWN, identify, learn_profiles
 from chainlens.llm.line_dedup import dedup_lines
+from chainlens.llm.mixing import mixed_documents
+from chainlens.llm.near_dups import near_duplicates
+from chainlens.llm.packing import pack
+
+NEAR_PERCENT = 80
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; those without a letter or a text go."""
+    profiles = learn_profiles(docs.select(F.col("doc_id").alias("id"), "lang", "text"))
+    return identify(docs, profiles).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select(*docs.columns)
+    """Lines of at least 10 characters stay in the smallest document only; n_chars follows the text."""
+    kept = dedup_lines(docs)
+    changed = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    found = near_duplicates(docs, percent=NEAR_PERCENT)
+    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 ids, with the ids."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_known_languages),
     ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack_sequences),
 ]
+
+# SQL cannot run a tokenizer; tests compare the stages with plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
