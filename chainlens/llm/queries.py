@@ -12,6 +12,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dups import near_duplicates
 from .packing import pack
+from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +122,85 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_URL_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+split AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_replace(regexp_replace(
+           translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'),
+           '[^a-z0./?#=&_%:~+\-]', '*', 'g') AS txt
+  FROM cut
+),
+rules(rule, decision, own, tail) AS (VALUES
+  ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+  ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'),
+  ('com/de/', 'block', 'com', '/de/')
+),
+parsed AS (
+  SELECT s.*, (SELECT {'rule': r.rule, 'decision': r.decision} FROM rules r
+               WHERE (s.host = r.own OR ends_with(s.host, '.' || r.own)) AND starts_with(s.path, r.tail)
+               ORDER BY length(r.rule) DESC LIMIT 1) AS hit
+  FROM split s
+),
+texts AS (
+  SELECT txt, CAST(coalesce(sum(CASE WHEN hit.decision = 'allow' THEN 1 END), 0) AS BIGINT) AS good,
+         CAST(coalesce(sum(CASE WHEN hit.decision = 'block' THEN 1 END), 0) AS BIGINT) AS bad
+  FROM parsed WHERE host <> '' GROUP BY txt
+),
+spread AS (
+  SELECT txt, good, bad, substr('^^^' || txt || '$', i, 4) AS w
+  FROM (SELECT *, unnest(range(1, length(txt) + 2)) AS i FROM texts)
+),
+windows AS (SELECT w, sum(good) AS good, sum(bad) AS bad FROM spread GROUP BY w),
+orders AS (SELECT w, good, bad, k, substr(w, 4, 1) AS x, substr(w, 4 - k, k) AS c FROM windows, (SELECT unnest(range(0, 4)) AS k)),
+grams AS (SELECT c, x, sum(good) AS good, sum(bad) AS bad FROM orders GROUP BY c, x),
+contexts AS (
+  SELECT c, sum(good) AS ng, sum(bad) AS nb, count(*) FILTER (WHERE good > 0) AS tg, count(*) FILTER (WHERE bad > 0) AS tb
+  FROM grams GROUP BY c
+),
+parts AS (
+  SELECT c, x, CASE WHEN ng + tg > 0 THEN CAST(good AS DOUBLE) / (ng + tg) ELSE 0 END AS ag,
+         CASE WHEN ng + tg > 0 THEN CAST(tg AS DOUBLE) / (ng + tg) ELSE 1 END AS bg,
+         CASE WHEN nb + tb > 0 THEN CAST(bad AS DOUBLE) / (nb + tb) ELSE 0 END AS ab,
+         CASE WHEN nb + tb > 0 THEN CAST(tb AS DOUBLE) / (nb + tb) ELSE 1 END AS bb
+  FROM grams JOIN contexts USING (c)
+),
+ratios AS (
+  SELECT o.w, ln(max(p.ag) FILTER (WHERE k = 3) + max(p.bg) FILTER (WHERE k = 3) * (
+             max(p.ag) FILTER (WHERE k = 2) + max(p.bg) FILTER (WHERE k = 2) * (
+             max(p.ag) FILTER (WHERE k = 1) + max(p.bg) FILTER (WHERE k = 1) * (
+             max(p.ag) FILTER (WHERE k = 0) + max(p.bg) FILTER (WHERE k = 0) / 64)))) -
+         ln(max(p.ab) FILTER (WHERE k = 3) + max(p.bb) FILTER (WHERE k = 3) * (
+             max(p.ab) FILTER (WHERE k = 2) + max(p.bb) FILTER (WHERE k = 2) * (
+             max(p.ab) FILTER (WHERE k = 1) + max(p.bb) FILTER (WHERE k = 1) * (
+             max(p.ab) FILTER (WHERE k = 0) + max(p.bb) FILTER (WHERE k = 0) / 64)))) AS ratio
+  FROM orders o JOIN parts p ON p.c = o.c AND p.x = o.x GROUP BY o.w
+),
+scores AS (
+  SELECT s.txt, avg(r.ratio) AS score, first(s.good) AS good, first(s.bad) AS bad FROM spread s JOIN ratios r ON r.w = s.w GROUP BY s.txt
+),
+means AS (
+  SELECT sum(score * good) / sum(good) AS mg, sum(score * score * good) / sum(good) AS qg,
+         sum(score * bad) / sum(bad) AS mb, sum(score * score * bad) / sum(bad) AS qb FROM scores
+),
+fit AS (
+  SELECT (mg * sqrt(greatest(qb - mb * mb, 1e-12)) + mb * sqrt(greatest(qg - mg * mg, 1e-12)))
+         / (sqrt(greatest(qg - mg * mg, 1e-12)) + sqrt(greatest(qb - mb * mb, 1e-12))) AS threshold FROM means
+)
+SELECT p.page_id, p.host, p.path, p.hit.rule AS rule,
+       coalesce(p.hit.decision, CASE WHEN p.host = '' THEN 'block' WHEN f.threshold IS NULL OR s.score >= f.threshold
+         THEN 'allow' ELSE 'block' END) AS verdict
+FROM parsed p LEFT JOIN scores s ON s.txt = p.txt, fit f
+"""
+
+
+@_query("op6_url_filter", _URL_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
