@@ -22,14 +22,19 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Value of each byte, A-Z as a-z; and whether the byte is white space [\\x20\\x09-\\x0D]."""
+@lru_cache(maxsize=2)
+def _tables(marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each byte, A-Z as a-z; and its kind: 0 for white space [\\x20\\x09-\\x0D], else 1, or 2 for marks.
+
+    Marks are ASCII characters other than letters and digits; without ``marks`` they are no kind of their own.
+    """
     codes = np.arange(256, dtype=np.uint64)
     codes[65:91] += np.uint64(32)
-    white = np.zeros(256, bool)
-    white[[32, 9, 10, 11, 12, 13]] = True
-    return mix(codes + np.uint64(1)), white
+    kinds = np.ones(256, np.uint8)
+    if marks:
+        kinds[[c for c in range(128) if not chr(c).isalnum()]] = 2
+    kinds[[32, 9, 10, 11, 12, 13]] = 0
+    return mix(codes + np.uint64(1)), kinds
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -60,27 +65,29 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first: offsets[-1] if len(offsets) else 0], offsets - first
 
 
-def _word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, starts_at: np.ndarray, marks: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of one piece; ``starts_at`` are positions where a new text begins."""
-    values, white_table = _tables()
-    inside = ~white_table[data]
-    fresh = np.zeros(len(data) + 1, bool)
-    fresh[0] = fresh[-1] = True
-    fresh[starts_at] = True
-    before = np.concatenate([[False], inside])
-    after = np.concatenate([inside, [False]])
-    begins = np.flatnonzero(after & (~before | fresh))
-    ends = np.flatnonzero(before & (~after | fresh))
+    values, kinds = _tables(marks)
+    kind = kinds[data]
+    before = np.concatenate([np.zeros(1, np.uint8), kind])
+    after = np.concatenate([kind, np.zeros(1, np.uint8)])
+    border = before != after
+    border[starts_at] = True
+    begins = np.flatnonzero(border & (after != 0))
+    ends = np.flatnonzero(border & (before != 0))
     power, inverse = _power_tables(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * power[: len(data)])])
     hashes = (sums[ends] - sums[begins]) * inverse[begins]
     return mix(hashes + (ends - begins).astype(np.uint64)), begins
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all rows, and n + 1 offsets into them."""
+def word_hashes(column: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all rows, and n + 1 offsets into them.
+
+    With ``marks``, runs of marks are words of their own: ``a!!`` is two.
+    """
     data, offsets = text_bytes(column)
-    _, white_table = _tables()
+    white_table = _tables()[1] == 0
     found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     at = 0
     while at < len(data):
@@ -93,7 +100,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if step.any() or end == border:
                 break
         inner = offsets[(offsets >= at) & (offsets < end)] - at
-        hashes, begins = _word_hashes(data[at:end], inner)
+        hashes, begins = _word_hashes(data[at:end], inner, marks)
         found.append(hashes)
         places.append(begins + at)
         at = end

@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dups import near_duplicates
 from .packing import pack
+from .quality import classify
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +233,9 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_ann")
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
