@@ -92,7 +92,7 @@ def balance(counts: DataFrame, targets: DataFrame, sources: int, most: int = MOS
         gap = F.col("words") - F.col("target")
         low = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
-        step = F.col("multiplier") - gap / F.col("slope")
+        step = F.col("multiplier") - F.try_divide(gap, F.col("slope"))
         ended = F.col("done") | F.coalesce((F.abs(gap) <= F.col("target") * 1e-6 + 0.5) | (high - low < 1e-9), F.lit(False))
         state = materialize(state.join(got, "sid", "left").select(
             "sid", "target", "mean",

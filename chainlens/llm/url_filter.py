@@ -83,8 +83,8 @@ def window_ratios(windows: DataFrame) -> DataFrame:
     shares = []
     for kind in ("good", "bad"):
         size = F.col(f"n_{kind}") + F.col(f"t_{kind}")
-        shares += [F.when(size > 0, F.col(kind) / size).otherwise(0.0).alias(f"a_{kind}"),
-                   F.when(size > 0, F.col(f"t_{kind}") / size).otherwise(1.0).alias(f"b_{kind}")]
+        shares += [F.coalesce(F.try_divide(F.col(kind), size), F.lit(0.0)).alias(f"a_{kind}"),
+                   F.coalesce(F.try_divide(F.col(f"t_{kind}"), size), F.lit(1.0)).alias(f"b_{kind}")]
     parts = materialize(grams.join(broadcast_if_small(contexts), "c").select("c", "x", *shares))
     found = split.select("w", "k", "c", "x").join(broadcast_if_small(parts), ["c", "x"])
     by_order = found.groupBy("w").agg(*[
@@ -117,8 +117,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     )
     scores = materialize(scores)
     fit = [scores.agg(
-        (F.sum(F.col("score") * F.col(k)) / F.sum(k)).alias("mean"),
-        (F.sum(F.col("score") * F.col("score") * F.col(k)) / F.sum(k)).alias("square"),
+        F.try_divide(F.sum(F.col("score") * F.col(k)), F.sum(k)).alias("mean"),
+        F.try_divide(F.sum(F.col("score") * F.col("score") * F.col(k)), F.sum(k)).alias("square"),
     ).first() for k in ("good", "bad")]
     threshold = None
     if all(f["mean"] is not None for f in fit):
