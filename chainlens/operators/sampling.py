@@ -18,7 +18,7 @@ def _ranked(df: DataFrame, label: str, key: str, seed: int, uniform: str) -> Dat
 
 
 def capped_split(df: DataFrame, label: str, key: str, n_train: int = 10_000, n_test: int = 10_000, seed: int = 42,
-                 uniform: str = "portable") -> DataFrame:
+                 uniform: str = "hashed") -> DataFrame:
     """Adds ``split``: the first ``n_train`` rows of each class in random order, then the next ``n_test``; others leave."""
     rank = F.col("_rank")
     part: Column = F.when(rank <= n_train, F.lit("train")).when(rank <= n_train + n_test, F.lit("test"))
@@ -27,14 +27,14 @@ def capped_split(df: DataFrame, label: str, key: str, n_train: int = 10_000, n_t
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.3, seed: int = 42,
-                     uniform: str = "portable") -> DataFrame:
+                     uniform: str = "hashed") -> DataFrame:
     """Adds ``split``: the same exact share of every class goes to test."""
     cut = F.round(F.col("_size") * F.lit(test_fraction))
     ranked = _ranked(df, label, key, seed, uniform)
     return ranked.withColumn("split", F.when(F.col("_rank") <= cut, "test").otherwise("train")).drop("_rank", "_size")
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, uniform: str = "portable",
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, uniform: str = "hashed",
                      out: str = "fold") -> DataFrame:
     """Adds ``fold`` 0..k-1 with class counts that differ by at most one between folds."""
     ranked = _ranked(df, label, key, seed, uniform)

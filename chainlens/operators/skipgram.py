@@ -14,7 +14,6 @@ from ..session import materialize
 from .ranking import running_sum
 from .walks import first_at_least, vocab_counts
 
-_WALK_SPAN = 64
 _LIST_SIZE = 65536
 
 
@@ -26,7 +25,7 @@ def encode_walks(walks: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens.groupBy("walk_id").agg(ordered.alias("_seq")).select("walk_id", F.col("_seq._code").alias("path"))
 
 
-def skipgram_pairs(walks: DataFrame, window: int = 8, seed: int = 42, uniform: str = "portable") -> DataFrame:
+def skipgram_pairs(walks: DataFrame, window: int = 8, seed: int = 42, uniform: str = "hashed") -> DataFrame:
     """(walk_id, pos, ctx_pos, center, context): each centre draws its own half-window from 1..window.
 
     Pairs are made inside the row, so their number per row is at most 2 * window * path length.
@@ -52,7 +51,7 @@ def noise_distribution(vocab: DataFrame, power: float = 0.75, block_width: int =
 
 
 def sample_negatives(
-    pairs: DataFrame, noise: DataFrame, k: int, seed: int = 42, uniform: str = "portable", min_cells: int = 256
+    pairs: DataFrame, noise: DataFrame, k: int, seed: int = 42, uniform: str = "hashed", min_cells: int = 256
 ) -> DataFrame:
     """``k`` noise tokens per pair.
 
@@ -69,9 +68,8 @@ def sample_negatives(
     ordered = F.array_sort(F.collect_list(F.struct("cume", "id")))
     lists = noise.withColumn("cell", F.explode(spans)).groupBy("cell").agg(ordered.alias("_list"))
     lists = lists.select("cell", F.col("_list.cume").alias("_cumes"), F.col("_list.id").alias("_ids"))
-    row = f"(walk_id * {_WALK_SPAN} + pos) * {_WALK_SPAN} + ctx_pos"
     draws = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
-        "_u", F.expr(UNIFORMS[uniform](row, "draw", seed))
+        "_u", F.expr(UNIFORMS[uniform](("walk_id", "pos", "ctx_pos"), "draw", seed))
     )
     draws = draws.withColumn("cell", F.floor(F.col("_u") * cells).cast("int"))
     at = F.expr(first_at_least("_cumes", "_u", 4 * _LIST_SIZE))

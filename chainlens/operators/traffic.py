@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import CEX_TRAFFIC_NAMES, CEX_TREND_NAMES, clean_name
+from .evidence import exchange_addresses
 from .ranking import first_by
 from .relational import replace_values
 
-# First and last date of the traffic series, and the country alias merged into one name.
-MIN_DATE = "2015-10-01"
-MAX_DATE = "2025-08-01"
+# The country alias merged into one name.
 COUNTRY_ALIASES = {"Korea": "South Korea"}
 
 
@@ -62,13 +62,15 @@ def trend_share(trend: DataFrame) -> DataFrame:
     )
 
 
-def exchange_similarity(similarity: DataFrame) -> DataFrame:
-    """Mean address similarity per (wallet, exchange)."""
-    return similarity.groupBy("wallet", "exchange").agg(F.avg("similarity").alias("similarity"))
+def name_trend(trend: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Trend rows under the names of the address list: ``aliases`` (list name to trend name) read backwards."""
+    known = CEX_TREND_NAMES if aliases is None else aliases
+    return replace_values(trend, "exchange", {name: listed for listed, name in known.items()})
 
 
-def join_trend_similarity(trend: DataFrame, similarity: DataFrame) -> DataFrame:
-    return trend.join(similarity, "exchange").dropna()
+def join_trend_similarity(trend: DataFrame, similarity: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Similarities beside the trends of their exchange, whose names may differ from the address list's."""
+    return name_trend(trend, aliases).join(similarity, "exchange").dropna()
 
 
 def country_score(joined: DataFrame) -> DataFrame:
@@ -76,18 +78,19 @@ def country_score(joined: DataFrame) -> DataFrame:
     return joined.groupBy("wallet", "country").agg(F.avg(F.col("trend") * F.col("similarity")).alias("score"))
 
 
-def match_exchange_traffic(cex: DataFrame, shares: DataFrame) -> DataFrame:
+def match_exchange_traffic(cex: DataFrame, shares: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """(exchange, address, country, value): exchanges whose cleaned name equals a traffic name.
 
-    Only an exact match counts, so the name comparison is an equality join on the cleaned names.
+    Names of the address list are replaced by ``aliases`` first. Only an exact match counts, so the name comparison is an
+    equality join on the cleaned names. An address listed under several exchanges with traffic keeps the first of
+    them by name; one without traffic does not stand in the way.
     """
-    from ..functions.text import clean_name
-    from .evidence import exchange_addresses
-
-    addresses = first_by(exchange_addresses(cex), ["address"], ["exchange"])
-    named = addresses.withColumn("c_name", clean_name("exchange"))
+    renamed = replace_values(exchange_addresses(cex), "exchange", CEX_TRAFFIC_NAMES if aliases is None else aliases)
+    named = renamed.distinct().withColumn("c_name", clean_name("exchange"))
     traffic = shares.select(clean_name("cex").alias("c_name"), "country", F.col("share").alias("value"))
-    return named.join(traffic, "c_name").select("exchange", "address", "country", "value")
+    known = named.join(traffic.select("c_name").distinct(), "c_name", "left_semi")
+    owner = first_by(known, ["address"], ["exchange"])
+    return owner.join(traffic, "c_name").select("exchange", "address", "country", "value")
 
 
 def china_mix(panel: DataFrame, flags: DataFrame, pct: float, missing_flag: bool = True, country: str = "China") -> DataFrame:

@@ -127,7 +127,7 @@ def random_walks(
     walks_per_seed: int = 1,
     policy: str = "restart",
     seed: int = 42,
-    uniform: str = "portable",
+    uniform: str = "hashed",
     checkpoint_every: int = 10,
 ) -> DataFrame:
     """Walks of at most ``length`` hops from every seed: (walk_id, path).

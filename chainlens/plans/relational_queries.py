@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rng import portable_uniform as sql_uniform
+from ..functions.rng import checking_uniform as sql_uniform
 from ..operators import relational, sampling
 from .registry import common, query
 
@@ -93,15 +93,15 @@ def _documents(t):
 @query("w6_capped_split", """
     SELECT doc_id, lang, CASE WHEN r <= 60 THEN 'train' ELSE 'test' END AS split FROM doc_rank WHERE r <= 160""")
 def _(t):
-    return sampling.capped_split(_documents(t), "lang", "doc_id", 60, 100, SEED)
+    return sampling.capped_split(_documents(t), "lang", "doc_id", 60, 100, SEED, "portable")
 
 
 @query("w7_stratified_split", """
     SELECT doc_id, lang, CASE WHEN r <= round(n * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM doc_rank""")
 def _(t):
-    return sampling.stratified_split(_documents(t), "lang", "doc_id", 0.3, SEED)
+    return sampling.stratified_split(_documents(t), "lang", "doc_id", 0.3, SEED, "portable")
 
 
 @query("w8_stratified_folds", "SELECT doc_id, lang, CAST((r - 1) % 5 AS INTEGER) AS fold FROM doc_rank")
 def _(t):
-    return sampling.stratified_folds(_documents(t), "lang", "doc_id", 5, SEED)
+    return sampling.stratified_folds(_documents(t), "lang", "doc_id", 5, SEED, "portable")

@@ -19,13 +19,21 @@ common("trend_number", """
     FROM trend""")
 common("trend_part", """
     SELECT exchange, country, trend / nullif(sum(trend) OVER (PARTITION BY exchange), 0) AS trend FROM trend_number""")
-common("name_exchange", """
-    SELECT address, min(exchange) AS exchange FROM (
-      SELECT DISTINCT lower(exchange) AS exchange, lower(address) AS address FROM cex WHERE network = 'ETH') d
-    GROUP BY address""")
+_PLAIN = """trim(regexp_replace(translate(lower({0}), '()', ''), '[ ,.;:|&''"+/-]+', ' ', 'g'))"""
+common("named_share", f"""
+    SELECT {_PLAIN.format('cex')} AS c_name, {ALIASES} AS country, sum(traffic / total) AS share
+    FROM (SELECT *, sum(traffic) OVER (PARTITION BY cex) AS total
+          FROM (SELECT cex, country, avg(traffic) AS traffic FROM traffic_named GROUP BY 1, 2) a) m GROUP BY 1, 2""")
+common("listed_exchange", f"""
+    SELECT exchange, address, {_PLAIN.format('exchange')} AS c_name FROM (
+      SELECT DISTINCT lower(address) AS address, CASE lower(exchange) WHEN 'btcturk' THEN 'btcTurk kripto'
+        WHEN 'gate.io' THEN 'gate' WHEN 'crypto.com exchange' THEN 'crypto.comexchange' WHEN 'xt' THEN 'xt.com'
+        ELSE lower(exchange) END AS exchange
+      FROM cex_listed WHERE network = 'ETH') d""")
 common("exchange_panel", """
-    SELECT e.exchange, e.address, s.country, s.share AS value
-    FROM name_exchange e JOIN traffic_part s ON replace(lower(e.exchange), '-', ' ') = replace(lower(s.cex), '-', ' ')""")
+    SELECT exchange, address, country, share AS value
+    FROM (SELECT l.*, s.country, s.share, rank() OVER (PARTITION BY l.address ORDER BY l.exchange) AS place
+          FROM listed_exchange l JOIN named_share s ON l.c_name = s.c_name) x WHERE place = 1""")
 
 
 def shares_of(t):
@@ -38,7 +46,8 @@ def trend_of(t):
 
 
 def panel_of(t):
-    return traffic.match_exchange_traffic(t["cex"], shares_of(t))
+    shares = traffic.traffic_share(traffic.mean_traffic(t["traffic_named"]))
+    return traffic.match_exchange_traffic(t["cex_listed"], shares)
 
 
 def flags_of(t):

@@ -38,6 +38,18 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT 'EXCH-' || s_nationkey AS exchange, 's' || s_suppkey AS address, 'ETH' AS network, s_name AS website
         FROM supplier WHERE s_acctbal > 5000""",
+    "cex_listed": """
+        SELECT CASE lower(exchange) WHEN 'exch-7' THEN 'Gate.io' WHEN 'exch-8' THEN 'BtcTurk' WHEN 'exch-9' THEN 'XT'
+                    WHEN 'exch-10' THEN 'Crypto.com Exchange' ELSE exchange END AS exchange, address, network, website FROM cex
+        UNION ALL
+        SELECT 'A (no) traffic' AS exchange, 's' || s_suppkey AS address, 'ETH' AS network, s_name AS website
+        FROM supplier WHERE s_suppkey % 3 = 0
+        UNION ALL
+        SELECT 'Exch-2' AS exchange, 's' || s_suppkey AS address, 'ETH' AS network, s_name AS website
+        FROM supplier WHERE s_suppkey % 4 = 0""",
+    "traffic_named": """
+        SELECT CASE cex WHEN 'Exch-7' THEN 'Gate' WHEN 'Exch-8' THEN 'BTCTurk - Kripto' WHEN 'Exch-9' THEN 'XT.com'
+                    WHEN 'Exch-10' THEN 'crypto.(com)exchange' ELSE cex END AS cex, date, country, traffic FROM traffic""",
     "early_stage": """
         SELECT 'EXCH-' || n_nationkey AS exchange_name, n_name AS country,
                CASE WHEN n_nationkey = 4 THEN NULL ELSE 1995 + n_nationkey % 6 END AS latest_year FROM nation""",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rng import portable_uniform as sql_uniform
+from ..functions.rng import checking_uniform as sql_uniform
+from ..functions.rng import portable_uniform
 from ..operators import skipgram, walks
 from ..session import materialize
 from .graph_queries import graph_of, seeds_of
@@ -20,7 +21,7 @@ def walks_of(t, policy="restart", length=LENGTH):
     wallets, _, cdf = graph_of(t)
     cdf = materialize(cdf)
     adjacency = walks.build_adjacency(cdf)
-    return walks.random_walks(seeds_of(t, wallets, cdf), adjacency, length, policy=policy, seed=SEED)
+    return walks.random_walks(seeds_of(t, wallets, cdf), adjacency, length, policy=policy, seed=SEED, uniform="portable")
 
 
 def path_text(df):
@@ -87,7 +88,7 @@ def _(t):
     numbered = dense_ids(seeds_of(t, wallets, cdf), [F.col("node_id")], "seed_index")
     frontier = numbered.select(
         F.col("node_id").alias("node"), F.lit(False).alias("hot"), "seed_index",
-        F.expr(sql_uniform("seed_index", 0, SEED)).alias("u"),
+        F.expr(portable_uniform("seed_index", 0, SEED)).alias("u"),
     )
     return walks.next_hop(frontier, adjacency, "u", "seed_index").select("node", "next_node")
 
@@ -138,7 +139,7 @@ def _(t):
 
 @query("m1_skipgram_pairs", "SELECT walk_id, pos, ctx_pos, center, context FROM pair")
 def _(t):
-    return skipgram.skipgram_pairs(walks_of(t), WINDOW, SEED)
+    return skipgram.skipgram_pairs(walks_of(t), WINDOW, SEED, "portable")
 
 
 @query("m1_encode_walks", """
@@ -159,11 +160,11 @@ def _(t):
 @query("m3_sample_negatives", f"""
     SELECT p.walk_id, p.pos, p.ctx_pos, d.draw, n.id AS negative
     FROM pair p CROSS JOIN (SELECT unnest(range(0, {NEGATIVES})) AS draw) d
-    JOIN noise n ON {sql_uniform('(p.walk_id * 64 + p.pos) * 64 + p.ctx_pos', 'd.draw', SEED)} > n.low
-     AND {sql_uniform('(p.walk_id * 64 + p.pos) * 64 + p.ctx_pos', 'd.draw', SEED)} <= n.cume""")
+    JOIN noise n ON {sql_uniform(('p.walk_id', 'p.pos', 'p.ctx_pos'), 'd.draw', SEED)} > n.low
+     AND {sql_uniform(('p.walk_id', 'p.pos', 'p.ctx_pos'), 'd.draw', SEED)} <= n.cume""")
 def _(t):
     walked = walks_of(t)
     noise = materialize(skipgram.noise_distribution(walks.vocab_counts(walked)))
-    pairs = skipgram.skipgram_pairs(walked, WINDOW, SEED)
-    drawn = skipgram.sample_negatives(pairs, noise, NEGATIVES, SEED)
+    pairs = skipgram.skipgram_pairs(walked, WINDOW, SEED, "portable")
+    drawn = skipgram.sample_negatives(pairs, noise, NEGATIVES, SEED, "portable")
     return drawn.select("walk_id", "pos", "ctx_pos", F.col("draw").cast("bigint").alias("draw"), "negative")
