@@ -39,6 +39,12 @@ def merge_on_date(panels: list[DataFrame]) -> DataFrame:
     return merged.join(owner, ["cex", "country", "_file"]).drop("_file")
 
 
+def first_file_wins(long: DataFrame) -> DataFrame:
+    """Long (cex, file, country, date, traffic) rows without the countries that an earlier file of the exchange has."""
+    owner = long.groupBy("cex", "country").agg(F.min("file").alias("file"))
+    return long.join(owner, ["cex", "country", "file"]).drop("file")
+
+
 def mean_traffic(panel: DataFrame) -> DataFrame:
     """Mean per (cex, country); missing values are skipped."""
     return panel.groupBy("cex", "country").agg(F.avg(F.nanvl("traffic", F.lit(None))).alias("traffic"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import requests
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import readers, writers
 from ..sources.schemas import ENS_RECORD
 from ..streaming import incremental
 from .registry import query
-from ..operators import relational
+from ..operators import relational, traffic
 
 _LINE_COLUMNS = (
     "order_id part_id supplier_id line quantity price discount tax return_flag line_status ship_date"
@@ -18,10 +20,10 @@ _LINE_COLUMNS = (
 
 
 @query("s1_read_transfers", """
-    SELECT l_orderkey AS order_id, l_suppkey AS supplier_id, l_extendedprice AS price FROM lineitem WHERE l_returnflag = 'R'""")
+    SELECT l_orderkey AS order_id, l_suppkey AS supplier_id, l_extendedprice AS price FROM lineitem""")
 def _(t):
     lines = readers.read_positional(t.spark, t.path("lineitem"), _LINE_COLUMNS)
-    return lines.filter("return_flag = 'R'").select("order_id", "supplier_id", "price")
+    return lines.select("order_id", "supplier_id", "price")
 
 
 @query("s2_read_union", """
@@ -70,13 +72,19 @@ def _(t):
 
 
 @query("s6_read_wide_dir", """
-    SELECT cex, country, date, traffic FROM traffic WHERE country IN ('NATION_1', 'NATION_2', 'South Korea')""")
+    SELECT cex, country, date, traffic FROM traffic WHERE country <= 'NATION_2'
+    UNION ALL SELECT cex, country, date, traffic * 3 FROM traffic WHERE country > 'NATION_2'""")
 def _(t):
+    """Two files an exchange: one with the early countries, one with all; headers repeat a country, with blanks."""
+    from .traffic_queries import COUNTRIES
+
     path = scratch_path(t.spark, "traffic")
-    axis = ["NATION_1", "NATION_2", "South Korea"]
-    wide = relational.pivot(t["traffic"].filter(F.col("country").isin(axis)), ["cex", "date"], "country", axis, "traffic")
-    wide.repartition("cex").write.partitionBy("cex").option("header", "true").csv(path)
-    long = readers.read_wide_dir(t.spark, [path])
+    early = [c for c in COUNTRIES if c <= "NATION_2"]
+    for name, axis, factor in (("a", early, 1), ("b", COUNTRIES, 3)):
+        wide = relational.pivot(t["traffic"].withColumn("traffic", F.col("traffic") * factor), ["cex", "date"], "country", axis, "traffic")
+        repeated = wide.select("cex", "date", *axis, F.lit(7.0).alias(f" {axis[0]}"), F.lit(8.0).alias(f"{axis[-1]}.1"))
+        repeated.repartition("cex").sortWithinPartitions("cex", "date").write.partitionBy("cex").option("header", "true").csv(f"{path}/{name}")
+    long = traffic.first_file_wins(readers.read_wide_dir(t.spark, [path]))
     return long.filter(F.col("traffic").isNotNull()).select(
         F.regexp_replace("cex", "^cex=", "").alias("cex"), "country", "date", "traffic"
     )
@@ -129,6 +137,17 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("s14_rebuild_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(t):
+    name = f"chainlens_rebuilt_{uuid.uuid4().hex}"
+    orders = t["orders"].select("o_orderkey", "o_custkey", "o_totalprice")
+    writers.rebuild_table(orders.withColumn("o_totalprice", F.lit(0.0)), name)
+    writers.rebuild_table(orders, name)
+    rebuilt = materialize(t.spark.table(name))
+    t.spark.sql(f"DROP TABLE {name}")
+    return rebuilt
+
+
 @query("s15_write_walks", """
     SELECT string_agg(CAST(node AS VARCHAR), ' ' ORDER BY step) AS line FROM walk_rec_restart GROUP BY walk_id""")
 def _(t):
@@ -140,11 +159,14 @@ def _(t):
 
 
 @query("s16_table_columns", """
-    SELECT ordinal_position AS ordinal, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string'
-      WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type
-    FROM information_schema.columns WHERE table_name = 'orders'""")
-def _(t):
-    return readers.table_columns(t["orders"]).drop("is_nullable")
+    SELECT c.ordinal_position AS ordinal, c.column_name, CASE c.data_type WHEN 'BIGINT' THEN 'bigint' ELSE 'string' END AS data_type,
+           CASE c.column_name WHEN 'created_at' THEN n.a WHEN 'name' THEN n.b WHEN 'owner_id' THEN n.c ELSE n.d END AS n_nulls
+    FROM (VALUES (1, 'created_at', 'BIGINT'), (2, 'name', 'VARCHAR'), (3, 'owner_id', 'VARCHAR'), (4, 'wrapped_owner_id', 'VARCHAR'))
+           AS c(ordinal_position, column_name, data_type),
+         (SELECT count(*) - count(created_at) AS a, count(*) - count(name) AS b, count(*) - count(owner_id) AS c,
+                 count(*) - count(wrapped_owner_id) AS d FROM ens_domain) n""")
+def _(t):
+    return readers.table_columns(t["ens_domain"])
 
 
 @query("s17_incremental_load", "SELECT event_id, ts, user_id FROM events")

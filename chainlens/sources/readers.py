@@ -60,32 +60,42 @@ def read_tagged_csv(spark: SparkSession, path: str, columns: Sequence[str], tag:
     return df.filter(~F.coalesce(F.col(columns[0]).rlike(skip), F.lit(False))) if skip else df
 
 
-def read_wide_dir(spark: SparkSession, paths: Sequence[str], tag: str = "cex", header_rows: str = r"^\d") -> DataFrame:
+# Marks of the columns that a repeated header leaves behind in re-saved files.
+_REPEATED = (".1", ".2", ".3")
+_CELLS = r""",(?=(?:[^"]*"[^"]*")*[^"]*$)"""
+
+
+def _cells(line: F.Column) -> F.Column:
+    """Cells of a CSV line, without quotes and outer blanks."""
+    return F.transform(F.split(line, _CELLS, -1), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+
+
+def read_wide_dir(spark: SparkSession, paths: Sequence[str], tag: str = "cex", header_rows: str = r"^\d",
+                  encoding: str = "ISO-8859-1") -> DataFrame:
     """Wide traffic CSVs (first column a date, one column per country) as long rows (tag, file, date, country, traffic).
 
-    Files may have different country columns, so each header is read on its own; the rows of all files
-    are one union. Only rows whose first column matches ``header_rows`` are data.
+    One scan of any number of files and folders: each file is one row (such exports are small), and its own first line
+    names its columns, so files of one folder may have different countries. A country that a header repeats, with or
+    without blanks around it, is read from its first column. Only rows whose first column matches ``header_rows`` are data.
     """
     from ..functions.dates import parse_date
-    from ..operators.relational import drop_suffix_columns, to_number
-
-    longs = []
-    for path in paths:
-        raw = spark.read.option("header", "true").option("encoding", "ISO-8859-1").csv(path)
-        first = raw.columns[0]
-        located = F.col("_metadata.file_path")
-        raw = raw.withColumn("_file", located).filter(F.col(f"`{first}`").rlike(header_rows))
-        wide = drop_suffix_columns(raw)
-        countries = [c for c in wide.columns if c not in (first.strip(), "_file")]
-        long = wide.unpivot([first.strip(), "_file"], countries, "country", "traffic")
-        longs.append(long.select(
-            F.regexp_extract(F.url_decode("_file"), r"([^/]+)/[^/]+$", 1).alias(tag), F.col("_file").alias("file"),
-            parse_date(F.col(f"`{first.strip()}`")).alias("date"), "country", to_number("traffic").alias("traffic"),
-        ))
-    result = longs[0]
-    for long in longs[1:]:
-        result = result.unionByName(long)
-    return result
+    from ..operators.relational import to_number
+
+    whole = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True)
+    lines = F.split(F.decode(F.col("value").cast("binary"), encoding), "\r?\n", -1)
+    files = whole.select(F.col("_metadata.file_path").alias("file"), lines.alias("_lines"))
+    files = files.withColumn("_header", _cells(F.get("_lines", F.lit(0))))
+    marked = F.transform("_header", lambda c, i: F.named_struct(F.lit("place"), i, F.lit("country"), c))
+    kept = F.filter(marked, lambda h: (h["place"] > 0) & (h["country"] != "")
+                    & (F.array_position("_header", h["country"]) == h["place"] + 1)
+                    & ~F.exists(F.array(*[F.lit(m) for m in _REPEATED]), lambda m: F.contains(h["country"], m)))
+    rows = files.select("file", kept.alias("_kept"), F.explode("_lines").alias("_line")).where(F.col("_line").rlike(header_rows))
+    cells = rows.select("file", _cells(F.col("_line")).alias("_values"), "_kept")
+    long = cells.select("file", "_values", F.get("_values", F.lit(0)).alias("_date"), F.inline("_kept"))
+    return long.select(
+        F.regexp_extract(F.url_decode("file"), r"([^/]+)/[^/]+$", 1).alias(tag), "file", parse_date(F.col("_date")).alias("date"),
+        "country", to_number(F.get("_values", F.col("place"))).alias("traffic"),
+    )
 
 
 def read_lines(spark: SparkSession, path: str, out: str = "address") -> DataFrame:
@@ -109,6 +119,9 @@ def table_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_columns(df: DataFrame) -> DataFrame:
-    """(ordinal, column_name, data_type, is_nullable) of a table: metadata only."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields, 1)]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, column_name string, data_type string, is_nullable boolean")
+    """(ordinal, column_name, data_type, n_nulls) of a table; nulls are counted in one scan."""
+    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
+                     F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"n{i}").alias("n_nulls"))
+            for i, f in enumerate(df.schema.fields)]
+    return counts.select(F.inline(F.array(*rows)))

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import first_by
+
 
 def new_rows(source: DataFrame, target: DataFrame | None, cursor: str, key: str) -> DataFrame:
-    """Source rows not yet in the target, one per key.
+    """Source rows not yet in the target, one per key: the first by cursor, then by the other columns.
 
-    Rows at the target's last cursor value are read again and compared by key, so ties at the
-    boundary are neither lost nor doubled. A later row under a loaded key is a repeat and stays out.
+    The target's last cursor value is a literal in the filter, so it reaches the scan, and only the rows from it on are
+    compared by key: ties at the boundary are neither lost nor doubled. A later row under a loaded key is a repeat and
+    stays out.
     """
-    rows = source.dropDuplicates([key])
-    if target is None:
-        return rows
-    mark = target.agg(F.max(cursor)).scalar()
-    loaded = target.select(key)
-    fresh = rows.filter(F.coalesce(F.col(cursor) >= mark, mark.isNull()))
-    return fresh.join(loaded, key, "left_anti")
+    mark = None if target is None else target.agg(F.max(cursor)).first()[0]
+    rows = source if mark is None else source.filter(F.col(cursor) >= F.lit(mark).cast(source.schema[cursor].dataType))
+    first = first_by(rows, [key], [cursor, *[c for c in source.columns if c not in (key, cursor)]])
+    return first if target is None else first.join(target.select(key), key, "left_anti")
 
 
 def incremental_load(spark: SparkSession, source: DataFrame, target_path: str, cursor: str, key: str) -> int:

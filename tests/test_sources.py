@@ -43,13 +43,13 @@ def test_csv_encoding_and_preamble(spark, tmp_path):
 
 
 def test_wide_directory(spark, tmp_path):
-    for exchange, header, line in (("okx", "Location, Japan ,Japan.1", "2020-01-01,5,6"), ("gate io", "Location,India", "2020-01-01,<1")):
+    for exchange, header, line in (("okx", "Location, Japan ,Japan.1,Japan,\"Korea, South\"", "2020-01-01,5,6,7,\"8\""), ("gate io", "Location,India", "2020-01-01,<1")):
         folder = tmp_path / exchange
         folder.mkdir()
         (folder / "t.csv").write_text(f"{header}\nMetric,x,x\n,,\n{line}\n")
     long = readers.read_wide_dir(spark, [str(tmp_path / "okx" / "t.csv"), str(tmp_path / "gate io" / "t.csv")])
     assert [(r[0], str(r[1]), r[2], r[3]) for r in rows(long, "cex", "date", "country", "traffic")] == [
-        ("gate io", "2020-01-01", "India", 0.0), ("okx", "2020-01-01", "Japan", 5.0)]
+        ("gate io", "2020-01-01", "India", 0.0), ("okx", "2020-01-01", "Japan", 5.0), ("okx", "2020-01-01", "Korea, South", 8.0)]
 
 
 def test_tagged_csv(spark, tmp_path):
