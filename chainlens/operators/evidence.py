@@ -36,12 +36,13 @@ def early_stage_counterparties(transfers: DataFrame, years: DataFrame) -> DataFr
     A transfer that matches on both ends gives two rows, as a bag union.
     """
     dated = transfers.select("from_address", "to_address", epoch_year("block_timestamp").alias("year"))
-    years = broadcast_if_small(years)
-    parts = []
-    for near, far in (("from_address", "to_address"), ("to_address", "from_address")):
-        side = years.withColumnRenamed("address", near)
-        parts.append(dated.join(side, [near, "year"]).select(F.col(far).alias("address"), "year", "country"))
-    return parts[0].unionByName(parts[1])
+    ends = F.array(
+        F.struct(F.col("from_address").alias("near"), F.col("to_address").alias("far")),
+        F.struct(F.col("to_address").alias("near"), F.col("from_address").alias("far")),
+    )
+    sides = dated.select("year", F.inline(ends))  # one scan, one join
+    near = broadcast_if_small(years).withColumnRenamed("address", "near")
+    return sides.join(near, ["near", "year"]).select(F.col("far").alias("address"), "year", "country")
 
 
 def unique_country_wallets(pairs: DataFrame, exclude: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 
 def label_flow(transfers: DataFrame, address_country: DataFrame) -> DataFrame:
@@ -17,6 +17,11 @@ def label_flow(transfers: DataFrame, address_country: DataFrame) -> DataFrame:
     return transfers
 
 
+def sum_pairs(transfers: DataFrame) -> DataFrame:
+    """Amount and USD per (from_address, to_address): what country sums need of the raw transfers."""
+    return transfers.groupBy("from_address", "to_address").agg(*[F.sum(c).alias(c) for c in ("amount", "amount_usd")])
+
+
 def country_flows(labelled: DataFrame) -> DataFrame:
     """Amount and USD per (from_country, to_country), unknown countries left out."""
     known = labelled.dropna(how="any", subset=["from_country", "to_country"])
@@ -33,6 +38,7 @@ def flow_share(*flows: DataFrame) -> DataFrame:
     summed = merged.groupBy(F.col("from_country").alias("source"), F.col("to_country").alias("target")).agg(
         F.sum("amount_usd").alias("amount_usd")
     )
+    summed = materialize(summed)  # a row for each pair of countries, read twice
     total = summed.agg(F.sum("amount_usd")).scalar()
     return summed.withColumn("amount_usd_pct", F.round(F.col("amount_usd") / total * 100, 2))
 

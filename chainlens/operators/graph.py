@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
@@ -66,11 +66,21 @@ def build_cdf(edges: DataFrame, log: bool = True, max_fanout: int = 65536) -> Da
     """
     weight = log_weight("weight") if log else positive_weight("weight")
     kept = edges.select("src", "dst", weight.alias("weight")).filter(F.col("weight") > 0)
-    wide = broadcast_if_small(wide_sources(kept, max_fanout)).withColumn("_wide", F.lit(True))
-    block = F.when(F.col("_wide"), F.floor(F.col("dst") / F.lit(max_fanout))).otherwise(F.lit(0)).cast("bigint")
-    blocked = kept.join(wide, "src", "left").withColumn("block", block).drop("_wide")
-    summed = running_sum(blocked, ["src"], "block", ["dst"], "weight", "cume", total="wsum")
-    return summed.select("src", "dst", "weight", "wsum", "cume", "block")
+    wide = materialize(wide_sources(kept, max_fanout))
+    any_wide = not wide.isEmpty()
+    narrow = kept.join(broadcast_if_small(wide), "src", "left_anti") if any_wide else kept
+    whole = Window.partitionBy("src").orderBy("dst")
+    found = narrow.select(
+        "src", "dst", "weight",
+        F.sum("weight").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("wsum"),
+        F.sum("weight").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cume"),
+        F.lit(0).cast("bigint").alias("block"),
+    )
+    if not any_wide:
+        return found
+    hubs = kept.join(broadcast_if_small(wide), "src").withColumn("block", F.floor(F.col("dst") / F.lit(max_fanout)).cast("bigint"))
+    summed = running_sum(hubs, ["src"], "block", ["dst"], "weight", "cume", total="wsum")
+    return found.unionByName(summed.select("src", "dst", "weight", "wsum", "cume", "block"))
 
 
 def out_degree(cdf: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def dense_ids(df: DataFrame, order: Sequence[Column], out: str, start: int = 0)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     return (
-        fixed.join(offsets, "_part")
+        fixed.join(F.broadcast(offsets), "_part")  # a row for each partition; the ids' rows stay where they are
         .withColumn(out, (F.col("_offset") + F.col("_pos") + start).cast("bigint"))
         .drop("_part", "_pos", "_offset")
     )

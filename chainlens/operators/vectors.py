@@ -336,15 +336,12 @@ def reweight_inverse_frequency(values: DataFrame, alpha: float = 1.0, epsilon: f
 
 
 def softmax_by(df: DataFrame, group: list[str], x: str, out: str, tau: float | None = None) -> DataFrame:
-    """exp(x - max) / sum within ``group``; with ``tau``, exp(x / tau) / sum without the shift.
+    """exp((x - max) / tau) / sum within ``group``; ``tau`` is 1 if not given. The shift keeps large scores finite.
 
     Maxima and sums are partial aggregates joined back, so a large group is never in one task.
     """
-    if tau is None:
-        tops = df.groupBy(*group).agg(F.max(x).alias("_top"))
-        raised = df.join(tops, group).withColumn("_e", F.exp(F.col(x) - F.col("_top"))).drop("_top")
-    else:
-        raised = df.withColumn("_e", F.exp(F.col(x) / F.lit(tau)))
+    tops = df.groupBy(*group).agg(F.max(x).alias("_top"))
+    raised = df.join(tops, group).withColumn("_e", F.exp((F.col(x) - F.col("_top")) / F.lit(1.0 if tau is None else tau))).drop("_top")
     totals = raised.groupBy(*group).agg(F.sum("_e").alias("_total"))
     return raised.join(totals, group).withColumn(out, F.col("_e") / F.col("_total")).drop("_e", "_total")
 
