@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,34 +34,72 @@ WINDOW = 4096
 END_ID = 2
 STRETCH = 1 << 20  # ids per run of the dynamic programme
 _SLICE = 1 << 20  # characters tokenised at a time
-_KNOWN_WORDS = 400_000  # words whose ids a worker remembers; it starts anew beyond
+_KNOWN_WORDS = 300_000  # words, and runs of letters, whose ids a worker remembers; it starts anew beyond
+_MARKS = ".,;:!?#$%&*|"
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to tokenizers
 _SEQUENCE_SHIFT = 32
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts, by the file's tokenizer. White space separates words for it too, so words are encoded once."""
+    """Ids of texts, by the file's tokenizer.
+
+    White space separates words for it, and letters from the marks that follow them, so each run of letters is encoded
+    once: normalised by the tokenizer and handed to its model. All other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.closes[number] = set(token.removesuffix("</w>")) <= set(".!?") and token != "</w>"
 
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        run = word.rstrip(_MARKS)
+        if not run.isalpha():
+            return self._whole(word)
+        lower = run.lower() if run.isascii() else self.normalizer.normalize_str(run)
+        found = self.runs.get(lower)
+        if found is None:
+            if not lower.isalpha():
+                return self._whole(word)
+            if len(self.runs) > _KNOWN_WORDS:
+                self.runs.clear()
+            spelt = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.characters)
+            found = self.runs[lower] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if len(run) == len(word):
+            return found
+        tail = word[len(run):]
+        marks = self.runs.get(tail)
+        if marks is None:
+            marks = self.runs[tail] = self._whole(tail)
+        return found + marks
+
     def _words(self, text: str) -> bytes:
         odd = any(c in text for c in _NOT_WHITE)
         words = [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w] if odd else text.split()
-        if len(self.known) > _KNOWN_WORDS:
-            self.known.clear()
         known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        for word, made in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            known[word] = np.array(made.ids, "<u4").tobytes()
+        if len(known) > _KNOWN_WORDS:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = self._word(word)
         return b"".join([known[w] for w in words])
 
     def ids(self, text: str) -> np.ndarray:
