@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, Word2Vec
+from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -43,35 +43,9 @@ def assemble_features(
     )
 
 
-# Vector elements Spark's own embedding trainer may hold on the driver.
-WORD2VEC_CELLS = 64_000_000
-
-
-def train_embeddings(
-    walks: DataFrame, dim: int = 64, window: int = 8, min_count: int = 1, epochs: int = 10, alpha: float = 0.02,
-    seed: int = 42, partitions: int = 1,
-):
-    """Skip-gram vectors of the nodes of walks (path) by Spark's own trainer, a hierarchical softmax.
-
-    That trainer holds vocabulary and vectors on the driver, so it only takes vocabularies up to
-    ``WORD2VEC_CELLS`` / ``dim``; ``skipgram.train_vectors`` has no such bound.
-    """
-    distinct = walks.select(F.explode("path").alias("id")).distinct()
-    if distinct.limit(WORD2VEC_CELLS // dim + 1).count() > WORD2VEC_CELLS // dim:
-        raise ValueError("vocabulary too large for the driver; use skipgram.train_vectors")
-    sentences = walks.filter(F.size("path") >= 2).select(F.col("path").cast("array<string>").alias("path"))
-    trainer = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, stepSize=alpha, seed=seed,
-        numPartitions=partitions, inputCol="path", outputCol="vector", maxSentenceLength=10_000,
-    )
-    return trainer.fit(sentences)
-
-
-def export_vectors(model) -> DataFrame:
-    """(id, embedding) of a trained embedding model."""
-    return model.getVectors().select(
-        F.col("word").cast("bigint").alias("id"), vector_to_array("vector").cast("array<float>").alias("embedding")
-    )
+def export_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, embedding) in single precision, as they are written for later use."""
+    return vectors.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
 
 
 def encode_labels(df: DataFrame, label: str = "label", out: str = "label_index") -> tuple[DataFrame, StringIndexerModel]:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,69 +74,115 @@ def sample_negatives(
     return draws.join(lists, "cell").withColumn("negative", F.get("_ids", at)).drop("cell", "_u", "_cumes", "_ids")
 
 
-def initial_vectors(vocab: DataFrame, dim: int, seed: int = 42) -> DataFrame:
-    """(id, center[], context[]): small random centre vectors, zero context vectors."""
+def initial_vectors(vocab: DataFrame, dim: int, parts: int, seed: int = 42) -> DataFrame:
+    """(id, part, side, vec): small random centre vectors (side u), zero context vectors (side v)."""
     draws = ", ".join(f"({UNIFORMS['hashed']('id', i, seed)} - 0.5D) / {dim}" for i in range(dim))
-    return vocab.selectExpr("id", f"array({draws}) AS center", f"array_repeat(0.0D, {dim}) AS context")
+    return vocab.selectExpr("id", f"CAST(pmod(xxhash64(id), {parts}) AS INT) AS part").selectExpr(
+        "id", "part", f"inline(array(named_struct('side', 'u', 'vec', array({draws})),"
+        f" named_struct('side', 'v', 'vec', array_repeat(0.0D, {dim}))))"
+    )
+
+
+def descend(u: np.ndarray, v: np.ndarray, center: np.ndarray, other: np.ndarray, label: np.ndarray, rate_from: float,
+            rate_to: float, batch: int) -> None:
+    """Stochastic gradient steps on u and v, in place, with a rate that falls over the examples."""
+    for at in range(0, len(center), batch):
+        rate = rate_from + (rate_to - rate_from) * at / len(center)
+        c, o = center[at: at + batch], other[at: at + batch]
+        left, right = u[c], v[o]
+        miss = rate * (label[at: at + batch] - 1.0 / (1.0 + np.exp(-np.clip((left * right).sum(axis=1), -30, 30))))
+        np.add.at(u, c, miss[:, None] * right)
+        np.add.at(v, o, miss[:, None] * left)
 
 
-def gradient_step(vectors: DataFrame, examples: DataFrame, dim: int, rate: float) -> DataFrame:
-    """One averaged gradient step of all vectors on examples (center, other, label).
+def block_step(vectors: DataFrame, examples: DataFrame, dim: int, parts: int, turn: int, rate_from: float, rate_to: float,
+               seed: int) -> DataFrame:
+    """One pass over the examples whose parts are ``turn`` apart; (id, part, side, vec) after it.
 
-    The vector table is joined to both ends, each Arrow batch adds up its own gradients per node, and
-    one aggregate per (node, side) finishes the sums; a node in most examples arrives pre-added.
+    Group g holds the centre vectors of part g, the context vectors of part g + turn and the examples between them, so
+    no two groups share a vector and each group takes many small steps on its own. A vector travels once a turn, however
+    many examples need it.
     """
-    left = vectors.select(F.col("id").alias("center"), F.col("center").alias("u"))
-    right = vectors.select(F.col("id").alias("other"), F.col("context").alias("v"))
-    joined = examples.join(left, "center").join(right, "other").select("center", "other", "label", "u", "v")
-
-    def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            u, v = np.stack(batch["u"]), np.stack(batch["v"])
-            miss = batch["label"].to_numpy() - 1.0 / (1.0 + np.exp(-np.clip((u * v).sum(axis=1), -30, 30)))
-            for side, ids, pull in (("u", batch["center"], v), ("v", batch["other"], u)):
-                nodes, codes = np.unique(ids.to_numpy(), return_inverse=True)
-                sums = np.zeros((len(nodes), dim))
-                np.add.at(sums, codes, miss[:, None] * pull)
-                yield pd.DataFrame({"id": nodes, "side": side, "grad": list(sums), "n": np.bincount(codes)})
-
-    partial = joined.mapInPandas(gradients, "id bigint, side string, grad array<double>, n bigint")
-    mean = F.array(*[F.sum(F.get("grad", F.lit(i))) / F.sum("n") for i in range(dim)])
-    steps = partial.groupBy("id").pivot("side", ["u", "v"]).agg(mean)
-
-    def moved(column: str, step: str):
-        return F.when(F.col(step).isNull(), F.col(column)).otherwise(
-            F.zip_with(column, step, lambda x, g: x + F.lit(rate) * g)
-        ).alias(column)
-
-    return vectors.join(steps, "id", "left").select("id", moved("center", "u"), moved("context", "v"))
+    group = F.when(F.col("side") == "u", F.col("part")).otherwise(F.pmod(F.col("part") - turn, F.lit(parts)))
+    held = vectors.withColumn("g", group)
+    chosen = examples.where(F.pmod(F.col("other_part") - F.col("center_part"), F.lit(parts)) == turn)
+    chosen = chosen.select(F.col("center_part").alias("example_g"), "center", "other", "label")
+
+    def learn(table: pa.Table, found: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("id", "ascending")])
+        is_u = np.array(table.column("side").to_pylist(), dtype=object) == "u"
+        ids = table.column("id").to_numpy()
+        every = table.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim).copy()
+        u, v = every[is_u], every[~is_u]
+        if found.num_rows and len(u) and len(v):
+            found = found.sort_by([("center", "ascending"), ("other", "ascending"), ("label", "ascending")])
+            order = np.random.default_rng(seed).permutation(found.num_rows)
+            center = np.searchsorted(ids[is_u], found.column("center").to_numpy())[order]
+            other = np.searchsorted(ids[~is_u], found.column("other").to_numpy())[order]
+            batch = max(16, min(1024, len(u), len(v)))
+            descend(u, v, center, other, found.column("label").to_numpy()[order], rate_from, rate_to, batch)
+        flat = pa.array(np.concatenate([u, v]).ravel())
+        offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))
+        return pa.table({"id": table.column("id"), "part": table.column("part"), "side": table.column("side"),
+                         "vec": pa.ListArray.from_arrays(offsets, flat)})
+
+    return held.groupBy("g").cogroup(chosen.groupBy("example_g")).applyInArrow(
+        learn, "id bigint, part int, side string, vec array<double>")
+
+
+def subsampled(walks: DataFrame, vocab: DataFrame, sample: float, seed: int) -> DataFrame:
+    """Walks without a random share of their frequent tokens: one of share f stays with sqrt(sample / f) + sample / f."""
+    total = vocab.agg(F.sum("count")).first()[0] or 1
+    share = F.col("count") / F.lit(float(total))
+    stays = vocab.select(F.col("id").alias("_token"), (F.sqrt(F.lit(sample) / share) + F.lit(sample) / share).alias("_stays"))
+    tokens = walks.select("walk_id", F.posexplode("path").alias("_pos", "_token")).join(stays, "_token")
+    kept = tokens.filter(F.expr(UNIFORMS["hashed"](("walk_id", "_pos"), 0, seed)) < F.col("_stays"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_token")))
+    return kept.groupBy("walk_id").agg(ordered.alias("_seq")).select("walk_id", F.col("_seq._token").alias("path"))
 
 
 def train_vectors(
-    walks: DataFrame, dim: int = 64, window: int = 8, negatives: int = 5, epochs: int = 10, rate: float = 1.0,
-    batches: int = 1, min_count: int = 1, seed: int = 42, power: float = 0.75,
+    walks: DataFrame, dim: int = 64, window: int = 8, negatives: int = 15, epochs: int = 10, alpha: float = 0.025,
+    min_alpha: float = 0.0001, sample: float = 0.0, min_count: int = 1, seed: int = 42, power: float = 0.5,
+    part_nodes: int = 100_000, group_examples: int = 4_000_000,
 ) -> DataFrame:
-    """(id, embedding): skip-gram with negative sampling, with the vectors kept as a distributed table.
+    """(id, embedding): skip-gram with negative sampling over (walk_id, path), the vectors kept as a distributed table.
 
-    Every epoch draws new windows and noise, walks are dealt to ``batches`` steps, and the vectors
-    are checkpointed after each step. Nothing of vocabulary size passes through the driver.
+    Nodes are cut into parts of about ``part_nodes``. Every epoch draws new windows and noise (and drops frequent tokens, if
+    ``sample`` > 0), deals the walks to shares small enough that no group of two parts gets over about
+    ``group_examples`` examples, and takes the pairs of parts in turns. The rate falls from ``alpha`` to ``min_alpha``. Vectors are
+    checkpointed after each turn. Nothing of vocabulary size passes through the driver or one task.
     """
     vocab = materialize(vocab_counts(walks, min_count))
     noise = materialize(noise_distribution(vocab, power))
     kept = walks if min_count <= 1 else encode_kept(walks, vocab)
-    vectors = initial_vectors(vocab, dim, seed)
+    parts = max(1, -(-vocab.count() // part_nodes))
+    vectors = materialize(initial_vectors(vocab, dim, parts, seed))
+
+    def part(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int").alias(f"{column}_part")
+
+    def examples_of(share: DataFrame, epoch: int) -> DataFrame:
+        pairs = skipgram_pairs(share, window, seed + epoch)
+        drawn = sample_negatives(pairs, noise, negatives, seed + epoch)
+        both = pairs.select("center", F.col("context").alias("other"), F.lit(1.0).alias("label")).unionByName(
+            drawn.select("center", F.col("negative").alias("other"), F.lit(0.0).alias("label")))
+        return both.select("center", "other", "label", part("center"), part("other"))
+
+    centers = skipgram_pairs(kept, window, seed).groupBy(part("center")).agg(F.count("*").alias("n"))
+    most = centers.agg(F.max("n")).first()[0] or 0  # the fullest part of centres, dealt to the parts of contexts
+    shares = max(1, -(-most * (1 + negatives) // (parts * group_examples)))
+    steps = epochs * shares
     for epoch in range(epochs):
-        for batch in range(batches):
-            share = kept.filter(F.pmod(F.xxhash64("walk_id"), F.lit(batches)) == batch)
-            pairs = skipgram_pairs(share, window, seed + epoch, "hashed")
-            drawn = sample_negatives(pairs, noise, negatives, seed + epoch, "hashed")
-            examples = pairs.select("center", F.col("context").alias("other"), F.lit(1.0).alias("label")).unionByName(
-                drawn.select("center", F.col("negative").alias("other"), F.lit(0.0).alias("label"))
-            )
-            vectors = materialize(gradient_step(vectors, examples, dim, rate))
-    return vectors.select("id", F.col("center").alias("embedding"))
+        whole = subsampled(kept, vocab, sample, seed + epoch) if sample else kept
+        for number in range(shares):
+            mine = whole.filter(F.pmod(F.xxhash64(F.lit(epoch), "walk_id"), F.lit(shares)) == number)
+            examples = materialize(examples_of(mine, epoch))
+            at = epoch * shares + number
+            rates = [alpha + (min_alpha - alpha) * (at + e) / steps for e in (0, 1)]
+            for turn in range(parts):
+                vectors = materialize(block_step(vectors, examples, dim, parts, turn, *rates, seed + at))
+    return vectors.where("side = 'u'").select("id", F.col("vec").alias("embedding"))
 
 
 def encode_kept(walks: DataFrame, vocab: DataFrame) -> DataFrame:
