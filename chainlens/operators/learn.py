@@ -99,18 +99,24 @@ class MacroF1(Evaluator):
         return True
 
 
-# The candidate values of the parameter search, for the parameters Spark's trees have.
+# The candidate values of the boosted trees' parameter search, for the parameters Spark's trees have.
 SEARCH_SPACE = {
-    "numTrees": [300, 500, 800, 1200],
+    "maxIter": [300, 500, 800, 1200],
     "maxDepth": [4, 6, 7, 9, 12],
+    "stepSize": [0.01, 0.03, 0.05, 0.08, 0.1],
     "subsamplingRate": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "featureSubsetStrategy": ["0.6", "0.7", "0.8", "0.9", "1.0"],
     "minInstancesPerNode": [1, 3, 5, 8, 12],
     "minInfoGain": [0.0, 0.1, 0.2, 0.5, 1.0],
 }
+SEARCH_DRAWS = 40
 
 
-def random_param_search(estimator: Estimator, space: Mapping[str, Sequence], n: int, seed: int = 42) -> list[dict]:
-    """``n`` different random parameter maps from the grid."""
+def random_param_search(
+    estimator: Estimator, space: Mapping[str, Sequence] = SEARCH_SPACE, n: int = SEARCH_DRAWS, seed: int = 42
+) -> list[dict]:
+    """``n`` different random parameter maps from the grid; of one-against-rest, those of the inner classifier."""
+    owner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
     size = 1
     for values in space.values():
         size *= len(values)
@@ -121,7 +127,7 @@ def random_param_search(estimator: Estimator, space: Mapping[str, Sequence], n:
         picked = {}
         for name in names:
             position, at = divmod(position, len(space[name]))
-            picked[estimator.getParam(name)] = space[name][at]
+            picked[owner.getParam(name)] = space[name][at]
         maps.append(picked)
     return maps
 
