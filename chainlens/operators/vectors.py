@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,15 @@ from ..functions.vector_math import l2_normalize
 from . import traffic
 
 AXIS_LIMIT = 20_000
+# Cells of one matrix product: 32 MB a float64 array, whatever the batch and the axis.
+CELLS = 4_000_000
+
+
+def row_chunks(rows: int, width: int, cells: int = CELLS) -> Iterator[slice]:
+    """Consecutive slices of ``rows`` rows whose product with ``width`` columns stays within ``cells``."""
+    step = max(1, cells // max(1, width))
+    for start in range(0, rows, step):
+        yield slice(start, min(rows, start + step))
 
 
 def _score_block(kind: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -45,14 +55,14 @@ def _share_of_total(block: np.ndarray, keys: list) -> np.ndarray:
 
 def score_rows(
     vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: int = AXIS_LIMIT,
-    finish: Callable[[np.ndarray, list], np.ndarray] | None = None,
+    finish: Callable[[np.ndarray, list], np.ndarray] | None = None, cells: int = CELLS,
 ) -> DataFrame | None:
     """(id, scores[]) against a sorted axis of at most ``limit`` vectors, else None.
 
     ``finish`` turns the score rows of a batch into the final ones.
 
-    The axis is read to the driver only up to the limit; each Arrow batch is one matrix product and
-    nothing is shuffled. Explode the result with an outer explode: a plain one makes Spark add a test
+    The axis is read to the driver only up to the limit; each Arrow batch is cut into matrix products of at most
+    ``cells`` and nothing is shuffled. Explode the result with an outer explode: a plain one makes Spark add a test
     for empty arrays that runs the matrix product twice. The axis keys come back as the literal column ``keys``.
     """
     rows = axis.select("key", "vector").take(limit + 1)
@@ -64,33 +74,38 @@ def score_rows(
     names = [row["key"] for row in rows]
     matrix = np.array([row["vector"] for row in rows], dtype="float64")
 
-    @F.pandas_udf("array<double>")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=object)
-                continue
-            block = _score_block(kind, np.stack(batch.to_numpy()).astype("float64"), matrix)
-            block = finish(block, names) if finish else block
-            yield pd.Series(list(np.where(np.isnan(block), None, block) if np.isnan(block).any() else block))
-
-    keys = F.lit(names)
-    return vectors.select("id", scores(F.col("vector").cast("array<double>")).alias("scores"), keys.alias("keys"))
-
-
-def pair_scores(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: int = AXIS_LIMIT) -> DataFrame:
+            for part in row_chunks(batch.num_rows, len(names), cells):
+                piece = batch.slice(part.start, part.stop - part.start)
+                left = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1)
+                block = _score_block(kind, left, matrix)
+                block = finish(block, names) if finish else block
+                flat = pa.array(block.ravel(), mask=np.isnan(block.ravel()))
+                offsets = pa.array(np.arange(piece.num_rows + 1, dtype=np.int32) * len(names))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "scores"])
+
+    ready = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    scored = ready.mapInArrow(scores, f"id {dict(vectors.dtypes)['id']}, scores array<double>")
+    return scored.select("id", "scores", F.lit(names).alias("keys"))
+
+
+def pair_scores(
+    vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: int = AXIS_LIMIT, cells: int = CELLS
+) -> DataFrame:
     """(id, key, score) for every vector and axis entry.
 
     A short axis rides along with the expression. A long one is cut into blocks that meet shards of
-    the vectors by key, one matrix product per (block, shard).
+    the vectors by key, one matrix product of at most about ``cells`` per (block, shard): as every pair is a row of the
+    result, the copies of the vectors are few beside it.
     """
-    ready = score_rows(vectors, axis, kind, limit)
+    ready = score_rows(vectors, axis, kind, limit, cells=cells)
     if ready is not None:
         both = F.explode_outer(F.arrays_zip("keys", "scores"))
         return ready.select("id", both.alias("_s")).select(
             "id", F.col("_s.keys").alias("key"), F.col("_s.scores").alias("score")
         )
-    left, right = _sharded(vectors.select("id", "vector"), axis.select("key", "vector"), limit)
+    left, right = _sharded(vectors.select("id", "vector"), axis.select("key", "vector"), min(limit, math.isqrt(cells)))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -108,7 +123,8 @@ def pair_scores(vectors: DataFrame, axis: DataFrame, kind: str = "dot", limit: i
 
 
 def mean_scores_by_group(
-    vectors: DataFrame, axis: DataFrame, kind: str = "cosine", skip_self: bool = True, limit: int = AXIS_LIMIT
+    vectors: DataFrame, axis: DataFrame, kind: str = "cosine", skip_self: bool = True, limit: int = AXIS_LIMIT,
+    cells: int = CELLS,
 ) -> DataFrame:
     """(id, group, score): mean score of each vector with the members (key, group, vector) of each group.
 
@@ -121,11 +137,14 @@ def mean_scores_by_group(
     id_type = dict(vectors.dtypes)["id"]
 
     def partial(ids: np.ndarray, left: np.ndarray, keys: np.ndarray, member: np.ndarray, right: np.ndarray):
-        block = _score_block(kind, left, right)
-        if skip_self:
-            block = np.where(ids[:, None] == keys[None, :], np.nan, block)
-        valid = ~np.isnan(block)
-        return np.where(valid, block, 0.0) @ member, valid @ member
+        sums, counts = np.empty((len(ids), member.shape[1])), np.empty((len(ids), member.shape[1]))
+        for part in row_chunks(len(ids), len(keys), cells):
+            block = _score_block(kind, left[part], right)
+            if skip_self:
+                block = np.where(ids[part][:, None] == keys[None, :], np.nan, block)
+            valid = ~np.isnan(block)
+            sums[part], counts[part] = np.where(valid, block, 0.0) @ member, valid @ member
+        return sums, counts
 
     if len(rows) <= limit and not rows:
         return vectors.select("id", F.lit(None).cast(group_type).alias("group"), F.lit(None).cast("double").alias("score")).limit(0)
@@ -211,33 +230,61 @@ def similarity_matrix(vectors: DataFrame, limit: int = AXIS_LIMIT) -> DataFrame:
     return cross_similarity(vectors.withColumnRenamed("key", "id"), vectors, "cosine", limit)
 
 
-def nearest(vectors: DataFrame, wanted: DataFrame, n: int, limit: int = AXIS_LIMIT) -> DataFrame:
+def _best_rows(block: np.ndarray, ids: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the ``n`` highest scores of each column; ``ids`` are sorted, a column's own id is left out."""
+    rows, columns = [], []
+    for at, name in enumerate(names):
+        own = np.flatnonzero(ids != name)
+        score = block[own, at]
+        if len(own) > n:
+            likely = np.flatnonzero(score >= np.partition(score, len(own) - n)[len(own) - n])
+            own, score = own[likely], score[likely]
+        top = own[np.argsort(-score, kind="stable")[:n]]
+        rows.append(top)
+        columns.append(np.full(len(top), at))
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def nearest(vectors: DataFrame, wanted: DataFrame, n: int, limit: int = AXIS_LIMIT, cells: int = CELLS) -> DataFrame:
     """The ``n`` most similar other vectors (id, key, score) for each wanted (key, vector), ties by id.
 
-    Each Arrow batch keeps its own ``n`` best per key, so the pairs themselves never leave the batch.
+    Each Arrow batch, or each shard that meets a block of a long list, keeps its own ``n`` best per key, so the pairs
+    themselves never leave it. Products stay within ``cells``.
     """
     rows = wanted.select("key", "vector").take(limit + 1)
     id_type, key_type = dict(vectors.dtypes)["id"], dict(wanted.dtypes)["key"]
+    schema = f"id {id_type}, key {key_type}, score double"
+
+    def best_of(ids: np.ndarray, left: np.ndarray, names: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(ids, kind="stable")
+        ids, left, found = ids[order], left[order], []
+        for part in row_chunks(len(names), len(ids), cells):
+            block = _score_block("cosine", left, right[part])
+            at, column = _best_rows(block, ids, names[part], n)
+            found.append((ids[at], names[part][column], block[at, column]))
+        made = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pd.DataFrame({"id": _plain(made[0]), "key": _plain(made[1]), "score": made[2]})
+
     if len(rows) > limit:
-        scored = cross_similarity(vectors, wanted, "cosine", limit).filter(F.col("id") != F.col("key"))
+        left, right = _sharded(vectors.select("id", "vector"), wanted.select("key", "vector"), limit)
+
+        def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return pd.DataFrame(columns=["id", "key", "score"], dtype=object)
+            return best_of(a["own_id"].to_numpy(), np.stack(a["own_vector"]).astype("float64"), b["axis_key"].to_numpy(),
+                           np.stack(b["axis_vector"]).astype("float64"))
+
+        scored = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(product, schema)
     else:
-        names = [row["key"] for row in rows]
+        names = np.array([row["key"] for row in rows], dtype=object)
         matrix = np.array([row["vector"] for row in rows], dtype="float64")
 
-        def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if batch.empty or not names:
-                    continue
-                batch = batch.sort_values("id")
-                ids = batch["id"].to_numpy()
-                block = _score_block("cosine", np.stack(batch["vector"]).astype("float64"), matrix)
-                for at, name in enumerate(names):
-                    own = np.flatnonzero(ids != name)
-                    top = own[np.argsort(-block[own, at], kind="stable")[:n]]
-                    if len(top):
-                        yield pd.DataFrame({"id": ids[top], "key": [name] * len(top), "score": block[top, at]})
-
-        scored = vectors.select("id", "vector").mapInPandas(best_of, f"id {id_type}, key {key_type}, score double")
+                if len(batch) and len(names):
+                    yield best_of(batch["id"].to_numpy(), np.stack(batch["vector"]).astype("float64"), names, matrix)
+
+        scored = vectors.select("id", "vector").mapInPandas(batched, schema)
     shard = F.pmod(F.xxhash64("id"), F.lit(256))
     for part in (shard, F.lit(0)):
         best = Window.partitionBy("key", part).orderBy(F.col("score").desc(), "id")

@@ -123,7 +123,7 @@ def test_wallet_country_with_a_long_axis(points, monkeypatch):
     short = rounded(vectors.wallet_country(wallets, anchors, values, 3))
     share = rounded(vectors.weighted_country(wallets, anchors, values, 3))
     monkeypatch.setattr(vectors, "score_rows", lambda *a, **k: None)
-    monkeypatch.setattr(vectors.pair_scores, "__defaults__", ("dot", 2))
+    monkeypatch.setattr(vectors.pair_scores, "__defaults__", ("dot", 2, 4))
     assert rounded(vectors.wallet_country(wallets, anchors, values, 3)) == short
     assert rounded(vectors.weighted_country(wallets, anchors, values, 3)) == share
 
@@ -189,3 +189,20 @@ def test_nearest_is_the_same_for_a_long_axis(points):
     assert {r[1] for r in rounded(expected)} == {r[1] for r in rounded(vectors.nearest(wallets, points, 3))}
     scores = lambda df: rows(df.select("key", F.round("score", 9)))
     assert scores(expected) == scores(vectors.nearest(wallets, points, 3)) == scores(vectors.nearest(wallets, points, 3, limit=4))
+
+
+@pytest.mark.parametrize("width", [1, 64, 50_000, 10_000_000])
+def test_products_stay_within_the_cells(width):
+    parts = list(vectors.row_chunks(10_000, width))
+    assert all((p.stop - p.start) * width <= max(vectors.CELLS, width) for p in parts)
+    assert parts[0].start == 0 and parts[-1].stop == 10_000
+    assert all(a.stop == b.start for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_small_products_give_the_same_scores(points):
+    wallets = points.withColumnRenamed("key", "id").select("id", "vector")
+    rounded = lambda df: rows(df.select("id", "key", F.round("score", 9)))
+    whole = rounded(vectors.pair_scores(wallets, points, "cosine"))
+    assert whole == rounded(vectors.pair_scores(wallets, points, "cosine", cells=7))
+    assert whole == rounded(vectors.pair_scores(wallets, points, "cosine", limit=4, cells=9))
+    assert rounded(vectors.nearest(wallets, points, 3)) == rounded(vectors.nearest(wallets, points, 3, cells=5))
