@@ -175,11 +175,11 @@ def _(t):
 
 
 @query("v6_weighted_country", """
-    SELECT s.id, c.country AS key, round(sum(s.score * c.value) / max(t.total), 4) AS score
+    SELECT s.id, c.country AS key, round(sum(s.score * c.value) / max(t.total), 4) + 0.0 AS score
     FROM wallet_anchor s JOIN anchor_country c ON s.key = c.address
     JOIN (SELECT id, sum(score) AS total FROM wallet_anchor GROUP BY id) t ON s.id = t.id GROUP BY 1, 2""")
 def _(t):
-    return vectors.weighted_country(wallets_of(t), *anchors_of(t)).withColumn("score", F.round("score", 4))
+    return vectors.weighted_country(wallets_of(t), *anchors_of(t)).withColumn("score", F.round("score", 4) + 0.0)  # no -0.0
 
 
 @query("v7_reweight_inverse_frequency", """
