@@ -13,34 +13,32 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(ends).alias("e")).select("e.u", "e.v")
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or linked to one centre alone."""
+    roles = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")),
+    )).alias("r")).select("r.*")
+    counts = roles.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return not counts.where("leaf + centre > 1").limit(1).count()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (columns u, v); the component is its smallest id.
 
-    Each step is a minimum per node, pre-added in the map tasks, joined back to the edges; a hub's edges are split
-    by the skew join. Steps are checkpointed, and the loop ends when the edges no longer change.
+    A large star hangs each larger neighbour of a node on the node's smallest neighbour; the minimum per node is pre-added
+    in the map tasks and written, so that the skew join can split a hub's edges. A small star does the same for the
+    smaller neighbours. The loop ends when only stars are left. Steps are checkpointed.
     """
-    edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                         .distinct())
-    before = _digest(edges)
-    while before[0]:
+    while not _stars_only(edges):
         around = _both_ways(edges)
         lowest = materialize(around.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = around.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct())  # now u > v
-        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(lowest, "u").select(
-            F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                              F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v")
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(smallest, "u").select(F.explode(hung).alias("e")).select("e.u", "e.v")
         edges = materialize(small.where("u <> v").distinct())
-        after = _digest(edges)
-        if after == before:
-            break
-        before = after
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     hubs = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return materialize(stars.unionByName(hubs).groupBy("id").agg(F.min("component").alias("component")))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(hubs)

@@ -8,10 +8,16 @@
   0.8 differs in more than 15 slots with probability 0.0002, and even then meets under a key but for one case in
   10**6, because pairs up to 18 slots apart that do meet are confirmed as well.
 * Equal shingle sets are one class, found by a partial aggregate; only class representatives are joined.
-* Within a bucket, members are first compared with one member drawn by hash, in ``stars`` rounds, and each round's
-  confirmed links are merged into components. Then only members of different components are compared with each
-  other, with the signature distance as part of the join. So a large group of copies costs a few rows a member, not
-  all pairs, and yet every pair under the distance is confirmed or already connected.
+* Of the documents that share a key with another, u counts the shingles that no other of them has. Partners share keys, so
+  none of these u shingles is in a partner's set: sets of n and n' shingles have m = min(n - u, n' - u') in common at most,
+  and their similarity is at most m / (n + n' - m). Pairs below the threshold by this bound, and documents that are in
+  any pair, as (n - u) / n is too small, are left out without loss.
+* Within a bucket every member is first compared with the member that has the fewest such shingles (the likely original of a
+  group of copies), and confirmed links are merged into components. Then only members of different components are
+  compared with each other. Their counts of shingles shared with that original bound m from above once more: common
+  shingles are either in the original or not. Both bounds and the signature distance are part of the join. So a large
+  group of copies costs a few rows a member, not all pairs, and yet every pair under the distance is confirmed,
+  ruled out or already connected.
 * Links are confirmed on the full sets: 100 * intersection >= percent * union.
 
 Defined results: without words a document has an empty set and no link; with fewer words than a shingle its whole
@@ -53,18 +59,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def chunk_keys(signature: np.ndarray) -> np.ndarray:
+def _keys() -> Column:
     """Exact 64-bit keys: for each chunk and each slot left out, the other slots' values and which those are."""
-    wide = signature.astype(np.int64)
     keys = []
     for first in range(0, SLOTS, CHUNK):
-        for out in range(CHUNK):
-            key = np.full(len(wide), first + out, np.int64)
+        for out in range(first, first + CHUNK):
+            text = f"{out}L"
             for slot in range(first, first + CHUNK):
-                if slot != first + out:
-                    key = (key << SLOT_BITS) | wide[:, slot]
-            keys.append(key)
-    return np.stack(keys, axis=1)
+                if slot != out:
+                    text = f"({text} * {1 << SLOT_BITS}L + sig[{slot}])"
+            keys.append(F.expr(text))
+    return F.explode(F.array(*keys))
 
 
 def _in_slices(sets: Iterator[np.ndarray], most: int = 1 << 19) -> Iterator[list[np.ndarray]]:
@@ -86,7 +91,7 @@ def _lists(values: np.ndarray, present: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def shingle_features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, s1, s2, sig, keys): set size, 128-bit hash of the set, signature and chunk keys."""
+    """(id, n, s1, s2, sig): set size, 128-bit hash of the set, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,127 +106,130 @@ def shingle_features(docs: DataFrame, id_col: str, text_col: str, width: int) ->
                     sig = signatures(full) if full else np.zeros((0, SLOTS), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(sets)), pa.array(sizes), pa.array(s1.view(np.int64)),
-                     pa.array(s2.view(np.int64)), _lists(sig, present, pa.int32()),
-                     _lists(chunk_keys(sig), present, pa.int64())],
-                    names=["id", "n", "s1", "s2", "sig", "keys"],
+                     pa.array(s2.view(np.int64)), _lists(sig, present, pa.int32())],
+                    names=["id", "n", "s1", "s2", "sig"],
                 )
                 at += len(sets)
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>, keys array<bigint>"
+        run, "id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>"
     )
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, set): the sorted distinct shingle hashes as bytes."""
+    """(id, set): the sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for sets in _in_slices(shingle_sets(batch.column(1), width)):
-                made = pa.array([s.tobytes() for s in sets], pa.binary())
+                offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+                made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), made], names=["id", "set"])
                 at += len(sets)
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id bigint, set binary"
+        run, "id bigint, set array<bigint>"
     )
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v, both, linked): how many shingles the pairs' full sets share, and whether they are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
+            shared, good = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                a, b = a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)
                 small, large = (a, b) if len(a) <= len(b) else (b, a)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
-                good[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
+                shared[i], good[i] = both, 100 * both >= percent * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(good)],
+                                             names=["u", "v", "both", "linked"])
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias(id_col)).distinct()
-    sets = full_sets(docs.join(ids, id_col, "left_semi"), id_col, text_col, width)
-    sets = materialize(sets)
     joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v"
     )
-    return materialize(joined.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct())
+    return materialize(joined.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint, both bigint, linked boolean"))
 
 
-def _close(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
-    """Signature distance within CONFIRMED, and set sizes that allow the similarity."""
-    fits = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return fits & (differ <= CONFIRMED)
+def _close(a: str, b: str, percent: int, hub: bool = False) -> Column:
+    """Whether two rows (n, alone, sig), named by prefixes, may be similar enough: own shingles, signature distance.
+
+    With ``hub``, the rows also have how many shingles of one and the same hub they have at most, and how many others
+    that are not their own.
+    """
+    n_a, n_b, own_a, own_b = (F.col(f"{x}{c}") for c in ("n", "alone") for x in (a, b))
+    most = F.least(n_a - own_a, n_b - own_b)
+    if hub:
+        most = F.least(most, F.least(f"{a}in_hub", f"{b}in_hub") + F.least(f"{a}beside", f"{b}beside"))
+    fits = most * 100 >= (n_a + n_b - most) * percent
+    unlike = F.aggregate(F.zip_with(f"{a}sig", f"{b}sig", lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
+    return fits & (unlike <= CONFIRMED)
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """(id, alone): how many shingles of a document no other of these documents has; 0 for an id with several texts."""
+    spread = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    single = spread.where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    texts = sets.groupBy("id").agg(F.count("*").alias("texts"))
+    return texts.join(single, "id", "left").select(
+        "id", F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0).alias("alone"))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, stars: int = 2,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """(id, n_shingles, component): one row per row of ``docs``; the component is the smallest id reachable."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
     features = materialize(shingle_features(docs, id_col, text_col, width))
     known = features.where("id IS NOT NULL AND n > 0")
     classes = materialize(known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     whole = known.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "n", "id"], "left_semi")
-    whole = whole.dropDuplicates(["s1", "s2", "n"])
-    profiles = materialize(whole.select("id", "n", "sig"))
-    keyed = whole.select("id", F.explode("keys").alias("key"))
+    whole = materialize(whole.dropDuplicates(["s1", "s2", "n"]).select("id", "n", "sig"))
+    keyed = whole.select("id", _keys().alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     members = materialize(keyed.join(shared, "key"))
 
-    def close_pairs(pairs: DataFrame) -> DataFrame:
-        left = profiles.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("sig").alias("sig_u"))
-        right = profiles.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("sig").alias("sig_v"))
-        found = pairs.join(left, "u").join(right, "v").where(_close("sig_u", "sig_v", "n_u", "n_v", percent))
-        return materialize(found.select("u", "v").distinct())
-
-    same_id = known.join(classes, ["s1", "s2", "n"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    links = None
-    tested = None
-    labels = profiles.select("id", F.col("id").alias("component"))
-    for turn in range(stars):
-        marked = members.join(labels, "id")
-        spread = marked.groupBy("key").agg(
-            F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(turn), "id", "key")).alias("hub"),
-            F.min("component").alias("low"), F.max("component").alias("high"),
-        )
-        hubs = materialize(spread.where("low < high").select("key", F.col("hub.id").alias("hub"),
-                                                             F.col("hub.component").alias("hub_component")))
-        pairs = marked.join(hubs, "key").where("component <> hub_component").select(
-            F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")
-        ).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = close_pairs(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        confirmed = _confirm(texts, pairs, id_col, text_col, width, percent)
-        links = confirmed if links is None else links.unionByName(confirmed)
-        labels = _labels(profiles, links)
-    marked = members.join(labels, "id").join(profiles, "id")
+    wanted = members.select(F.col("id").alias(id_col)).distinct()
+    sets = materialize(full_sets(docs.join(wanted, id_col, "left_semi"), id_col, text_col, width))
+    facts = whole.join(_alone(sets), "id").where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
+    rows = materialize(members.join(facts, "id").select("key", "id", "n", "alone", "sig"))
+
+    fields = ["id", "n", "alone", "sig"]
+    centre = F.min_by(F.struct(*fields), F.struct("alone", "id")).alias("hub")
+    hubs = rows.groupBy("key").agg(centre, F.count("*").alias("c")).where("c > 1")
+    hubs = materialize(hubs.select("key", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in fields]))
+    named = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in fields])
+    beside = named.join(hubs, "key").where((F.col("a_id") != F.col("b_id")) & _close("a_", "b_", percent))
+    near = F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")
+    tested = materialize(beside.select(*near).distinct())
+    checked = _confirm(tested, sets, percent)
+    links = checked.where("linked").select("u", "v")
+
+    labels = materialize(rows.select("id").distinct().join(connected_components(links), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component")))
+    marked = rows.join(labels, "id")
     spread = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_keys = materialize(spread.where("low < high").select("key"))
-    rest = materialize(marked.join(open_keys, "key"))
-    a = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "sig")])
-    b = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "sig")])
-    across = (F.col("component_a") < F.col("component_b")) & _close("sig_a", "sig_b", "n_a", "n_b", percent)
-    pairs = a.join(b, (a["key"] == b["key"]) & across).select(
-        F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")
-    ).distinct()
-    pairs = materialize(pairs.join(tested, ["u", "v"], "left_anti"))
-    links = links.unionByName(_confirm(texts, pairs, id_col, text_col, width, percent))
-    found = connected_components(links.unionByName(same_id))
-    own = features.select("id", F.col("n").alias("n_shingles"))
-    return own.join(found, "id", "left").select(
+    rest = marked.join(materialize(spread.where("low < high").select("key")), "key")
+    rest = rest.join(hubs.select("key", F.col("b_id").alias("hub")), "key")
+    rest = rest.withColumn("u", F.least("id", "hub")).withColumn("v", F.greatest("id", "hub"))
+    rest = rest.join(checked.select("u", "v", "both"), ["u", "v"], "left")
+    shared = F.col("n") - F.col("alone")  # with anyone; the hub has all of its own
+    rest = materialize(rest.select(
+        "key", *fields, "component", F.coalesce("both", shared).alias("in_hub"),
+        F.when(F.col("id") == F.col("hub"), 0).otherwise(shared - F.coalesce("both", F.lit(0))).alias("beside"),
+    ))
+    every = (*fields, "component", "in_hub", "beside")
+    a = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in every])
+    b = rest.select(F.col("key").alias("b_key"), *[F.col(c).alias(f"b_{c}") for c in every])
+    across = (F.col("key") == F.col("b_key")) & (F.col("a_component") < F.col("b_component"))
+    across = across & _close("a_", "b_", percent, hub=True)
+    pairs = materialize(a.join(b, across).select(*near).distinct().join(tested, ["u", "v"], "left_anti"))
+    links = links.unionByName(_confirm(pairs, sets, percent).where("linked").select("u", "v"))
+
+    copies = known.join(classes, ["s1", "s2", "n"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    found = connected_components(links.unionByName(copies))
+    return features.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component")
     )
-
-
-def _labels(profiles: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links)
-    return materialize(
-        profiles.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    )
