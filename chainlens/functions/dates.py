@@ -28,10 +28,6 @@ def epoch_hour(seconds: Column | str) -> Column:
     return F.pmod(F.floor(_column(seconds) / F.lit(3600)), F.lit(24)).cast("int")
 
 
-def epoch_timestamp(seconds: Column | str) -> Column:
-    return F.timestamp_seconds(_column(seconds))
-
-
 def parse_date(text: Column | str, fmt: str | None = None) -> Column:
     """Date from text; null where it does not parse."""
     value = _column(text)

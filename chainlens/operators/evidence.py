@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_year, year_range
 from ..session import broadcast_if_small
-from .relational import replace_values
 
 MIN_YEAR = 2015
 
@@ -72,7 +71,3 @@ def confident_owners(ens_language: DataFrame, countries: DataFrame, floor: float
 def collect_wallets(df: DataFrame) -> DataFrame:
     """Distinct (country, address) rows: the map of countries to wallets in long form, whatever a country's size."""
     return df.select("country", "address").distinct()
-
-
-def country_overrides(countries: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
-    return replace_values(countries, column, mapping)

@@ -108,10 +108,6 @@ def sort_axis(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
-def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b)
-
-
 def common_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
 
-# The two stablecoin contracts the flow reports follow.
-USDC = "0xa0b86991c6218b36c1d19d4a2e9eb0ce3606eb48"
-USDT = "0xdac17f958d2ee523a2206206994597c13d831ec7"
-
 
 def contract_addresses(contracts: DataFrame) -> DataFrame:
     """Distinct, non-null addresses of the contract dimension."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flows, relational
+from ..operators import flows, relational, transfers
 from .registry import common, query
 
 AXIS = [f"NATION_{i}" for i in range(25)]
@@ -107,7 +107,7 @@ def _(t):
     FROM (SELECT * FROM flow UNION ALL SELECT * FROM native_flow) u""")
 def _(t):
     native = flows.country_flows(flows.label_flow(flows.sum_pairs(t["native_transfer"]), t["address_country"]))
-    both = relational.union_all(token_flow_of(t), native)
+    both = transfers.union_all(token_flow_of(t), native)
     return both.select("from_country", "to_country", F.round("amount_usd", 4).alias("amount_usd"))
 
 

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a few short columns that are safe to hold on every executor.
+# Rows, and bytes as JSON, that are safe to hold on every executor.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 128 << 20
 
 
 def build_session(app_name: str = "chainlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get().rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    return tempfile.mkdtemp(prefix="chainlens-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="chainlens-"))  # one for the session
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -72,13 +74,32 @@ def materialize_bucketed(df: DataFrame, keys: list[str], buckets: int | None = N
     return spark.table(name)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when counting proves it short, else unchanged.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when its counted rows and bytes prove it small, else unchanged.
 
-    Counting stops after ``max_rows`` rows. Without the mark a short table behind joins or
-    aggregates is estimated as large, and the raw transfers it meets would be shuffled first.
+    Counting stops after ``max_rows`` rows; the bytes are those of the rows as JSON, an upper bound of their size but for
+    long numbers. Without the mark a short table behind joins or aggregates is estimated as large, and the raw
+    transfers it meets would be shuffled first. Give a materialized table where the plan behind it is long.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this library through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Drop this library's bucketed tables and their folders, at the end of a run."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("chainlens_"):
+            place = spark.sql(f"DESCRIBE FORMATTED {table.name}").where("col_name = 'Location'").first()
+            spark.sql(f"DROP TABLE {table.name}")
+            if place and "/bucketed-" in place["data_type"]:
+                remove_path(spark, place["data_type"])
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
