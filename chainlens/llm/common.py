@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
+from ..session import materialize, remove_path, scratch_path
 
 # The white space of the contracts, [\x20\x09-\x0D], and the letters that are lower-cased.
 WHITE = " \t\n\x0b\f\r"
@@ -44,9 +44,3 @@ def fingerprint(columns: Sequence[Column]) -> tuple[Column, Column]:
 def rest_of(df: DataFrame, *taken: str) -> list[str]:
     """Columns of ``df`` other than ``taken``."""
     return [c for c in df.columns if c not in taken]
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder of this library through the file system that holds it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

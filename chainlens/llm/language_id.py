@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 SIZE = 300
 SAMPLE = 4_000
 UNKNOWN = "und"
@@ -85,7 +87,7 @@ def top_codes(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 def _sampled(rows: DataFrame, sample: int) -> DataFrame:
     """All rows of a language with at most ``sample`` rows; else about that many, chosen by hash."""
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("_rows")))  # a row for each language
+    sizes = broadcast_if_small(rows.groupBy("lang").agg(F.count("*").alias("_rows")))  # a row for each language
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     return rows.join(sizes, "lang").where(draw * F.col("_rows") < sample).drop("_rows")
 

@@ -9,8 +9,8 @@
 * Every whole text is scored as a sparse dot product in its own task; nothing is shuffled.
 
 Defined results: null and empty texts have no features and get the score of the bias; a null doc_id is not learned from
-and not held out; null labels are not learned from; without labelled rows every score is 0.5; repeated labels count as
-often as they occur; labels, language and source are never read when scoring, nor are other columns.
+and not held out; null labels are not learned from; without labelled rows every score is 0.5; repeated labels count
+once; labels, language and source are never read when scoring, nor are other columns.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def train(rows: DataFrame, epochs: int = EPOCHS) -> np.ndarray:
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     """(text, label, weight) of a bounded sample of the labelled documents."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two labels
     total = sum(counts.values())
     taken = sum(min(sample, n) for n in counts.values())
