@@ -178,34 +178,25 @@ def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str =
     spread = distinct_names.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")).withColumn(
         "pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(packs - 1).cast("bigint")))
     )
-    score = _ROW_SCORES.get(method, _edit)
-
-    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pool_list = [c for part in right["list"] for c in part]
-        rows = [(x, s, c) for x in left["name"] for s, c in _best(x, pool_list, score, n)]
-        return pd.DataFrame(rows, columns=["name", "score", "match"])
-
-    per_pack = spread.groupBy("pack", "salt").cogroup(copies.groupBy("pack", "salt")).applyInPandas(
-        choose, "name string, score double, match string"
-    )
+    if method == "lev":  # the built-in distance, as for a short list
+        met = spread.join(copies, ["pack", "salt"]).select("name", _ranked("name", F.col("list"), [], n, method).alias("_hits"))
+        per_pack = met.select("name", F.explode_outer("_hits").alias("_hit")).select("name", "_hit.score", "_hit.match")
+    else:
+        score = _ROW_SCORES[method]
+
+        def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            pool_list = [c for part in right["list"] for c in part]
+            rows = [(x, s, c) for x in left["name"] for s, c in _best(x, pool_list, score, n)]
+            return pd.DataFrame(rows, columns=["name", "score", "match"])
+
+        per_pack = spread.groupBy("pack", "salt").cogroup(copies.groupBy("pack", "salt")).applyInPandas(
+            choose, "name string, score double, match string"
+        )
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "match")))), 1, n)
     merged = per_pack.groupBy("name").agg(best.alias("_best"))
     return merged.select("name", F.explode_outer("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
 
 
-def _edit(a: str, b: str) -> float:
-    longest = max(len(a), len(b))
-    if not longest:
-        return 1.0
-    previous = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        current = [i]
-        for j, y in enumerate(b, 1):
-            current.append(min(previous[j] + 1, current[j - 1] + 1, previous[j - 1] + (x != y)))
-        previous = current
-    return 1.0 - previous[-1] / longest
-
-
 def _ranked(name: str, candidates: Column, listed: list[str], n: int, method: str) -> Column:
     if method == "lev":
         scored = F.transform(

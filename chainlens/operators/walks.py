@@ -21,10 +21,11 @@ _TELEPORT_DRAW = 1_000_003
 class Adjacency:
     """Neighbour lists ready for hops.
 
-    ``lists``: (node, block, salt, wsum, cumes[], dsts[], hots[]), at most ``max_fanout`` entries per row.
+    ``lists``: (node, block, salt, wsum, cumes[], dsts[], hots[]).
     ``wide``: (node, salt, wide_wsum, ends[], blocks[]) for sources cut into several blocks, else None.
     ``hot``: nodes whose rows are copied ``salts`` times because many walks may stand on them.
     ``split``: whether there are any; if not, ``node`` alone is the key.
+    ``longest``: the most entries that a list has; a search takes enough steps for it.
     """
 
     lists: DataFrame
@@ -32,7 +33,7 @@ class Adjacency:
     hot: DataFrame
     split: bool
     salts: int
-    max_fanout: int
+    longest: int
 
 
 def _salted(df: DataFrame, hot: DataFrame, salts: int) -> DataFrame:
@@ -43,7 +44,7 @@ def _salted(df: DataFrame, hot: DataFrame, salts: int) -> DataFrame:
 
 
 def build_adjacency(
-    cdf: DataFrame, max_fanout: int = 65536, hot_degree: int = 1_000_000, salts: int = 64, partitions: int | None = None
+    cdf: DataFrame, hot_degree: int = 1_000_000, salts: int = 64, partitions: int | None = None
 ) -> Adjacency:
     """Collapse the cumulative weights to one row per (source, block), partitioned for the hops.
 
@@ -81,7 +82,10 @@ def build_adjacency(
             .select("node", "wide_wsum", F.col("ends.end").alias("ends"), F.col("ends.block").alias("blocks"))
         )
         wide = materialize_bucketed(_salted(per_node, hot, salts), ["node", "salt"], partitions)
-    return Adjacency(lists, wide, hot, split, salts, max_fanout)
+    longest = lists.agg(F.max(F.size("cumes"))).first()[0] or 1
+    if wide is not None:
+        longest = max(longest, wide.agg(F.max(F.size("ends"))).first()[0] or 1)
+    return Adjacency(lists, wide, hot, split, salts, longest)
 
 
 def first_at_least(values: str, target: str, longest: int) -> str:
@@ -111,10 +115,10 @@ def next_hop(frontier: DataFrame, adjacency: Adjacency, u: str, key: str) -> Dat
         block = "0L AS block"
         if adjacency.wide is not None:
             salted = salted.join(adjacency.wide, ["node", "salt"], "left")
-            at = first_at_least("ends", f"{u} * wide_wsum", adjacency.max_fanout)
+            at = first_at_least("ends", f"{u} * wide_wsum", adjacency.longest)
             block = f"coalesce(get(blocks, {at}), 0L) AS block"
         joined = salted.selectExpr(*columns, "salt", block).join(adjacency.lists, ["node", "block", "salt"], "left")
-    at = first_at_least("cumes", f"{u} * wsum", adjacency.max_fanout)
+    at = first_at_least("cumes", f"{u} * wsum", adjacency.longest)
     return joined.selectExpr(*columns, "dsts", "hots", f"{at} AS _at").selectExpr(
         *columns, "get(dsts, _at) AS next_node", "get(hots, _at) AS next_hot"
     )

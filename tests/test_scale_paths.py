@@ -35,7 +35,7 @@ def test_hub_walks_equal_plain_walks(spark, hub_edges, policy):
     seeds = hub_edges.select(F.col("src").alias("node_id")).distinct()
     open_end = hub_edges.filter("src <> 5 AND src <> 17")
     plain = walks.build_adjacency(graph.build_cdf(open_end))
-    split = walks.build_adjacency(graph.build_cdf(open_end, max_fanout=8), max_fanout=8, hot_degree=1, salts=3)
+    split = walks.build_adjacency(graph.build_cdf(open_end, max_fanout=8), hot_degree=1, salts=3)
     assert plain.wide is None and not plain.split
     assert split.wide is not None and split.split and split.hot.count() > 1
     walk = lambda adjacency: rows(walks.random_walks(seeds, adjacency, 9, 2, policy, checkpoint_every=4))
