@@ -169,6 +169,17 @@ def _close(a: str, b: str, percent: int, hub: bool = False) -> Column:
     return fits & (unlike <= CONFIRMED)
 
 
+def _first_key(a: str, b: str) -> Column:
+    """Number of the first key under which two signatures meet; null if they meet under none."""
+    found = []
+    for first in range(0, SLOTS, CHUNK):
+        unlike = [f"{a}sig[{i}] <> {b}sig[{i}]" for i in range(first, first + CHUNK)]
+        errors = " + ".join(f"CAST({u} AS INT)" for u in unlike)
+        left_out = " ".join(f"WHEN {u} THEN {first + i}" for i, u in enumerate(unlike))
+        found.append(f"CASE WHEN {errors} <= 1 THEN CASE {left_out} ELSE {first} END END")
+    return F.expr(f"coalesce({', '.join(found)})")
+
+
 def _alone(sets: DataFrame) -> DataFrame:
     """(id, alone): how many shingles of a document no other of these documents has; 0 for an id with several texts."""
     spread = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
@@ -225,6 +236,7 @@ def near_duplicates(
     b = rest.select(F.col("key").alias("b_key"), *[F.col(c).alias(f"b_{c}") for c in every])
     across = (F.col("key") == F.col("b_key")) & (F.col("a_component") < F.col("b_component"))
     across = across & _close("a_", "b_", percent, hub=True)
+    across = across & (F.shiftright("key", 3 * SLOT_BITS) == _first_key("a_", "b_"))  # a pair comes once, not under every key
     pairs = materialize(a.join(b, across).select(*near).distinct().join(tested, ["u", "v"], "left_anti"))
     links = links.unionByName(_confirm(pairs, sets, percent).where("linked").select("u", "v"))
 
