@@ -162,6 +162,18 @@ def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
     return docs.select(*kept).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows whose text has a letter: those that ``identify`` would not call ``und`` for their text."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (text.as_py() for text in batch.column(place))
+            yield batch.filter(pa.array([t is not None and any(len(ngram_codes(p)) for p in _pieces(t)) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by

@@ -14,18 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.llm.common import remove_path, scratch_path
-from chainlens.llm.language_id import UNKNOWN, identify, learn_profiles
+from chainlens.llm.language_id import UNKNOWN, identify, learn_profiles, with_letters
 from chainlens.llm.line_dedup import dedup_lines
 from chainlens.llm.mixing import mixed_documents
 from chainlens.llm.near_dups import near_duplicates
 from chainlens.llm.packing import pack
+from chainlens.session import materialize
 
 NEAR_PERCENT = 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter or a text go."""
-    profiles = learn_profiles(docs.select(F.col("doc_id").alias("id"), "lang", "text"))
+    """Documents whose text has a language; those without a letter or a text go, and no others.
+
+    Where no profile can be learned (no label, or no letter in the labelled texts) no language can be told apart: all texts with
+    a letter stay.
+    """
+    profiles = materialize(learn_profiles(docs.select(F.col("doc_id").alias("id"), "lang", "text")))
+    if profiles.isEmpty():
+        return with_letters(docs)
     return identify(docs, profiles).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

@@ -43,6 +43,16 @@ def test_language_stage_keeps_what_has_letters(stages):
     assert {tuple(r) for r in after} <= {tuple(r) for r in before}
 
 
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_stage_without_profiles_keeps_what_has_letters(spark, lang):
+    """No label at all, or labels of letterless texts only: nothing can be learned."""
+    texts = {1: "one two", 2: "12 34 !!", 3: None, 4: "", 5: "\u00e9", 6: "1 " * 600_000 + "z"}
+    docs = spark.createDataFrame([(i, t, lang if i == 2 else None, "s", None) for i, t in texts.items()],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.keep_known_languages(spark, docs, DATA)
+    assert kept.columns == docs.columns and {r["doc_id"]: r["text"] for r in kept.collect()} == {i: texts[i] for i in (1, 5, 6)}
+
+
 def test_line_stage(stages):
     before, after, _, _ = stages["line_dedup"]
     expect = lines_by_hand([tuple(r) for r in before])
