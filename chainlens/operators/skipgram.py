@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import UNIFORMS
@@ -141,6 +143,21 @@ def subsampled(walks: DataFrame, vocab: DataFrame, sample: float, seed: int) ->
     return kept.groupBy("walk_id").agg(ordered.alias("_seq")).select("walk_id", F.col("_seq._token").alias("path"))
 
 
+def part_of(column: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int").alias(f"{column}_part")
+
+
+def largest_group(pairs: DataFrame, noise: DataFrame, negatives: int, parts: int) -> float:
+    """Examples of the fullest (centre part, other part): its pairs, and the noise expected for its centres in the other part."""
+    counted = pairs.groupBy(part_of("center", parts), part_of("context", parts).alias("other_part")).agg(F.count("*").alias("n"))
+    counted = materialize(counted)  # at most parts * parts rows
+    centers = counted.groupBy("center_part").agg(F.sum("n").alias("_all"))
+    shares = noise.groupBy(part_of("id", parts).alias("other_part")).agg(F.sum("p").alias("_share"))
+    groups = centers.crossJoin(F.broadcast(shares)).join(counted, ["center_part", "other_part"], "left")  # a row for each part
+    examples = F.coalesce("n", F.lit(0)) + F.col("_all") * F.col("_share") * negatives
+    return groups.agg(F.max(examples)).first()[0] or 0.0
+
+
 def train_vectors(
     walks: DataFrame, dim: int = 64, window: int = 8, negatives: int = 15, epochs: int = 10, alpha: float = 0.025,
     min_alpha: float = 0.0001, sample: float = 0.0, min_count: int = 1, seed: int = 42, power: float = 0.5,
@@ -150,7 +167,7 @@ def train_vectors(
 
     Nodes are cut into parts of about ``part_nodes``. Every epoch draws new windows and noise (and drops frequent tokens, if
     ``sample`` > 0), deals the walks to shares small enough that no group of two parts gets over about
-    ``group_examples`` examples, and takes the pairs of parts in turns. The rate falls from ``alpha`` to ``min_alpha``. Vectors are
+    ``group_examples`` examples (counted for the fullest group), and takes the pairs of parts in turns. The rate falls from ``alpha`` to ``min_alpha``. Vectors are
     checkpointed after each turn. Nothing of vocabulary size passes through the driver or one task.
     """
     vocab = materialize(vocab_counts(walks, min_count))
@@ -159,19 +176,15 @@ def train_vectors(
     parts = max(1, -(-vocab.count() // part_nodes))
     vectors = materialize(initial_vectors(vocab, dim, parts, seed))
 
-    def part(column: str):
-        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int").alias(f"{column}_part")
-
     def examples_of(share: DataFrame, epoch: int) -> DataFrame:
         pairs = skipgram_pairs(share, window, seed + epoch)
         drawn = sample_negatives(pairs, noise, negatives, seed + epoch)
         both = pairs.select("center", F.col("context").alias("other"), F.lit(1.0).alias("label")).unionByName(
             drawn.select("center", F.col("negative").alias("other"), F.lit(0.0).alias("label")))
-        return both.select("center", "other", "label", part("center"), part("other"))
+        return both.select("center", "other", "label", part_of("center", parts), part_of("other", parts))
 
-    centers = skipgram_pairs(kept, window, seed).groupBy(part("center")).agg(F.count("*").alias("n"))
-    most = centers.agg(F.max("n")).first()[0] or 0  # the fullest part of centres, dealt to the parts of contexts
-    shares = max(1, -(-most * (1 + negatives) // (parts * group_examples)))
+    most = largest_group(skipgram_pairs(kept, window, seed), noise, negatives, parts)
+    shares = max(1, math.ceil(most / group_examples))
     steps = epochs * shares
     for epoch in range(epochs):
         whole = subsampled(kept, vocab, sample, seed + epoch) if sample else kept

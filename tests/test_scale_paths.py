@@ -206,3 +206,19 @@ def test_small_products_give_the_same_scores(points):
     assert whole == rounded(vectors.pair_scores(wallets, points, "cosine", cells=7))
     assert whole == rounded(vectors.pair_scores(wallets, points, "cosine", limit=4, cells=9))
     assert rounded(vectors.nearest(wallets, points, 3)) == rounded(vectors.nearest(wallets, points, 3, cells=5))
+
+
+def test_training_groups_stay_bounded_around_a_hub(spark, monkeypatch):
+    """Node 0 follows itself on most places: nearly all pairs are of one group."""
+    given = [(w, [0, 0, 0, 0, 0, w % 40]) for w in range(400)]
+    largest = []
+
+    def step(vectors, examples, dim, parts, turn, *rest):
+        if turn == 0:
+            largest.append(examples.groupBy("center_part", "other_part").count().agg(F.max("count")).first()[0])
+        return vectors
+
+    monkeypatch.setattr(skipgram, "block_step", step)
+    walked = spark.createDataFrame(given, "walk_id bigint, path array<bigint>")
+    skipgram.train_vectors(walked, dim=2, window=2, negatives=1, epochs=1, part_nodes=10, group_examples=2000)
+    assert max(largest) <= 2000 * 1.25
