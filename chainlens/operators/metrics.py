@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import running_sum
 from .relational import top_n, value_share
 
@@ -149,12 +150,14 @@ def top_features(importance: DataFrame, first_k: int = 64, n: int = 10) -> DataF
 
 
 def cumulative_share(importance: DataFrame, key: str = "feature", value: str = "importance") -> DataFrame:
-    """Running share of the total from the largest value down, ties by ``key``.
+    """Running share of the total from the largest value down, ties by ``key``, over unique rows.
 
-    Blocks of nearly equal values (by binary exponent) keep the running sum off a single task.
+    Range partitions of (value, key) are the blocks, so equal or near values are spread too; they are checkpointed before their
+    numbers are used. The sums of the earlier partitions have one row per partition.
     """
-    blocked = importance.withColumn("_block", F.when(F.col(value) > 0, -F.floor(F.log2(value))).otherwise(F.lit(2000)))
-    summed = running_sum(blocked, [], "_block", [F.col(value).desc(), F.col(key)], value, "_run", "_total")
+    order = [F.col(value).desc(), F.col(key)]
+    ranged = materialize(importance.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()))
+    summed = running_sum(ranged, [], "_block", order, value, "_run", "_total")
     return summed.select(key, value, F.try_divide("_run", "_total").alias("cumulative_share"))
 
 

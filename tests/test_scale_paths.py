@@ -208,6 +208,29 @@ def test_small_products_give_the_same_scores(points):
     assert rounded(vectors.nearest(wallets, points, 3)) == rounded(vectors.nearest(wallets, points, 3, cells=5))
 
 
+def test_cumulative_share_spreads_equal_values(spark, monkeypatch):
+    """All values are of one magnitude, two thirds are ties."""
+    from chainlens.operators import metrics
+
+    given = [(i, 1.0 if i % 3 else 1.0 + i / 4000) for i in range(3000)]
+    seen = []
+    inner = metrics.running_sum
+    monkeypatch.setattr(metrics, "running_sum", lambda df, keys, block, *rest: seen.append((df, block)) or inner(df, keys, block, *rest))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = metrics.cumulative_share(spark.createDataFrame(given, "feature int, importance double")).collect()
+        df, block = seen[0]
+        assert df.groupBy(block).count().agg(F.max("count")).first()[0] < 1500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    total, run, expect = sum(v for _, v in given), 0.0, {}
+    for feature, value in sorted(given, key=lambda r: (-r[1], r[0])):
+        run += value
+        expect[feature] = run / total
+    assert len(made) == 3000 and all(abs(r["cumulative_share"] - expect[r["feature"]]) < 1e-9 for r in made)
+
+
 def test_training_groups_stay_bounded_around_a_hub(spark, monkeypatch):
     """Node 0 follows itself on most places: nearly all pairs are of one group."""
     given = [(w, [0, 0, 0, 0, 0, w % 40]) for w in range(400)]
