@@ -4,7 +4,7 @@
   is read as a repeat. The features of a text are the hashes of its 1 to 3 word n-grams in 2**20 buckets; a bucket's value is
   the square root of its share of them, so the vector has length 1.
 * Training takes at most about ``sample`` labelled rows of a label (SAMPLE by default, smallest hashes), weighted so that the
-  labels keep their shares, and makes ``epochs`` passes of FTRL-Proximal updates with L1 and L2 in one task: the bound holds
+  labels keep their shares (a drawn id that repeats in the documents gives one row, the text with the smallest hash), and makes ``epochs`` passes of FTRL-Proximal updates with L1 and L2 in one task: the bound holds
   for its rows and the buckets for its model. Only non-zero weights reach the driver, at most 2**20.
 * Every whole text is scored as a sparse dot product in its own task; nothing is shuffled.
 
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import first_by
 from .hashing import mix, shingle_hashes, word_hashes
 from .language_id import remainder
 
@@ -114,7 +115,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         weight = F.when(F.col("label") == label, n / min(sample, n) * taken / total).otherwise(weight)
     draw = F.pmod(F.xxhash64("_id", "label"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     drawn = F.broadcast(known.where(draw < rate).withColumn("weight", weight))  # about 2 * sample rows
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(drawn, "_id").select("text", "label", "weight")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(drawn, "_id")
+    return first_by(found, ["_id", "label"], [F.xxhash64("text")]).select("text", "label", "weight")
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", extra: dict | None = None) -> DataFrame:

@@ -326,3 +326,11 @@ def test_quality(spark):
 
 def test_query_digest_is_of_utf8(spark, corpus):
     assert hashlib.sha256("é".encode()).hexdigest() == spark.range(1).select(F.sha2(F.lit("é").cast("binary"), 256)).first()[0]
+
+
+def test_quality_sample_bounds_the_rows(spark):
+    """A sampled id that repeats in the documents is one training row."""
+    docs = spark.createDataFrame([(1, "a b")] * 300 + [(1, "c d")] + [(i, f"t{i}") for i in range(2, 20)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id int, quality int")
+    drawn = quality.training_sample(docs, labels, "doc_id", "text", "quality", 1000)
+    assert drawn.count() == 19
