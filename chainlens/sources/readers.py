@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.transfers import contract_addresses
+from ..session import broadcast_if_small
 from .schemas import KINDS
 
 
@@ -74,22 +75,33 @@ def read_wide_dir(spark: SparkSession, paths: Sequence[str], tag: str = "cex", h
                   encoding: str = "ISO-8859-1") -> DataFrame:
     """Wide traffic CSVs (first column a date, one column per country) as long rows (tag, file, date, country, traffic).
 
-    One scan of any number of files and folders: each file is one row (such exports are small), and its own first line
-    names its columns, so files of one folder may have different countries. A country that a header repeats, with or
-    without blanks around it, is read from its first column. Only rows whose first column matches ``header_rows`` are data.
+    One scan of any number of files and folders for the rows, split as Spark splits text; the first line of each file is taken into
+    a small table (a row a file) by a scan of the files' first blocks, and names that file's columns, so files of one folder may
+    have different countries. A country that a header repeats, with or without blanks around it, is read from its first
+    column. Only rows whose first column matches ``header_rows`` are data. Encodings whose line feed is not the one byte 10
+    (UTF-16, UTF-32) cannot be split: there each file is one row.
     """
     from ..functions.dates import parse_date
     from ..operators.relational import to_number
 
-    whole = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True)
-    lines = F.split(F.decode(F.col("value").cast("binary"), encoding), "\r?\n", -1)
-    files = whole.select(F.col("_metadata.file_path").alias("file"), lines.alias("_lines"))
-    files = files.withColumn("_header", _cells(F.get("_lines", F.lit(0))))
+    split = "\n".encode(encoding) == b"\n"
+    reader = spark.read.option("recursiveFileLookup", "true")
+    read = reader.text(list(paths), lineSep="\n") if split else reader.text(list(paths), wholetext=True)
+    decoded = F.decode(F.col("value").cast("binary"), encoding)
+    read = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+                       decoded.alias("_line"))
+    if not split:
+        read = read.withColumn("_line", F.explode(F.split("_line", "\r?\n", -1)))
+    read = read.withColumn("_line", F.regexp_replace("_line", "\r$", ""))
+    # One task reads a file's first block in order.
+    first = read.where("_start = 0").withColumn("_at", F.monotonically_increasing_id())
+    files = first.groupBy("file").agg(F.min_by("_line", "_at").alias("_first")).withColumn("_header", _cells(F.col("_first")))
     marked = F.transform("_header", lambda c, i: F.named_struct(F.lit("place"), i, F.lit("country"), c))
     kept = F.filter(marked, lambda h: (h["place"] > 0) & (h["country"] != "")
                     & (F.array_position("_header", h["country"]) == h["place"] + 1)
                     & ~F.exists(F.array(*[F.lit(m) for m in _REPEATED]), lambda m: F.contains(h["country"], m)))
-    rows = files.select("file", kept.alias("_kept"), F.explode("_lines").alias("_line")).where(F.col("_line").rlike(header_rows))
+    headers = broadcast_if_small(files.select("file", kept.alias("_kept")))
+    rows = read.where(F.col("_line").rlike(header_rows)).join(headers, "file")
     cells = rows.select("file", _cells(F.col("_line")).alias("_values"), "_kept")
     long = cells.select("file", "_values", F.get("_values", F.lit(0)).alias("_date"), F.inline("_kept"))
     return long.select(

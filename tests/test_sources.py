@@ -52,6 +52,26 @@ def test_wide_directory(spark, tmp_path):
         ("gate io", "2020-01-01", "India", 0.0), ("okx", "2020-01-01", "Japan", 5.0), ("okx", "2020-01-01", "Korea, South", 8.0)]
 
 
+@pytest.mark.parametrize("encoding", ["ISO-8859-1", "UTF-16LE"])
+def test_wide_directory_splits_a_file(spark, tmp_path, encoding):
+    """Rows of a file are read by several tasks, whichever block they are in; line ends may have a carriage return."""
+    folder = tmp_path / "okx"
+    folder.mkdir()
+    for name, country in (("a", "Cura\u00e7ao"), ("b", "Japan")):
+        lines = [f"Location,{country}"] + [f"2020-01-01,{i}" for i in range(2000)]
+        (folder / f"{name}.csv").write_bytes("\r\n".join(lines).encode(encoding))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        long = readers.read_wide_dir(spark, [str(tmp_path)], encoding=encoding)
+        if encoding == "ISO-8859-1":
+            assert long.rdd.getNumPartitions() > 4
+        found = rows(long, "country", "traffic")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(found) == sorted((c, float(i)) for c in ("Cura\u00e7ao", "Japan") for i in range(2000))
+
+
 def test_tagged_csv(spark, tmp_path):
     (tmp_path / "OKX.csv").write_text("Category: All\n\nCountry,trend\nJapan,<1\nIndia,7\n")
     df = readers.read_tagged_csv(spark, str(tmp_path), ["country", "trend"], "exchange", "file", "^(Category|Country)")
