@@ -11,11 +11,13 @@ from .ann import nearest_neighbours
 from .chat import repair_conversations
 from .exact_topk import exact_top_k
 from .language_id import predict_languages
+from .common import scratch_path
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dups import near_duplicates
 from .packing import pack
 from .quality import classify
+from .quality_rules import CURRENT, POLICIES, build_ledger, judge, write_ledger
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +247,44 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_chat_repair")
 def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+_RULES_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT doc_id, t, row_number() OVER () AS rid,
+         list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+),
+windows AS (
+  SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS win
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM parts WHERE len(w) >= 8)
+),
+repeats AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n >= 2),
+covered AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + 8)) AS p FROM repeats) GROUP BY rid),
+base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+  FROM parts LEFT JOIN covered c USING (rid)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words
+            OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * n_letter_words < 8 * n_words
+            OR 10 * n_upper > 4 * word_chars) AS kept
+FROM base
+"""
+
+
+@_query("op11_quality_rules", _RULES_SQL)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = write_ledger(build_ledger(_table(spark, sf_dir, "documents")), scratch_path(spark, "ledger"))
+    return judge(ledger, POLICIES[CURRENT]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
