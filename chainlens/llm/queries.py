@@ -17,6 +17,8 @@ from .mixing import mix_sources
 from .near_dups import near_duplicates
 from .packing import pack
 from .quality import classify
+from .scans import ordered_digests
+from .structure import damage_turns, repair_structure
 from .quality_rules import CURRENT, POLICIES, build_ledger, judge, write_ledger
 from .url_filter import judge_urls
 
@@ -288,3 +290,103 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(ledger, POLICIES[CURRENT]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+_GIVEN_SQL = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}  # state: state and role that an edit can give
+_LEGAL_SQL = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+
+def _turn_sql(state: int) -> str:
+    """Least (cost, audit, repaired) of a turn in ``state``, without insertions."""
+    edit = "{{'c': g{to}.c + {cost}, 'a': '{name}' || g{to}.a, 'r': {lines}}}".format
+    following, given = _GIVEN_SQL[state]
+    found = [edit(to=state, cost=4, name="D", lines=f"g{state}.r")]
+    for initial, to in _LEGAL_SQL[state].items():
+        kept = edit(to=to, cost="3 * CAST(cut AS INTEGER)", name="K", lines=f"list_prepend(role || ':' || text, g{to}.r)")
+        found.append(f"CASE WHEN NOT gone AND initial = '{initial}' THEN {kept} END")
+    changed = edit(to=following, cost="3 + 3 * CAST(cut AS INTEGER)", name="R", lines=f"list_prepend('{given}:' || text, g{following}.r)")
+    found.append(f"CASE WHEN NOT gone THEN {changed} END")
+    return f"list_min([{', '.join(found)}])"
+
+
+def _insert_sql(state: int) -> str:
+    """Least with up to two insertions before the turn; more come back to a state."""
+    found, at, cost, lines = [f"e{state}"], state, 0, []
+    for _ in range(2):
+        at, given = _GIVEN_SQL[at]
+        cost, lines = cost + 3, [*lines, f"'{given}:'"]
+        found.append(f"{{'c': e{at}.c + {cost}, 'a': '{'I' * len(lines)}' || e{at}.a, 'r': list_concat([{', '.join(lines)}], e{at}.r)}}")
+    return f"list_min([{', '.join(found)}])"
+
+
+_CRC_SQL = """xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b:
+  list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(a, b)),
+  CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+_STRUCTURE_SQL = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+),
+coded AS (SELECT *, {_CRC_SQL} % 20 AS code FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE code <> 0
+),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial,
+         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS tail,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged
+),
+marked AS (
+  SELECT *, tail = '' AS blank, tail <> '' AND i > min(i) OVER (PARTITION BY conv_id, role, text) AS again,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed
+),
+faulty AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND tail NOT IN ('.', '!', '?') AS cut FROM marked),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+         count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+),
+steps AS (
+  SELECT conv_id, max(i) + 1 AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS g0,
+         {{'c': CAST(6 AS BIGINT), 'a': 'II', 'r': ['user:', 'assistant:']}} AS g1,
+         {{'c': CAST(3 AS BIGINT), 'a': 'I', 'r': ['assistant:']}} AS g2,
+         {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS g3
+  FROM placed GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, {', '.join(f'{_insert_sql(q)} AS g{q}' for q in range(4))}
+  FROM (SELECT s.conv_id, f.i, {', '.join(f'{_turn_sql(q)} AS e{q}' for q in range(4))}
+        FROM steps s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i - 1)
+),
+solved AS (SELECT conv_id, g0 FROM steps WHERE i = 1)
+SELECT d.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(s.g0.c, 0) AS cost,
+       coalesce(s.g0.a, '') AS audit, sha256(coalesce(array_to_string(s.g0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+_COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+
+
+@_query("op12_structure_repair", _STRUCTURE_SQL)
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    repair = repair_structure(damage_turns(turns))
+    lines = repair.turns.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), "part", "at", "piece", F.concat("role", F.lit(":"), "text").alias("line"))
+    digests = ordered_digests(lines, ["conv_id"], ["part", "at", "piece"], "line", "\n")
+    found = turns.select("conv_id").distinct()
+    for other in (repair.faults, repair.audits, digests):
+        found = found.unionByName(other, allowMissingColumns=True)
+    return found.groupBy("conv_id").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in _COUNTS],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
