@@ -16,6 +16,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dups import near_duplicates
 from .packing import pack
+from .prefix_trie import ordered_turns, prefix_trie, rebuilt_turns
 from .quality import classify
 from .scans import ordered_digests
 from .structure import damage_turns, repair_structure
@@ -337,7 +338,9 @@ damaged AS (
 ),
 placed AS (
   SELECT conv_id, turn, role, text, left(role, 1) AS initial,
-         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS tail,
+         regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS tail,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
   FROM damaged
 ),
@@ -390,3 +393,47 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
         F.coalesce(F.max("sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+_TRIE_SQL = rf"""
+WITH src AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+keyed AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS key FROM src),
+convs AS (SELECT conv_id, {_CRC_SQL} % 6 AS h, conv_id - conv_id % 100 AS base FROM keyed),
+turns AS (
+  SELECT c.conv_id, 0 AS own, s.pos, s.role, s.text FROM convs c JOIN src s ON s.conv_id = c.base AND s.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, s.pos, s.role, s.text FROM convs c JOIN src s ON s.conv_id = c.conv_id AND s.pos > c.h
+),
+paths AS (
+  SELECT c.conv_id, coalesce(t.path, CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[])) AS path FROM convs c
+  LEFT JOIN (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY own, pos) AS path FROM turns GROUP BY conv_id) t USING (conv_id)
+),
+members AS (
+  SELECT conv_id, depth, path[1:depth] AS node, depth = len(path) AS last
+  FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM paths)
+),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs,
+         CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(node[depth].t) END AS own,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM members GROUP BY depth, node
+),
+below AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(b.n_children, 0) AS n_children FROM nodes n LEFT JOIN below b ON b.node = n.node),
+upward AS (SELECT own, n_children, node AS own_node, unnest(range(0, depth + 1)) AS k FROM full_nodes),
+subtrees AS (
+  SELECT own_node[1:k] AS node, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM upward GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN subtrees s ON s.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""
+
+
+@_query("op13_prefix_trie", _TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt_turns(ordered_turns(_table(spark, sf_dir, "conversations"))))

@@ -191,12 +191,12 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[Fragment]:
     """The first and the last fragment of a partition."""
     first = last = None
     for slices in _fragments(batches):
-        last = _read(slices)[0]
+        last = slices
         first = first or last
     if first is not None:
-        yield first
+        yield _read(first)[0]
         if last is not first:
-            yield last
+            yield _read(last)[0]
 
 
 def _fragment_table(fragment: Fragment) -> np.ndarray:
