@@ -11,7 +11,8 @@ Main path: DataFrame functions only.
 * Rates become whole copies along the order of sizes: a document takes floor(R + own) - floor(R), where R is the sum of the
   rates before it. So the copies of any range of sizes differ from its rates by less than one, and a source misses its
   target by less than its largest document. R comes from the counts, and the place among documents of one size
-  from a hash of the row in two levels, so no source meets in one task.
+  from a hash of the row in two levels, so no source meets in one task. Rows that are equal in every column and many are
+  counted, and one of them stands for all.
 * Sums are of whole numbers (rates in units of 2**-20, words times such rates), so reruns agree to the last copy.
 
 Defined results: a null or empty text has size 0, rate 0 and no copies; a source without words has target 0; a null source
@@ -33,6 +34,7 @@ MOST = 3
 _UNIT = 1 << 20
 _STEPS = 60
 _PARTS = 256
+_BLOCK = 1 << 12
 _ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -105,18 +107,51 @@ def balance(counts: DataFrame, targets: DataFrame, sources: int, most: int = MOS
     return state.select("sid", "multiplier", "mean")
 
 
+def _hot_classes(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(k1, k2, home, hot_part, copies) of equal rows that are 1/1,024 of all or more, at most 1,024 classes, each a part of its own."""
+    total = max(int(parts.agg(F.sum("n")).first()[0] or 0), 1 << 12)
+    large = parts.where(F.col("n") * 1024 >= total).select("source", "size", "part", F.lit(True).alias("_large"))
+    same = rows.select("source", "size", "part", "k1", "k2").alias("r").join(
+        F.broadcast(large.alias("l")),  # at most 1,024 parts
+        F.col("r.source").eqNullSafe(F.col("l.source")) & (F.col("r.size") == F.col("l.size")) & (F.col("r.part") == F.col("l.part")),
+        "left_semi",
+    )
+    classes = same.groupBy("source", "size", "part", "k1", "k2").agg(F.count("*").alias("copies")).where(F.col("copies") * 1024 >= total)
+    place = F.row_number().over(Window.orderBy("source", "size", "k1", "k2"))  # at most 1,024 rows
+    return materialize(classes.withColumn("hot_part", (place + _PARTS).cast("bigint")).withColumnRenamed("part", "home"))
+
+
+def _without(parts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``parts`` with the hot classes as parts of their own."""
+    own = hot.select("source", "size", F.col("home").alias("part"), (-F.col("copies")).alias("n")).unionByName(
+        hot.select("source", "size", F.col("hot_part").alias("part"), F.col("copies").alias("n")))
+    return parts.unionByName(own).groupBy("source", "size", "part").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _repeated(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of the hot classes with their places: one row of a class stands for all, as they are equal."""
+    ones = rows.join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"]).groupBy("source", "size", "k1", "k2").agg(F.any_value("_row").alias("_row"))
+    named = ones.join(F.broadcast(hot.select("k1", "k2", "copies", "hot_part")), ["k1", "k2"])
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(_BLOCK).cast("bigint")))
+    spread = named.withColumn("_from", blocks).repartition("k1", "_from")  # a block of copies a task
+    ends = F.least(F.col("_from") + _BLOCK, F.col("copies")) - 1
+    return spread.withColumn("at", F.explode(F.sequence(F.col("_from"), ends))).withColumn("part", F.col("hot_part"))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies (whole, 0 to ``most``) and taken (copies * size)."""
-    k1, k2 = fingerprint([F.col(id_col), F.col(text_col), F.col(source_col)])
     kept = [c for c in docs.columns if c not in _ADDED]
+    k1, k2 = fingerprint([F.col(c) for c in kept])
     rows = docs.select(
         F.struct(*[F.col(c) for c in kept]).alias("_row"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"), k1.alias("k1"), k2.alias("k2"),
-    ).withColumn("part", F.pmod(F.xxhash64("k2", "k1"), F.lit(_PARTS)).cast("int"))
+    ).withColumn("part", F.pmod(F.xxhash64("k2", "k1"), F.lit(_PARTS)).cast("bigint"))
     parts = materialize(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")))
+    hot = _hot_classes(rows, parts)
+    parts = materialize(_without(parts, hot))
     sources = parts.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"),
         F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"),
@@ -146,7 +181,9 @@ def mix_sources(
                 (F.coalesce("before", F.lit(0)) + F.coalesce("rate", F.lit(0)) * F.col("first") + _UNIT // 2).alias("from"))
     )
     inside = Window.partitionBy("sid", "size", "part").orderBy("k1", "k2")
-    placed = numbered(rows).withColumn("at", F.row_number().over(inside) - 1).join(starts, ["sid", "size", "part"])
+    few = rows.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
+    placed = numbered(few).withColumn("at", (F.row_number().over(inside) - 1).cast("bigint"))
+    placed = placed.unionByName(numbered(_repeated(rows, hot)).select(*placed.columns)).join(starts, ["sid", "size", "part"])
     reached = F.col("from") + F.col("rate") * F.col("at")
     copies = F.shiftright(reached + F.col("rate"), 20) - F.shiftright(reached, 20)
     return placed.select(

@@ -34,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..operators.ranking import dense_ids
+from ..session import broadcast_if_small
+from .common import hash_pair, materialize
 from .components import connected_components
 from .hashing import mix, shingle_sets
 
@@ -245,3 +247,25 @@ def near_duplicates(
     return features.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component")
     )
+
+
+def told_apart(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with a new column ``name``, an id of its own for each text of each id; equal (id, text) rows become one.
+
+    Ids that belong to one row stay. Rows with a null id, or an id that repeats, get ids behind all others, in the order of
+    (id, hash of id and text) with null ids last. Only those rows are ranked; of rows equal in (id, text) the one with
+    the smallest hash of all columns stays.
+    """
+    own = F.col(id_col).cast("bigint")
+    odd = materialize(docs.groupBy(own.alias("_odd")).agg(F.count("*").alias("_n")).where("_odd IS NULL OR _n > 1").select("_odd"))
+    few = broadcast_if_small(odd)
+    same = own.eqNullSafe(F.col("_odd"))
+    plain = docs.join(few, same, "left_anti").withColumn(name, own)
+    if odd.isEmpty():
+        return plain
+    last = plain.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
+    k1, k2 = hash_pair(own, F.col(text_col))
+    row = F.struct(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("_row_hash"), *[F.col(c) for c in docs.columns])
+    single = docs.join(few, same, "left_semi").groupBy(own.alias("_id"), k1.alias("_k1"), k2.alias("_k2")).agg(F.min(row).alias("_row"))
+    ranked = dense_ids(single, [F.col("_id").isNull(), F.col("_id"), F.col("_k1"), F.col("_k2")], name, start=int(last) + 1)
+    return plain.unionByName(ranked.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], name))

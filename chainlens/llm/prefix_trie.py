@@ -176,6 +176,13 @@ def link_sums(paths: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return found.where("NOT partial").drop("partial").unionByName(reduced)
 
 
+def _joined_ends(ends: DataFrame) -> DataFrame:
+    """(node, _part, piece): ids that end at a node, in ranges, so that many are joined in many tasks and digested as few rows."""
+    ranged = sort_by_range(ends, [*_NODE, "conv"])
+    ids = F.transform(F.sort_array(F.collect_list("conv")), lambda c: c.cast("string"))
+    return ranged.groupBy(*_NODE, "_part").agg(F.array_join(ids, ",").alias("piece"))
+
+
 def prefix_trie(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A row a node of the trie over (conv, depth, t1, t2, chars, last): smallest member, depth, parent's smallest member, counts,
     saved tokens and the digest of the members that end there."""
@@ -195,8 +202,7 @@ def prefix_trie(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     paths = steps.join(enders, "conv").groupBy("conv").agg(F.sort_array(F.collect_list(link)).alias("path"))
     sums = link_sums(paths, most).join(links.select(*_LINK, F.col("top.depth").alias("top"), "bottom", "end", "own"), _LINK)
     placed = join_split(nodes, sums, _LINK, F.col("bottom") - F.col("top") + 1, nodes.count())
-    ended = ordered_digests(
-        walked.where("last").select(*_NODE, "conv", F.col("conv").cast("string").alias("piece")), _NODE, ["conv"], "piece", ",")
+    ended = ordered_digests(_joined_ends(walked.where("last").select(*_NODE, "conv")), _NODE, ["_part"], "piece", ",")
     return placed.join(ended, _NODE, "left").select(
         F.col("lead").alias("conv_id"), "depth",
         F.when(F.col("depth") == F.col("top"), F.col("parent_lead")).otherwise(F.col("lead")).alias("parent_conv_id"),
