@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Mapping, Sequence
-
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import Evaluator
+import json
+from collections.abc import Sequence
+from dataclasses import asdict
+
+from pyspark.ml import Estimator
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .metrics import classification_report
+from .boosting import BoostedTrees
 from .relational import label_or_other
 
 
@@ -66,18 +59,6 @@ def as_ml_frame(df: DataFrame, features: str = "features") -> DataFrame:
 _COMMON = {"featuresCol": "features", "labelCol": "label_index", "predictionCol": "prediction_index"}
 
 
-def boosted_trees(rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42) -> Estimator:
-    """Gradient-boosted trees, one class against the rest."""
-    booster = GBTClassifier(featuresCol="features", labelCol="label_index", maxIter=rounds, maxDepth=depth,
-                            stepSize=step, seed=seed)
-    return OneVsRest(classifier=booster, **_COMMON)
-
-
-def tree_ensemble(trees: int = 100, depth: int = 8, seed: int = 42) -> Estimator:
-    """Multi-class random forest."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **_COMMON)
-
-
 def logistic(max_iter: int = 2000) -> Estimator:
     return LogisticRegression(family="multinomial", maxIter=max_iter, **_COMMON)
 
@@ -86,62 +67,6 @@ def linear_svm(max_iter: int = 100) -> Estimator:
     return OneVsRest(classifier=LinearSVC(featuresCol="features", labelCol="label_index", maxIter=max_iter), **_COMMON)
 
 
-class MacroF1(Evaluator):
-    """Unweighted mean of the class F1 scores."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        frame = dataset.select(
-            F.col("label_index").cast("string").alias("label"), F.col("prediction_index").cast("string").alias("prediction")
-        )
-        return classification_report(frame).filter(F.col("class") == "macro avg").first()["f1"]
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
-# The candidate values of the boosted trees' parameter search, for the parameters Spark's trees have.
-SEARCH_SPACE = {
-    "maxIter": [300, 500, 800, 1200],
-    "maxDepth": [4, 6, 7, 9, 12],
-    "stepSize": [0.01, 0.03, 0.05, 0.08, 0.1],
-    "subsamplingRate": [0.6, 0.7, 0.8, 0.9, 1.0],
-    "featureSubsetStrategy": ["0.6", "0.7", "0.8", "0.9", "1.0"],
-    "minInstancesPerNode": [1, 3, 5, 8, 12],
-    "minInfoGain": [0.0, 0.1, 0.2, 0.5, 1.0],
-}
-SEARCH_DRAWS = 40
-
-
-def random_param_search(
-    estimator: Estimator, space: Mapping[str, Sequence] = SEARCH_SPACE, n: int = SEARCH_DRAWS, seed: int = 42
-) -> list[dict]:
-    """``n`` different random parameter maps from the grid; of one-against-rest, those of the inner classifier."""
-    owner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-    size = 1
-    for values in space.values():
-        size *= len(values)
-    names = sorted(space)
-    chosen = random.Random(seed).sample(range(size), min(n, size))
-    maps = []
-    for position in chosen:
-        picked = {}
-        for name in names:
-            position, at = divmod(position, len(space[name]))
-            picked[owner.getParam(name)] = space[name][at]
-        maps.append(picked)
-    return maps
-
-
-def search_classifier(df: DataFrame, estimator: Estimator, maps: list[dict], folds: int = 5, fold_column: str = "fold",
-                      parallelism: int = 4, seed: int = 42):
-    """Cross-validate the maps on the given folds by macro F1 and refit the best on all rows."""
-    validator = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=folds, foldCol=fold_column,
-        parallelism=parallelism, seed=seed,
-    )
-    return validator.fit(df)
-
-
 def pca(df: DataFrame, k: int = 2, vector: str = "embedding", out: str = "components") -> DataFrame:
     """Adds the ``k`` principal components of the centred vectors as an array."""
     ready = df.withColumn("_raw", array_to_vector(F.col(vector).cast("array<double>")))
@@ -150,5 +75,15 @@ def pca(df: DataFrame, k: int = 2, vector: str = "embedding", out: str = "compon
     return model.transform(centred).withColumn(out, vector_to_array("_components")).drop("_raw", "_centred", "_components")
 
 
-def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_classifier(spark: SparkSession, model: BoostedTrees, encoder: StringIndexerModel, path: str) -> None:
+    """The model, its label encoder and its parameters, each in a folder of its own below ``path``."""
+    model.save(spark, f"{path}/model")
+    encoder.write().overwrite().save(f"{path}/label_encoder")
+    best = json.dumps(asdict(model.settings), indent=2)
+    spark.createDataFrame([(best,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/best_params")
+
+
+def load_classifier(spark: SparkSession, path: str) -> tuple[BoostedTrees, StringIndexerModel, dict]:
+    """(model, encoder, parameters) as saved."""
+    best = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/best_params", wholetext=True).collect()))
+    return BoostedTrees.load(spark, f"{path}/model"), StringIndexerModel.load(f"{path}/label_encoder"), best

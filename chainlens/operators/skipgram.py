@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import UNIFORMS
-from ..session import materialize
+from ..session import materialize, remove_path, scratch_path
 from .ranking import running_sum
 from .walks import first_at_least, vocab_counts
 
@@ -76,60 +77,101 @@ def sample_negatives(
     return draws.join(lists, "cell").withColumn("negative", F.get("_ids", at)).drop("cell", "_u", "_cumes", "_ids")
 
 
-def initial_vectors(vocab: DataFrame, dim: int, parts: int, seed: int = 42) -> DataFrame:
-    """(id, part, side, vec): small random centre vectors (side u), zero context vectors (side v)."""
-    draws = ", ".join(f"({UNIFORMS['hashed']('id', i, seed)} - 0.5D) / {dim}" for i in range(dim))
-    return vocab.selectExpr("id", f"CAST(pmod(xxhash64(id), {parts}) AS INT) AS part").selectExpr(
-        "id", "part", f"inline(array(named_struct('side', 'u', 'vec', array({draws})),"
-        f" named_struct('side', 'v', 'vec', array_repeat(0.0D, {dim}))))"
-    )
+_PART_FIELDS = "part int, side string, ids binary, vectors binary, noise binary"
+
+
+def initial_parts(noise: DataFrame, dim: int, parts: int, seed: int = 42) -> DataFrame:
+    """(part, side, ids, vectors, noise): two rows a part, single precision: small random centre vectors (side u), zero context vectors (v).
+
+    ``noise`` holds the chance of each node of the part to be drawn as noise.
+    """
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids = table.column("id").to_numpy()
+        part = table.column("part")[0].as_py()
+        start = ((np.random.default_rng((seed, part)).random((len(ids), dim)) - 0.5) / dim).astype(np.float32)
+        chances = table.column("p").to_numpy()
+        return _part_rows(part, ids, start, np.zeros_like(start), chances)
 
+    return noise.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.col("id").cast("bigint").alias("id"), "p").groupBy(
+        "part").applyInArrow(build, _PART_FIELDS)
 
-def descend(u: np.ndarray, v: np.ndarray, center: np.ndarray, other: np.ndarray, label: np.ndarray, rate_from: float,
-            rate_to: float, batch: int) -> None:
-    """Stochastic gradient steps on u and v, in place, with a rate that falls over the examples."""
+
+def _part_rows(part: int, ids: np.ndarray, u: np.ndarray, v: np.ndarray, chances: np.ndarray) -> pa.Table:
+    return pa.table({"part": pa.array([part, part], pa.int32()), "side": ["u", "v"], "ids": [ids.tobytes()] * 2,
+                     "vectors": [u.tobytes(), v.tobytes()], "noise": [chances.tobytes()] * 2})
+
+
+def descend(u: np.ndarray, v: np.ndarray, center: np.ndarray, other: np.ndarray, cumulated: np.ndarray, negatives: int,
+            rate_from: float, rate_to: float, batch: int, draws: np.random.Generator) -> None:
+    """Stochastic gradient steps on u and v, in place, with a rate that falls over the pairs.
+
+    A step takes ``batch`` pairs. Its noise is drawn once for all of them, at least four times ``negatives`` nodes, and
+    weighted so that a pair meets ``negatives`` of them in expectation; so the noise is two small matrix products.
+    """
+    noise = max(4 * negatives, 64)
     for at in range(0, len(center), batch):
         rate = rate_from + (rate_to - rate_from) * at / len(center)
         c, o = center[at: at + batch], other[at: at + batch]
-        left, right = u[c], v[o]
-        miss = rate * (label[at: at + batch] - 1.0 / (1.0 + np.exp(-np.clip((left * right).sum(axis=1), -30, 30))))
-        np.add.at(u, c, miss[:, None] * right)
+        n = np.searchsorted(cumulated, draws.random(noise) * cumulated[-1], side="right").clip(0, len(v) - 1)
+        left, right, away = u[c], v[o], v[n]
+        miss = rate * (1.0 - _sigmoid((left * right).sum(axis=1)))
+        push = (rate * negatives / noise) * _sigmoid(left @ away.T)
+        np.add.at(u, c, miss[:, None] * right - push @ away)
         np.add.at(v, o, miss[:, None] * left)
+        np.subtract.at(v, n, push.T @ left)
 
 
-def block_step(vectors: DataFrame, examples: DataFrame, dim: int, parts: int, turn: int, rate_from: float, rate_to: float,
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def block_step(vectors: DataFrame, pairs: DataFrame, dim: int, parts: int, turn: int, negatives: int, rate_from: float, rate_to: float,
                seed: int) -> DataFrame:
-    """One pass over the examples whose parts are ``turn`` apart; (id, part, side, vec) after it.
+    """One pass over the pairs of this turn, whose parts are ``turn`` apart; the parts after it.
 
-    Group g holds the centre vectors of part g, the context vectors of part g + turn and the examples between them, so
-    no two groups share a vector and each group takes many small steps on its own. A vector travels once a turn, however
-    many examples need it.
+    Group g holds the centre vectors of part g, the context vectors of part g + turn and the pairs between them, so no two
+    groups share a vector and each group takes many small steps on its own. Noise is drawn in the group from the context part,
+    so it is never stored; every context part is met once an epoch.
     """
     group = F.when(F.col("side") == "u", F.col("part")).otherwise(F.pmod(F.col("part") - turn, F.lit(parts)))
-    held = vectors.withColumn("g", group)
-    chosen = examples.where(F.pmod(F.col("other_part") - F.col("center_part"), F.lit(parts)) == turn)
-    chosen = chosen.select(F.col("center_part").alias("example_g"), "center", "other", "label")
 
     def learn(table: pa.Table, found: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("id", "ascending")])
-        is_u = np.array(table.column("side").to_pylist(), dtype=object) == "u"
-        ids = table.column("id").to_numpy()
-        every = table.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim).copy()
-        u, v = every[is_u], every[~is_u]
-        if found.num_rows and len(u) and len(v):
-            found = found.sort_by([("center", "ascending"), ("other", "ascending"), ("label", "ascending")])
-            order = np.random.default_rng(seed).permutation(found.num_rows)
-            center = np.searchsorted(ids[is_u], found.column("center").to_numpy())[order]
-            other = np.searchsorted(ids[~is_u], found.column("other").to_numpy())[order]
-            batch = max(16, min(1024, len(u), len(v)))
-            descend(u, v, center, other, found.column("label").to_numpy()[order], rate_from, rate_to, batch)
-        flat = pa.array(np.concatenate([u, v]).ravel())
-        offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))
-        return pa.table({"id": table.column("id"), "part": table.column("part"), "side": table.column("side"),
-                         "vec": pa.ListArray.from_arrays(offsets, flat)})
-
-    return held.groupBy("g").cogroup(chosen.groupBy("example_g")).applyInArrow(
-        learn, "id bigint, part int, side string, vec array<double>")
+        held = {row["side"]: row for row in table.to_pylist()}
+        if len(held) < 2 or not found.num_rows:
+            return table.drop_columns("g")
+        ids = {side: np.frombuffer(row["ids"], np.int64) for side, row in held.items()}
+        u, v = (np.frombuffer(held[side]["vectors"], np.float32).reshape(-1, dim).copy() for side in "uv")
+        found = found.sort_by([("center", "ascending"), ("other", "ascending")])
+        draws = np.random.default_rng((seed, turn, held["u"]["part"]))
+        order = draws.permutation(found.num_rows)
+        center = np.searchsorted(ids["u"], found.column("center").to_numpy())[order]
+        other = np.searchsorted(ids["v"], found.column("other").to_numpy())[order]
+        batch = max(16, min(1024, len(u), len(v)))
+        descend(u, v, center, other, np.cumsum(np.frombuffer(held["v"]["noise"])), negatives, rate_from, rate_to, batch, draws)
+        made = {"u": u, "v": v}
+        return pa.table({c: [made[side].tobytes() if c == "vectors" else row[c] for side, row in held.items()] for c in
+                         ("part", "side", "ids", "vectors", "noise")}, schema=_PART_SCHEMA)
+
+    return vectors.withColumn("g", group).groupBy("g").cogroup(pairs.groupBy("center_part")).applyInArrow(learn, _PART_FIELDS)
+
+
+_PART_SCHEMA = pa.schema([("part", pa.int32()), ("side", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary()), ("noise", pa.binary())])
+
+
+def unpacked(vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, embedding) of the centre vectors, a row a node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data in zip(batch.column(0), batch.column(1), strict=True):
+                ids, flat = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(data.as_py(), np.float32).astype(np.float64)
+                for at in range(0, len(ids), 10_000):
+                    own = flat[at * dim:(at + 10_000) * dim]
+                    offsets = np.arange(0, len(own) + 1, dim, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[at: at + 10_000]), pa.ListArray.from_arrays(offsets, pa.array(own))], names=["id", "embedding"])
+
+    return vectors.where("side = 'u'").select("ids", "vectors").mapInArrow(run, "id bigint, embedding array<double>")
 
 
 def subsampled(walks: DataFrame, vocab: DataFrame, sample: float, seed: int) -> DataFrame:
@@ -147,55 +189,67 @@ def part_of(column: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int").alias(f"{column}_part")
 
 
-def largest_group(pairs: DataFrame, noise: DataFrame, negatives: int, parts: int) -> float:
-    """Examples of the fullest (centre part, other part): its pairs, and the noise expected for its centres in the other part."""
-    counted = pairs.groupBy(part_of("center", parts), part_of("context", parts).alias("other_part")).agg(F.count("*").alias("n"))
-    counted = materialize(counted)  # at most parts * parts rows
-    centers = counted.groupBy("center_part").agg(F.sum("n").alias("_all"))
-    shares = noise.groupBy(part_of("id", parts).alias("other_part")).agg(F.sum("p").alias("_share"))
-    groups = centers.crossJoin(F.broadcast(shares)).join(counted, ["center_part", "other_part"], "left")  # a row for each part
-    examples = F.coalesce("n", F.lit(0)) + F.col("_all") * F.col("_share") * negatives
-    return groups.agg(F.max(examples)).first()[0] or 0.0
+def largest_group(pairs: DataFrame, parts: int) -> int:
+    """Pairs of the fullest (centre part, other part)."""
+    counted = pairs.groupBy(part_of("center", parts), part_of("context", parts)).agg(F.count("*").alias("n"))
+    return counted.agg(F.max("n")).first()[0] or 0
+
+
+class PairStore:
+    """The pairs of one share in the shared folder, by turn: a turn reads its own folder, 1 / parts of them."""
+
+    schema = "center bigint, other bigint, center_part int, turn int"
+
+    def __init__(self, pairs: DataFrame, parts: int):
+        self.spark = pairs.sparkSession
+        self.path = scratch_path(self.spark, "pairs")
+        keyed = pairs.select("center", F.col("context").alias("other"), part_of("center", parts),
+                             part_of("context", parts).alias("_to"))
+        keyed = keyed.withColumn("turn", F.pmod(F.col("_to") - F.col("center_part"), F.lit(parts))).drop("_to")
+        if parts > 1:
+            keyed = keyed.repartition("turn", "center_part")
+        keyed.write.partitionBy("turn").parquet(self.path)
+
+    def of_turn(self, turn: int) -> DataFrame:
+        stored = self.spark.read.schema(self.schema).parquet(self.path)
+        return stored.where(F.col("turn") == turn).select("center", "other", "center_part")
+
+    def remove(self) -> None:
+        remove_path(self.spark, self.path)
 
 
 def train_vectors(
     walks: DataFrame, dim: int = 64, window: int = 8, negatives: int = 15, epochs: int = 10, alpha: float = 0.025,
     min_alpha: float = 0.0001, sample: float = 0.0, min_count: int = 1, seed: int = 42, power: float = 0.5,
-    part_nodes: int = 100_000, group_examples: int = 4_000_000,
+    part_nodes: int = 500_000, group_pairs: int = 4_000_000,
 ) -> DataFrame:
-    """(id, embedding): skip-gram with negative sampling over (walk_id, path), the vectors kept as a distributed table.
+    """(id, embedding): skip-gram with negative sampling over (walk_id, path), the vectors kept as a distributed table of parts.
 
-    Nodes are cut into parts of about ``part_nodes``. Every epoch draws new windows and noise (and drops frequent tokens, if
-    ``sample`` > 0), deals the walks to shares small enough that no group of two parts gets over about
-    ``group_examples`` examples (counted for the fullest group), and takes the pairs of parts in turns. The rate falls from ``alpha`` to ``min_alpha``. Vectors are
-    checkpointed after each turn. Nothing of vocabulary size passes through the driver or one task.
+    Nodes are cut into parts of about ``part_nodes``, a row a part and side. Every epoch draws new windows and noise (and drops
+    frequent tokens, if ``sample`` > 0), deals the walks to shares small enough that no group of two parts gets over about
+    ``group_pairs`` pairs (counted for the fullest group), stores a share's pairs by turn, and takes the pairs of parts in turns. The rate
+    falls from ``alpha`` to ``min_alpha``. Parts are checkpointed after each turn. Nothing of vocabulary size passes
+    through the driver or one task.
     """
     vocab = materialize(vocab_counts(walks, min_count))
     noise = materialize(noise_distribution(vocab, power))
     kept = walks if min_count <= 1 else encode_kept(walks, vocab)
     parts = max(1, -(-vocab.count() // part_nodes))
-    vectors = materialize(initial_vectors(vocab, dim, parts, seed))
-
-    def examples_of(share: DataFrame, epoch: int) -> DataFrame:
-        pairs = skipgram_pairs(share, window, seed + epoch)
-        drawn = sample_negatives(pairs, noise, negatives, seed + epoch)
-        both = pairs.select("center", F.col("context").alias("other"), F.lit(1.0).alias("label")).unionByName(
-            drawn.select("center", F.col("negative").alias("other"), F.lit(0.0).alias("label")))
-        return both.select("center", "other", "label", part_of("center", parts), part_of("other", parts))
-
-    most = largest_group(skipgram_pairs(kept, window, seed), noise, negatives, parts)
-    shares = max(1, math.ceil(most / group_examples))
+    vectors = materialize(initial_parts(noise, dim, parts, seed))
+    most = largest_group(skipgram_pairs(kept, window, seed), parts)
+    shares = max(1, math.ceil(most / group_pairs))
     steps = epochs * shares
     for epoch in range(epochs):
         whole = subsampled(kept, vocab, sample, seed + epoch) if sample else kept
         for number in range(shares):
-            mine = whole.filter(F.pmod(F.xxhash64(F.lit(epoch), "walk_id"), F.lit(shares)) == number)
-            examples = materialize(examples_of(mine, epoch))
+            mine = whole if shares == 1 else whole.filter(F.pmod(F.xxhash64(F.lit(epoch), "walk_id"), F.lit(shares)) == number)
+            store = PairStore(skipgram_pairs(mine, window, seed + epoch), parts)
             at = epoch * shares + number
             rates = [alpha + (min_alpha - alpha) * (at + e) / steps for e in (0, 1)]
             for turn in range(parts):
-                vectors = materialize(block_step(vectors, examples, dim, parts, turn, *rates, seed + at))
-    return vectors.where("side = 'u'").select("id", F.col("vec").alias("embedding"))
+                vectors = materialize(block_step(vectors, store.of_turn(turn), dim, parts, turn, negatives, *rates, seed + at))
+            store.remove()
+    return unpacked(vectors, dim)
 
 
 def encode_kept(walks: DataFrame, vocab: DataFrame) -> DataFrame:

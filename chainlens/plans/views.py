@@ -123,6 +123,14 @@ VIEWS: dict[str, str] = {
         SELECT vec_id % 50 AS text_id, vec_id AS token_id,
                CASE WHEN vec_id % 4 = 0 OR vec_id % 50 = 7 THEN 0 ELSE 1 END AS mask,
                DOUBLES(embedding) AS embedding FROM embeddings""",
+    "graded_part": """
+        SELECT p_partkey AS id, p_size AS size, p_partkey % 10 AS digit, CAST(p_retailprice AS DOUBLE) AS price,
+               CASE WHEN p_size <= 13 THEN 'small' WHEN p_size <= 33 THEN CASE WHEN p_partkey % 10 <= 4 THEN 'mid low' ELSE 'mid high' END
+                    WHEN p_partkey % 10 <= 4 THEN 'large low' ELSE 'large high' END AS label
+        FROM part WHERE p_size <= 13 OR p_size BETWEEN 17 AND 33 OR p_size >= 37""",
+    "spaced_part": """
+        SELECT id, size, digit, label FROM graded_part
+        WHERE size <= 13 OR (size >= 37 AND (digit <= 3 OR digit >= 6))""",
     "text_line": """
         SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' || source || '  ' WHEN doc_id % 3 = 1 THEN lang ELSE '   ' END AS line
         FROM documents""",

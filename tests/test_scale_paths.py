@@ -236,12 +236,33 @@ def test_training_groups_stay_bounded_around_a_hub(spark, monkeypatch):
     given = [(w, [0, 0, 0, 0, 0, w % 40]) for w in range(400)]
     largest = []
 
-    def step(vectors, examples, dim, parts, turn, *rest):
-        if turn == 0:
-            largest.append(examples.groupBy("center_part", "other_part").count().agg(F.max("count")).first()[0])
+    def step(vectors, pairs, dim, parts, turn, *rest):
+        largest.append(pairs.groupBy("center_part").count().agg(F.max("count")).first()[0] or 0)
         return vectors
 
     monkeypatch.setattr(skipgram, "block_step", step)
     walked = spark.createDataFrame(given, "walk_id bigint, path array<bigint>")
-    skipgram.train_vectors(walked, dim=2, window=2, negatives=1, epochs=1, part_nodes=10, group_examples=2000)
+    skipgram.train_vectors(walked, dim=2, window=2, negatives=1, epochs=1, part_nodes=10, group_pairs=2000)
     assert max(largest) <= 2000 * 1.25
+
+
+def test_a_turn_reads_its_own_pairs(spark):
+    walked = spark.createDataFrame([(w, [(w * k) % 90 for k in range(1, 9)]) for w in range(200)], "walk_id bigint, path array<bigint>")
+    pairs = skipgram.skipgram_pairs(walked, 3)
+    store = skipgram.PairStore(pairs, 6)
+    turns = [store.of_turn(t) for t in range(6)]
+    assert sum(t.count() for t in turns) == pairs.count()
+    for n, turn in enumerate(turns):
+        plan = turn._jdf.queryExecution().executedPlan().toString()
+        assert f"(turn#" in plan and "PartitionFilters: [isnotnull(turn" in plan
+        files = turn.select(F.input_file_name().alias("f")).distinct().collect()
+        assert files and all(f"/turn={n}/" in r["f"] for r in files)
+        apart = F.pmod(F.xxhash64("other"), F.lit(6)) - F.pmod(F.xxhash64("center"), F.lit(6))
+        assert not turn.where(F.pmod(apart, F.lit(6)) != n).count()
+    store.remove()
+
+
+def test_training_is_repeatable(spark):
+    walked = spark.createDataFrame([(w, [(w * k) % 50 for k in range(1, 9)]) for w in range(100)], "walk_id bigint, path array<bigint>")
+    runs = [rows(skipgram.train_vectors(w, dim=4, epochs=2, part_nodes=20)) for w in (walked, walked.repartition(5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 50
