@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .name_kernels import Candidates, similarities
+
 # Characters that separate words in an exchange name; parentheses are deleted instead.
 _SEPARATORS = r"[ ,.;:|&'\"+\-/]"
 # Reverse suffix, the placeholder name and the shape of hex-only domain names.
@@ -61,101 +63,32 @@ def levenshtein_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
 
 
-def _damerau(a: str, b: str) -> float:
-    """Similarity from the edit distance that also counts swaps of letters with edits between them."""
-    if not a and not b:
-        return 1.0
-    rows, cols = len(a), len(b)
-    far = rows + cols
-    grid = [[far] * (cols + 2) for _ in range(rows + 2)]
-    for i in range(rows + 1):
-        grid[i + 1][1] = i
-    for j in range(cols + 1):
-        grid[1][j + 1] = j
-    last_row: dict[str, int] = {}
-    for i in range(1, rows + 1):
-        last_col = 0
-        for j in range(1, cols + 1):
-            row, col = last_row.get(b[j - 1], 0), last_col
-            same = a[i - 1] == b[j - 1]
-            if same:
-                last_col = j
-            grid[i + 1][j + 1] = min(
-                grid[i][j] + (not same),
-                grid[i + 1][j] + 1,
-                grid[i][j + 1] + 1,
-                grid[row][col] + (i - row - 1) + 1 + (j - col - 1),
-            )
-        last_row[a[i - 1]] = i
-    return 1.0 - grid[rows + 1][cols + 1] / max(rows, cols)
-
-
-def _jaro(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used = [False] * len(b)
-    left = []
-    for i, letter in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == letter:
-                used[j] = True
-                left.append(letter)
-                break
-    if not left:
-        return 0.0
-    right = [b[j] for j, hit in enumerate(used) if hit]
-    swaps = sum(x != y for x, y in zip(left, right)) // 2
-    m = len(left)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-
-
-def _jaro_winkler(a: str, b: str) -> float:
-    base = _jaro(a, b)
-    if base <= 0.7:
-        return base
-    prefix = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        prefix += 1
-    return base + prefix * 0.1 * (1 - base)
-
-
-_ROW_SCORES: dict[str, Callable[[str, str], float]] = {
-    "dam_lev": _damerau,
-    "jaro": _jaro,
-    "jaro_win": _jaro_winkler,
-}
-METHODS = ("lev", *_ROW_SCORES)
+METHODS = ("lev", "dam_lev", "jaro", "jaro_win")
 
 
 def name_similarity(a: Column | str, b: Column | str, method: str = "lev") -> Column:
     """Similarity of two names in [0, 1] by edit distance, Damerau distance, Jaro or Jaro-Winkler."""
     if method == "lev":
         return levenshtein_similarity(a, b)
-    score = _ROW_SCORES[method]
 
     @F.pandas_udf("double")
     def scored(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(left, right)], dtype="float64")
+        given = left.notna() & right.notna()
+        found = pd.Series(index=left.index, dtype="float64")
+        found[given] = similarities(left[given].tolist(), right[given].tolist(), method)
+        return found
 
     return scored(_column(a), _column(b))
 
 
-def _best(name: str, candidates: list[str], score: Callable[[str, str], float], n: int) -> list[tuple[float, str]]:
-    return sorted(((score(name, c), c) for c in candidates), reverse=True)[:n]
-
-
 def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str = "lev",
               limit: int = CANDIDATE_LIMIT) -> DataFrame:
     """(name, score, match): the ``n`` best candidates per distinct name, equal scores by the larger string.
 
-    The lists are never empty, and an outer explode keeps Spark from testing that, with the whole
-    score inside the test, on the rows below the distinct. Up to ``limit`` candidates travel with the expression. Beyond it they are packed into lists that
-    meet every name by key, and only the ``n`` best per list move on to the final choice.
+    Letters in common bound a similarity from above; a name's candidates are scored by falling bound, until none can reach its
+    nth score. The lists are never empty, and an outer explode keeps Spark from testing that, with the whole
+    score inside the test, on the rows below the distinct. Up to ``limit`` candidates travel with the expression. Beyond it
+    they are packed into lists that meet every name by key, and only the ``n`` best per list move on to the final choice.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
@@ -167,7 +100,7 @@ def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str =
         listed = sorted(row[0] for row in taken)
         if not listed:
             return distinct_names.select("name", F.lit(0.0).alias("score"), F.lit("").alias("match")).limit(0)
-        ranked = distinct_names.withColumn("_best", _ranked("name", F.lit(listed), listed, n, method))
+        ranked = distinct_names.withColumn("_best", _ranked("name", listed, n, method))
         return ranked.select("name", F.explode_outer("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
     packs = math.ceil(pool.count() / limit)
     salts = max(1, math.ceil(distinct_names.count() / limit))
@@ -178,35 +111,27 @@ def match_top(names: DataFrame, candidates: DataFrame, n: int = 1, method: str =
     spread = distinct_names.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")).withColumn(
         "pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(packs - 1).cast("bigint")))
     )
-    if method == "lev":  # the built-in distance, as for a short list
-        met = spread.join(copies, ["pack", "salt"]).select("name", _ranked("name", F.col("list"), [], n, method).alias("_hits"))
-        per_pack = met.select("name", F.explode_outer("_hits").alias("_hit")).select("name", "_hit.score", "_hit.match")
-    else:
-        score = _ROW_SCORES[method]
-
-        def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            pool_list = [c for part in right["list"] for c in part]
-            rows = [(x, s, c) for x in left["name"] for s, c in _best(x, pool_list, score, n)]
-            return pd.DataFrame(rows, columns=["name", "score", "match"])
-
-        per_pack = spread.groupBy("pack", "salt").cogroup(copies.groupBy("pack", "salt")).applyInPandas(
-            choose, "name string, score double, match string"
-        )
+
+    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pool_list = [c for part in right["list"] for c in part]
+        asked = left["name"].tolist()
+        hits = Candidates(pool_list, method).best(asked, n)
+        rows = [(x, s, c) for x, own in zip(asked, hits, strict=True) for s, c in own]
+        return pd.DataFrame(rows, columns=["name", "score", "match"])
+
+    per_pack = spread.groupBy("pack", "salt").cogroup(copies.groupBy("pack", "salt")).applyInPandas(
+        choose, "name string, score double, match string"
+    )
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "match")))), 1, n)
     merged = per_pack.groupBy("name").agg(best.alias("_best"))
     return merged.select("name", F.explode_outer("_best").alias("_hit")).select("name", "_hit.score", "_hit.match")
 
 
-def _ranked(name: str, candidates: Column, listed: list[str], n: int, method: str) -> Column:
-    if method == "lev":
-        scored = F.transform(
-            candidates, lambda c: F.struct(levenshtein_similarity(F.col(name), c).alias("score"), c.alias("match"))
-        )
-        return F.slice(F.reverse(F.array_sort(scored)), 1, n)
-    score = _ROW_SCORES[method]
-
+def _ranked(name: str, listed: list[str], n: int, method: str) -> Column:
     @F.pandas_udf("array<struct<score: double, match: string>>")
-    def best(values: pd.Series) -> pd.Series:
-        return pd.Series([[{"score": s, "match": c} for s, c in _best(v, listed, score, n)] for v in values])
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pool = Candidates(listed, method)
+        for values in batches:
+            yield pd.Series([[{"score": s, "match": c} for s, c in own] for own in pool.best(values.tolist(), n)])
 
     return best(F.col(name))
