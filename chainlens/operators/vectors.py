@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -122,69 +122,85 @@ def pair_scores(
     ).withColumn("score", F.nanvl("score", F.lit(None)))
 
 
+class GroupedAxis:
+    """Members (key, group, vector) sorted by group: each group is one stretch of the matrix."""
+
+    def __init__(self, keys: Sequence, groups: Sequence, matrix: np.ndarray):
+        frame = pd.DataFrame({"key": pd.Series(keys, dtype=object), "group": pd.Series(groups, dtype=object)})
+        order = np.lexsort((frame["key"], frame["group"]))
+        self.matrix = matrix[order]
+        self.keys = frame["key"].to_numpy()[order]
+        held = frame["group"].to_numpy()[order]
+        self.starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, np.int64)
+        self.groups = held[self.starts]
+        self.places = pd.DataFrame({"key": self.keys, "column": np.arange(len(self.keys))})
+
+    def own_cells(self, ids: Sequence) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns where an id is the member's own key."""
+        met = pd.DataFrame({"key": pd.Series(ids, dtype=object), "row": np.arange(len(ids))}).merge(self.places, on="key")
+        return met["row"].to_numpy(), met["column"].to_numpy()
+
+    def sums(self, kind: str, ids: Sequence, left: np.ndarray, skip_self: bool, cells: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows, total, number) per group for slices of the rows; no array is over ``cells`` (or a row of it)."""
+        row, column = self.own_cells(ids) if skip_self else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for part in row_chunks(len(left), len(self.keys), cells):
+            block = _score_block(kind, left[part], self.matrix)
+            mine = (row >= part.start) & (row < part.stop)
+            block[row[mine] - part.start, column[mine]] = np.nan
+            valid = ~np.isnan(block)
+            number = np.add.reduceat(valid, self.starts, axis=1, dtype=np.int64)
+            block[~valid] = 0.0
+            yield part, np.add.reduceat(block, self.starts, axis=1), number
+
+
 def mean_scores_by_group(
     vectors: DataFrame, axis: DataFrame, kind: str = "cosine", skip_self: bool = True, limit: int = AXIS_LIMIT,
     cells: int = CELLS,
 ) -> DataFrame:
     """(id, group, score): mean score of each vector with the members (key, group, vector) of each group.
 
-    Members are averaged inside the matrix product, so no wallet x member rows are made. A member
-    with the wallet's own key does not count when ``skip_self``, nor does a missing score.
+    Members are averaged inside the matrix product, as sums over stretches of members sorted by group, so no wallet x member
+    rows and no member x group table are made. A member with the wallet's own key does not count when ``skip_self``,
+    nor does a missing score; a group without any has a null mean.
     """
     columns = ["key", "group", "vector"]
     rows = axis.select(columns).take(limit + 1)
     group_type = dict(axis.dtypes)["group"]
     id_type = dict(vectors.dtypes)["id"]
-
-    def partial(ids: np.ndarray, left: np.ndarray, keys: np.ndarray, member: np.ndarray, right: np.ndarray):
-        sums, counts = np.empty((len(ids), member.shape[1])), np.empty((len(ids), member.shape[1]))
-        for part in row_chunks(len(ids), len(keys), cells):
-            block = _score_block(kind, left[part], right)
-            if skip_self:
-                block = np.where(ids[part][:, None] == keys[None, :], np.nan, block)
-            valid = ~np.isnan(block)
-            sums[part], counts[part] = np.where(valid, block, 0.0) @ member, valid @ member
-        return sums, counts
-
-    if len(rows) <= limit and not rows:
+    if not rows:
         return vectors.select("id", F.lit(None).cast(group_type).alias("group"), F.lit(None).cast("double").alias("score")).limit(0)
     if len(rows) <= limit:
-        rows.sort(key=lambda row: row["key"])
-        groups = sorted({row["group"] for row in rows})
-        matrix = np.array([row["vector"] for row in rows], dtype="float64")
-        keys = np.array([row["key"] for row in rows], dtype=object)
-        place = {group: i for i, group in enumerate(groups)}
-        member = np.zeros((len(rows), len(groups)))
-        member[np.arange(len(rows)), [place[row["group"]] for row in rows]] = 1.0
+        known = GroupedAxis([r["key"] for r in rows], [r["group"] for r in rows], np.array([r["vector"] for r in rows], dtype="float64"))
 
-        @F.pandas_udf("array<double>")
-        def means(ids: pd.Series, batch: pd.Series) -> pd.Series:
-            sums, counts = partial(ids.to_numpy(), np.stack(batch.to_numpy()).astype("float64"), keys, member, matrix)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = sums / counts
-            return pd.Series([[None if np.isnan(x) else x for x in row] for row in mean])
-
-        scored = vectors.select("id", means("id", F.col("vector").cast("array<double>")).alias("scores"))
-        both = F.explode_outer(F.arrays_zip(F.lit(groups).alias("group"), F.col("scores").alias("score"))).alias("_s")
-        return scored.select("id", both).select("id", "_s.group", "_s.score")
-
-    left, right = _sharded(vectors.select("id", "vector"), axis.select(columns), limit)
+        def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.array(known.groups.tolist())
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                left = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for part, total, number in known.sums(kind, batch.column(0).to_pylist(), left, skip_self, cells):
+                    mean = np.divide(total, number, out=np.zeros_like(total), where=number > 0).ravel()
+                    which = np.repeat(np.arange(part.start, part.stop), len(names))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(which)), names.take(pa.array(np.tile(np.arange(len(names)), len(total)))),
+                         pa.array(mean, mask=number.ravel() == 0)], names=["id", "group", "score"])
+
+        ready = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+        return ready.mapInArrow(means, f"id {id_type}, group {group_type}, score double")
 
     def sums_of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=["id", "group", "total", "n"], dtype=object)
-        names, codes = np.unique(b["axis_group"].to_numpy().astype(object), return_inverse=True)
-        member = np.zeros((len(b), len(names)))
-        member[np.arange(len(b)), codes] = 1.0
-        sums, counts = partial(
-            a["own_id"].to_numpy(), np.stack(a["own_vector"]).astype("float64"), b["axis_key"].to_numpy(), member,
-            np.stack(b["axis_vector"]).astype("float64"),
-        )
-        return pd.DataFrame({
-            "id": _plain(np.repeat(a["own_id"].to_numpy(), len(names))), "group": _plain(np.tile(names, len(a))),
-            "total": sums.ravel(), "n": counts.ravel(),
-        })
-
+        known = GroupedAxis(b["axis_key"], b["axis_group"], np.stack(b["axis_vector"]).astype("float64"))
+        ids, made = a["own_id"].to_numpy(), []
+        for part, total, number in known.sums(kind, ids, np.stack(a["own_vector"]).astype("float64"), skip_self, cells):
+            made.append(pd.DataFrame({
+                "id": _plain(np.repeat(ids[part], len(known.groups))), "group": _plain(np.tile(known.groups, len(total))),
+                "total": total.ravel(), "n": number.ravel().astype("float64")}))
+        return pd.concat(made)
+
+    side = min(limit, math.isqrt(cells))  # a shard's rows x a block's groups stay within the cells
+    left, right = _sharded(vectors.select("id", "vector"), axis.select(columns), side)
     parts = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(
         sums_of, f"id {id_type}, group {group_type}, total double, n double"
     )

@@ -266,3 +266,35 @@ def test_training_is_repeatable(spark):
     walked = spark.createDataFrame([(w, [(w * k) % 50 for k in range(1, 9)]) for w in range(100)], "walk_id bigint, path array<bigint>")
     runs = [rows(skipgram.train_vectors(w, dim=4, epochs=2, part_nodes=20)) for w in (walked, walked.repartition(5))]
     assert runs[0] == runs[1] and len(runs[0]) == 50
+
+
+def test_sparse_groups_stay_within_the_cells(monkeypatch):
+    """20,000 members in 20,000 groups: every array of a batch of 500 rows is bounded, and the own member is left out."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    matrix = rng.normal(size=(20_000, 3))
+    axis = vectors.GroupedAxis([f"k{i}" for i in range(20_000)], [f"g{i:05d}" for i in range(20_000)], matrix)
+    seen = []
+    inner = vectors._score_block
+    monkeypatch.setattr(vectors, "_score_block", lambda *a: seen.append(inner(*a)) or seen[-1])
+    ids = [f"k{i}" for i in range(250)] + ["none"] * 250
+    left = rng.normal(size=(500, 3))
+    cells, done = 400_000, 0
+    for part, total, number in axis.sums("dot", ids, left, True, cells):
+        assert total.size <= cells and number.size <= cells and seen[-1].size <= cells
+        for at in range(part.start, part.stop):
+            own = number[at - part.start] == 0
+            assert own.sum() == (at < 250) and (at >= 250 or axis.groups[own][0] == f"g{at:05d}")
+        assert np.allclose(total[number > 0], (left[part] @ matrix.T)[number > 0])
+        done += len(total)
+    assert done == 500
+
+
+def test_groups_of_repeated_keys(spark):
+    """A key in two groups is left out of both; a group of the own key alone has no mean."""
+    members = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("a", "y", [1.0, 0.0]), ("b", "y", [0.0, 1.0])], "key string, group string, vector array<double>")
+    wallets = spark.createDataFrame([("a", [1.0, 1.0]), ("c", [2.0, 0.0])], "id string, vector array<double>")
+    expect = [("a", "x", None), ("a", "y", 1.0), ("c", "x", 2.0), ("c", "y", 1.0)]
+    for limit in (100, 1):
+        assert rows(vectors.mean_scores_by_group(wallets, members, "dot", limit=limit)) == rows(spark.createDataFrame(expect, "id string, group string, score double"))
