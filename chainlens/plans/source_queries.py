@@ -144,7 +144,7 @@ def _(t):
     writers.rebuild_table(orders.withColumn("o_totalprice", F.lit(0.0)), name)
     writers.rebuild_table(orders, name)
     rebuilt = materialize(t.spark.table(name))
-    t.spark.sql(f"DROP TABLE {name}")
+    writers.drop_rebuilt(t.spark, name)
     return rebuilt
 
 
@@ -179,15 +179,31 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("s17_load_new_files", "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id FROM events")
+def _(t):
+    """Files in two rounds, the second with late rows and with repeats of the first; a third round finds nothing new."""
+    source, target, state = (scratch_path(t.spark, label) for label in ("incoming", "loaded", "state"))
+    events = t["events"].select("event_id", "ts", "user_id")
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.pmod("event_id", F.lit(7)) == 0
+    stamped.where(~late).write.mode("append").parquet(source)
+    for more in (stamped.where(late | (F.pmod("event_id", F.lit(11)) == 0)), None):
+        incremental.load_new_files(t.spark, source, target, state, stamped.schema, "ts", "event_id", "10000 days")
+        if more is not None:
+            more.write.mode("append").parquet(source)
+    incremental.load_new_files(t.spark, source, target, state, stamped.schema, "ts", "event_id", "10000 days")
+    return t.spark.read.schema(stamped.schema).parquet(target).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 _PROMPT = "Classify the message."
 _SCHEMA = {"name": "answer", "schema": {"type": "object", "required": ["result"]}, "strict": True}
 
 
 @query("s18_build_requests", """
     SELECT conv_id || '-' || turn AS custom_id, text AS content, 'Classify the message.' AS prompt, 'json_schema' AS kind,
-           'answer' AS schema_name, CAST(NULL AS VARCHAR) AS temperature FROM conversations WHERE role = 'user'""")
+           'answer' AS schema_name, CAST(NULL AS VARCHAR) AS temperature FROM conversations""")
 def _(t):
-    turns = t["conversations"].filter("role = 'user'").withColumn("row_id", F.concat_ws("-", "conv_id", "turn"))
+    turns = t["conversations"].withColumn("row_id", F.concat_ws("-", "conv_id", "turn"))
     built = requests.build_requests(turns, "row_id", "text", _PROMPT, _SCHEMA, "small", None)
 
     def part(path):
@@ -213,6 +229,9 @@ def _(t):
     return readers.row_counts(t["lineitem"], "l_returnflag")
 
 
-@query("a31_table_stats", "SELECT count(*) AS total_rows, CAST(1 AS BIGINT) AS n_files FROM lineitem")
+# The given files hold up to 1,048,576 rows a row group.
+@query("a31_table_stats", """
+    SELECT count(*) AS total_rows, CAST(1 AS BIGINT) AS n_files, CAST(ceil(count(*) / 1048576.0) AS BIGINT) AS n_row_groups
+    FROM lineitem""")
 def _(t):
     return readers.table_stats(t.spark, t.path("lineitem"))

@@ -93,11 +93,11 @@ def _(t):
 
 
 @query("w10_softmax_array", """
-    SELECT wallet, round(list_max(embedding), 6) AS top, round(exp(list_max(embedding) - list_max(embedding))
-      / list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))), 6) AS p FROM wallet_vector""")
+    SELECT wallet, unnest(range(0, len(embedding))) AS i, round(unnest(list_transform(embedding, lambda x: exp(x - list_max(embedding))
+      / list_sum(list_transform(embedding, lambda y: exp(y - list_max(embedding)))))), 9) AS p FROM wallet_vector""")
 def _(t):
-    soft = t["wallet_vector"].withColumn("_p", vector_math.softmax_array("embedding"))
-    return soft.select("wallet", F.round(F.array_max("embedding"), 6).alias("top"), F.round(F.array_max("_p"), 6).alias("p"))
+    soft = t["wallet_vector"].select("wallet", F.posexplode(vector_math.softmax_array("embedding")).alias("i", "p"))
+    return soft.select("wallet", F.col("i").cast("bigint").alias("i"), F.round("p", 9).alias("p"))
 
 
 @query("a27_country_mean_vector", """
@@ -134,25 +134,29 @@ def _(t):
     return vectors.emb_cos_sim(wallets_of(t), exchange_axis(t)).withColumn("score", F.round("score", 6))
 
 
+def _elements(joined):
+    """A row for each element of the vector."""
+    spread = joined.select("key", "country", F.round("value", 6).alias("value"), F.posexplode("vector").alias("i", "x"))
+    return spread.withColumns({"i": F.col("i").cast("bigint"), "x": F.round("x", 6)})
+
+
 @query("v1_anchor_multiple", """
-    SELECT address AS key, country, round(value, 6) AS value, round(embedding[1], 6) AS first
+    SELECT address AS key, country, round(value, 6) AS value, unnest(range(0, len(embedding))) AS i, round(unnest(embedding), 6) AS x
     FROM (SELECT c.*, a.embedding FROM anchor_country c JOIN anchor a ON c.address = a.address) x""")
 def _(t):
     anchors, values = anchors_of(t)
     joined = values.join(anchors, "key")
-    return joined.select("key", "country", F.round("value", 6).alias("value"),
-                         F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+    return _elements(joined)
 
 
 @query("v2_anchor_mean", """
-    SELECT m.key, v.country, round(v.value, 6) AS value, round(m.vector[64], 6) AS last
+    SELECT m.key, v.country, round(v.value, 6) AS value, unnest(range(0, len(m.vector))) AS i, round(unnest(m.vector), 6) AS x
     FROM exchange_mean m JOIN (SELECT exchange, country, avg(value) AS value FROM anchor_country GROUP BY 1, 2) v
     ON m.key = v.exchange""")
 def _(t):
     anchors, values = means_of(t)
     joined = values.join(anchors, "key")
-    return joined.select("key", "country", F.round("value", 6).alias("value"),
-                         F.round(F.get("vector", F.lit(63)), 6).alias("last"))
+    return _elements(joined)
 
 
 @query("v4_country_prob", "SELECT id, key, round(score, 6) AS score FROM country_score_sum")

@@ -12,9 +12,10 @@ from .graph_queries import graph_of, seeds_of
 from .registry import common, query
 
 LENGTH = 8
+LONG = 40  # the walkers' own setting; segments of a path begin after ten hops
 SEED = 42
-WINDOW = 3
-NEGATIVES = 2
+WINDOW = 8
+NEGATIVES = 15
 
 
 def walks_of(t, policy="restart", length=LENGTH):
@@ -30,7 +31,7 @@ def path_text(df):
 
 common("hop", """
     SELECT src, dst, wsum, cume, lag(cume, 1, -1.0) OVER (PARTITION BY src ORDER BY dst) AS low FROM cdf""")
-for policy in walks.POLICIES:
+for name, policy, hops in [*((p, p, LENGTH) for p in walks.POLICIES), ("long", "restart", LONG)]:
     target, join, jump = {
         "restart": ("coalesce(h.dst, w.home)", "LEFT JOIN", ""),
         "terminate": ("h.dst", "JOIN", ""),
@@ -40,14 +41,14 @@ for policy in walks.POLICIES:
             " * (SELECT count(*) FROM seed)) AS BIGINT)",
         ),
     }[policy]
-    common(f"walk_rec_{policy}", f"""
+    common(f"walk_rec_{name}", f"""
         SELECT seed_index AS walk_id, 0 AS step, node_id AS home, node_id AS node FROM seed
         UNION ALL
         SELECT w.walk_id, w.step + 1, w.home, {target}
-        FROM walk_rec_{policy} w {join} hop h ON h.src = w.node
+        FROM walk_rec_{name} w {join} hop h ON h.src = w.node
           AND {sql_uniform('w.walk_id', 'w.step', SEED)} * h.wsum > h.low
           AND {sql_uniform('w.walk_id', 'w.step', SEED)} * h.wsum <= h.cume{jump}
-        WHERE w.step < {LENGTH}""")
+        WHERE w.step < {hops}""")
 common("walk_rows", "SELECT walk_id, step, node FROM walk_rec_restart")
 common("vocab", """
     SELECT node AS id, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, node) - 1 AS index
@@ -63,16 +64,17 @@ common("noise", """
     FROM (SELECT id, index, pow(count, 0.75) AS w FROM vocab) v""")
 
 
-def _walk_query(policy):
-    @query(f"w5_random_walks_{policy}", f"""
+def _walk_query(name, policy, hops):
+    @query(f"w5_random_walks_{name}", f"""
         SELECT walk_id, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY step) AS path
-        FROM walk_rec_{policy} GROUP BY walk_id""")
+        FROM walk_rec_{name} GROUP BY walk_id""")
     def _(t):
-        return path_text(walks_of(t, policy))
+        return path_text(walks_of(t, policy, hops))
 
 
 for _policy in walks.POLICIES:
-    _walk_query(_policy)
+    _walk_query(_policy, _policy, LENGTH)
+_walk_query("long", "restart", LONG)
 
 
 @query("j18_next_hop_join", f"""

@@ -21,6 +21,7 @@ def build_session(app_name: str = "chainlens", master: str | None = None, **conf
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go with the tables they hold
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)
@@ -95,7 +96,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def clean_up(spark: SparkSession) -> None:
     """Drop this library's bucketed tables and their folders, at the end of a run."""
     for table in spark.catalog.listTables():
-        if table.name.startswith("chainlens_"):
+        if table.name.startswith("chainlens_") and table.tableType == "VIEW":
+            spark.sql(f"DROP VIEW {table.name}")
+        elif table.name.startswith("chainlens_"):
             place = spark.sql(f"DESCRIBE FORMATTED {table.name}").where("col_name = 'Location'").first()
             spark.sql(f"DROP TABLE {table.name}")
             if place and "/bucketed-" in place["data_type"]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import parquet
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,11 +126,36 @@ def row_counts(df: DataFrame, category: str | F.Column, file: F.Column | None =
     return tagged.rollup("category", "file").agg(F.count("*").alias("n"))
 
 
+def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_rows, n_row_groups) of every Parquet file below ``path``, from its footer alone.
+
+    Files are listed as rows and dealt to tasks; a task reads the end of each of its files and no data. The file system has
+    to be one that Arrow opens (local paths, HDFS, S3, GCS).
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    files = listed.select("path").repartition("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column(0).to_pylist():
+                system, place = FileSystem.from_uri(uri)
+                with system.open_input_file(place) as source:
+                    known = parquet.read_metadata(source)
+                found.append((uri, known.num_rows, known.num_row_groups))
+            columns = list(zip(*found, strict=True)) if found else [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())],
+                names=["file", "n_rows", "n_row_groups"])
+
+    return files.mapInArrow(read, "file string, n_rows bigint, n_row_groups bigint")
+
+
 def table_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Total rows and number of files of a Parquet path."""
-    df = spark.read.parquet(path)
-    per_file = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("n"))
-    return per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.count("*").alias("n_files"))
+    """Total rows, number of files and of row groups of a Parquet path, without a scan."""
+    return parquet_footers(spark, path).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"), F.count("*").alias("n_files"),
+        F.coalesce(F.sum("n_row_groups"), F.lit(0)).alias("n_row_groups"))
 
 
 def table_columns(df: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,15 +53,32 @@ def copy_table(spark: SparkSession, source: str, target: str, columns: Sequence[
     return broken
 
 
-def rebuild_table(df: DataFrame, name: str) -> None:
-    """Build a new table next to the old one, then swap the names."""
+def rebuild_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` as a new version of ``name`` and point the view ``name`` at it in one statement; returns the version's name.
+
+    Readers find the version before or the new one, whole, at any time. The version before stays for those that still read
+    it; older ones are dropped. ``name`` is a view: a table of that name is an error, and nothing is written.
+    """
     spark = df.sparkSession
-    mark = uuid.uuid4().hex[:8]
-    fresh, old = f"{name}_new_{mark}", f"{name}_old_{mark}"
+    if any(t.name == name and t.tableType != "VIEW" for t in spark.catalog.listTables()):
+        raise ValueError(f"{name} is a table, not a view over versions")
+    before = _versions(spark, name)
+    fresh = f"{name}_v{len(before) and int(before[-1].rpartition('_v')[2]) + 1}"
     df.write.mode("errorifexists").saveAsTable(fresh)
-    had = spark.catalog.tableExists(name)
-    if had:
-        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
-    if had:
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fresh}")
+    for old in before[:-1]:
         spark.sql(f"DROP TABLE {old}")
+    return fresh
+
+
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """Tables behind a rebuilt view, oldest first."""
+    found = [t.name for t in spark.catalog.listTables(pattern=f"{name}_v*") if t.name[len(name) + 2:].isdigit()]
+    return sorted(found, key=lambda n: int(n.rpartition("_v")[2]))
+
+
+def drop_rebuilt(spark: SparkSession, name: str) -> None:
+    """Drop a rebuilt view and its versions."""
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    for version in _versions(spark, name):
+        spark.sql(f"DROP TABLE {version}")

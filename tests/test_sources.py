@@ -96,14 +96,6 @@ def test_copy_table_refuses_nulls(spark, tmp_path):
     assert spark.read.parquet(target).count() == 2
 
 
-def test_rebuild_table_swaps(spark):
-    for n in (2, 5):
-        writers.rebuild_table(spark.range(n), "rebuilt")
-        assert spark.table("rebuilt").count() == n
-    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("rebuilt")] == ["rebuilt"]
-    spark.sql("DROP TABLE rebuilt")
-
-
 EVENT = "id int, ts int"
 
 
@@ -145,3 +137,69 @@ def test_requests_are_json(spark):
 def test_responses(spark):
     df = spark.createDataFrame([("a", '{"result": "Europe"}'), ("b", "oops"), ("c", "{}")], "k string, r string")
     assert rows(requests.parse_responses(df, "k", "r")) == [("a", "Europe"), ("b", None), ("c", None)]
+
+
+def test_readers_always_find_a_whole_table(spark):
+    """Versions behind a view: a reader that planned on the one before still finds it whole; older ones go."""
+    name = "rebuilt_view"
+    try:
+        assert writers.rebuild_table(spark.range(10), name) == f"{name}_v0"
+        before = spark.table(name)
+        assert writers.rebuild_table(spark.range(20), name) == f"{name}_v1"
+        assert before.count() == 10 and spark.table(name).count() == 20
+        writers.rebuild_table(spark.range(30), name)
+        assert spark.table(name).count() == 30
+        assert sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(name)) == [name, f"{name}_v1", f"{name}_v2"]
+    finally:
+        writers.drop_rebuilt(spark, name)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(name)]
+    spark.range(3).write.saveAsTable("plain_one")
+    try:
+        with pytest.raises(ValueError):
+            writers.rebuild_table(spark.range(5), "plain_one")
+        assert spark.table("plain_one").count() == 3
+    finally:
+        spark.sql("DROP TABLE plain_one")
+
+
+def test_footers_count_rows_and_row_groups(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "t" / "day=1").mkdir(parents=True)
+    pq.write_table(pa.table({"a": list(range(1000))}), tmp_path / "t" / "one file.parquet", row_group_size=300)
+    pq.write_table(pa.table({"a": list(range(50))}), tmp_path / "t" / "day=1" / "b.parquet")
+    pq.write_table(pa.table({"a": pa.array([], pa.int64())}), tmp_path / "t" / "none.parquet")
+    found = readers.parquet_footers(spark, str(tmp_path / "t")).collect()
+    assert sorted((r["n_rows"], r["n_row_groups"]) for r in found)[1:] == [(50, 1), (1000, 4)]
+    stats = readers.table_stats(spark, str(tmp_path / "t")).first()
+    assert (stats["total_rows"], stats["n_files"]) == (1050, 3) and stats["n_row_groups"] >= 5
+
+
+def test_capped_split_ranks_few_rows(spark, monkeypatch):
+    """A class of 40,000 rows of which 200 stay: few rows reach the ranking, and the split is the exact one."""
+    from pyspark.sql import functions as F
+
+    from chainlens.operators import sampling
+
+    df = spark.range(41000).select(F.col("id"), F.when(F.col("id") < 40000, "big").when(F.col("id") < 40900, "small").alias("label"))
+    ranked = []
+    inner = sampling.hash_rank
+    monkeypatch.setattr(sampling, "hash_rank", lambda rows, *rest, **more: ranked.append(rows.count()) or inner(rows, *rest, **more))
+    found = {r["id"]: r["split"] for r in sampling.capped_split(df, "label", "id", 100, 100).collect()}
+    assert ranked[0] < 1000
+    drawn = {r["id"]: (r["label"], r["_u"]) for r in sampling._draw(df, "id", 42, "hashed").collect()}
+    for label in ("big", "small", None):
+        order = sorted((u, i) for i, (own, u) in drawn.items() if own == label)
+        assert [found.get(i) for _, i in order] == (["train"] * 100 + ["test"] * 100 + [None] * len(order))[:len(order)]
+
+
+def test_classes_that_fall_short_of_their_limit_are_ranked_whole(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from chainlens.operators import sampling
+
+    df = spark.range(5000).withColumn("label", F.lit("one"))
+    monkeypatch.setattr(sampling, "_draw", lambda rows, *rest: rows.withColumn("_u", 0.9 + F.col("id") / 100000))  # none below the limit
+    found = {r["id"]: r["split"] for r in sampling.capped_split(df, "label", "id", 10, 5).collect()}
+    assert found == {i: "train" if i < 10 else "test" for i in range(15)}
