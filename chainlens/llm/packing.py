@@ -17,6 +17,7 @@ their own; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -47,11 +48,28 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+# The steps before the model of a file whose words can be encoded one by one.
+_FORM = (
+    ["NFC", "Replace", "Lowercase"], [r"\s+"], ["Split", "ByteLevel"],
+    [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"], "BPE", "</w>", None,
+)
+
+
+def _form(file: dict) -> tuple:
+    """Normaliser and splitter of a tokenizer file, their patterns, kind of model, end of word, step behind the model."""
+    before = (file.get("normalizer") or {}).get("normalizers") or []
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    patterns = lambda steps: [s["pattern"].get("Regex") for s in steps if "pattern" in s]
+    return ([s["type"] for s in before], patterns(before), [s["type"] for s in splits], patterns(splits), file["model"]["type"],
+            file["model"].get("end_of_word_suffix"), file.get("post_processor"))
+
+
 class Encoder:
     """Ids of texts, by the file's tokenizer.
 
-    White space separates words for it, and letters from the marks that follow them, so each run of letters is encoded
-    once: normalised by the tokenizer and handed to its model. All other words go through the whole tokenizer.
+    Where the file normalises and splits as ``_FORM`` says, white space separates words for it, and letters from the marks that
+    follow them, so each run of letters is encoded once: normalised by the tokenizer and handed to its model. All other
+    words go through the whole tokenizer, and so do whole texts with any other file.
     """
 
     def __init__(self, path: str):
@@ -60,6 +78,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.by_words = _form(json.loads(self.tokenizer.to_str())) == _FORM
         self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
@@ -103,6 +122,8 @@ class Encoder:
         return b"".join([known[w] for w in words])
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.by_words:
+            return np.frombuffer(self._whole(text), "<u4")
         found, at = [], 0
         while len(text) - at > _SLICE:
             cut = max(text.rfind(" ", at, at + _SLICE), text.rfind("\n", at, at + _SLICE))

@@ -160,7 +160,7 @@ parsed AS (
 texts AS (
   SELECT txt, CAST(coalesce(sum(CASE WHEN hit.decision = 'allow' THEN 1 END), 0) AS BIGINT) AS good,
          CAST(coalesce(sum(CASE WHEN hit.decision = 'block' THEN 1 END), 0) AS BIGINT) AS bad
-  FROM parsed WHERE host <> '' GROUP BY txt
+  FROM parsed GROUP BY txt
 ),
 spread AS (
   SELECT txt, good, bad, substr('^^^' || txt || '$', i, 4) AS w
@@ -203,7 +203,7 @@ fit AS (
          / (sqrt(greatest(qg - mg * mg, 1e-12)) + sqrt(greatest(qb - mb * mb, 1e-12))) AS threshold FROM means
 )
 SELECT p.page_id, p.host, p.path, p.hit.rule AS rule,
-       coalesce(p.hit.decision, CASE WHEN p.host = '' THEN 'block' WHEN f.threshold IS NULL OR s.score >= f.threshold
+       coalesce(p.hit.decision, CASE WHEN f.threshold IS NULL OR s.score >= f.threshold
          THEN 'allow' ELSE 'block' END) AS verdict
 FROM parsed p LEFT JOIN scores s ON s.txt = p.txt, fit f
 """

@@ -13,8 +13,8 @@ Main path: DataFrame functions only.
 * Equal urls are counted once with their number; a window's log ratio is computed once and joined to the urls by
   broadcast where a count proves the table short, else by key.
 
-Defined results: a null url or one without ``://`` has an empty host and path and is blocked, as it leads nowhere; without
-training urls of both kinds the rest is allowed; repeated rows get one result each; other columns are not read.
+Defined results: a null url or one without ``://`` has an empty host and path, no rule, and the model's verdict on the empty
+string; without training urls of both kinds what no rule fits is allowed; repeated rows get one result each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     parsed = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"), modelled(F.col(url_col)).alias("_text"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("_ruled", verdict)
-    texts = materialize(parsed.where("host <> ''").groupBy("_text").agg(
+    texts = materialize(parsed.groupBy("_text").agg(
         F.sum((F.col("_ruled") == "allow").cast("bigint")).alias("good"), F.sum((F.col("_ruled") == "block").cast("bigint")).alias("bad"),
     ).na.fill(0, ["good", "bad"]))
     spread = texts.select("_text", "good", "bad", F.explode(_windows(F.col("_text"))).alias("w"))
@@ -124,8 +124,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if all(f["mean"] is not None for f in fit):
         mean, spreads = [f["mean"] for f in fit], [max(f["square"] - f["mean"] ** 2, 1e-12) ** 0.5 for f in fit]
         threshold = (mean[0] * spreads[1] + mean[1] * spreads[0]) / (spreads[0] + spreads[1])
-    by_model = F.when(F.col("host") == "", "block").when(
-        F.lit(threshold is None) | (F.col("score") >= F.lit(threshold)), "allow").otherwise("block")
+    by_model = F.when(F.lit(threshold is None) | (F.col("score") >= F.lit(threshold)), "allow").otherwise("block")
     return parsed.join(scores.select("_text", "score"), "_text", "left").select(
         id_col, "host", "path", "rule", F.coalesce("_ruled", by_model).alias("verdict"), "score",
         F.lit(threshold).cast("double").alias("threshold"),

@@ -334,3 +334,23 @@ def test_quality_sample_bounds_the_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id int, quality int")
     drawn = quality.training_sample(docs, labels, "doc_id", "text", "quality", 1000)
     assert drawn.count() == 19
+
+
+def test_other_tokenizer_files_are_taken_as_they_are(tmp_path):
+    """A file that splits or normalises in another way gives the tokenizer's own ids, not those of the short cut."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.Encoder(path).by_words
+    with open(path) as source:
+        changed = json.load(source)
+    changed["normalizer"]["normalizers"] = changed["normalizer"]["normalizers"][:2]  # upper case stays
+    (tmp_path / "other.json").write_text(json.dumps(changed))
+    encoder = packing.Encoder(str(tmp_path / "other.json"))
+    text = "Some Words, HERE and 12 there!\nÉté it's"
+    assert not encoder.by_words
+    assert encoder.ids(text).tolist() == Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
+    assert encoder.ids("").tolist() == []
