@@ -68,7 +68,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     documents of their own, behind all others. Texts without a word are never near-duplicates of another row.
     """
     plain, names = _plain(docs)
-    told = materialize(told_apart(plain, names["doc_id"], names["text"], "own_id"))
+    told = told_apart(plain, names["doc_id"], names["text"], "own_id")
     found = near_duplicates(told, "own_id", names["text"], percent=NEAR_PERCENT)
     gone = found.where("id <> component").select(F.col("id").alias("own_id"))
     return _restored(told.join(gone, "own_id", "left_anti"), names)
