@@ -191,9 +191,11 @@ def repair_conversations(
         F.col(conv_col).cast("bigint").alias("conv"), F.col(turn_col).cast("bigint").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
     )
-    order = ["conv", "turn", F.xxhash64("role", "text"), "role"]
+    # equal rows are interchangeable; their place in the input tells them apart, so that a range can end among them
+    placed = rows.withColumns({"_hash": F.xxhash64("role", "text"), "_row": F.monotonically_increasing_id()})
+    order = ["conv", "turn", "_hash", "role", "_row"]
     fixed = materialize(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash", "_row").withColumn("part", F.spark_partition_id())
     )
     found = fixed.select("part", "conv", "role").mapInArrow(_tables, "part int, conv bigint, turns bigint, cost array<bigint>")
     joined = join_fragments([tuple(r) for r in found.collect()])  # two rows a partition

@@ -29,6 +29,7 @@ from ..session import broadcast_if_small
 
 SIZE = 300
 SAMPLE = 4_000
+MOST_LANGUAGES = 1_000  # every task holds all profiles; more labels than languages exist are refused
 UNKNOWN = "und"
 _PIECE = 1_000_000
 _EDGE = 1
@@ -147,7 +148,10 @@ class Profiles:
 
 def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """``docs`` with lang_pred and score; columns already so named are replaced."""
-    known = Profiles([tuple(r) for r in profiles.select("lang", "code", "rank").collect()], size)
+    learned = [tuple(r) for r in profiles.select("lang", "code", "rank").limit(MOST_LANGUAGES * size + 1).collect()]
+    if len(learned) > MOST_LANGUAGES * size:
+        raise ValueError(f"the labels name more than {MOST_LANGUAGES} languages")
+    known = Profiles(learned, size)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 

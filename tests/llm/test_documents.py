@@ -231,6 +231,34 @@ def test_mixing(spark, corpus):
     assert mixing.mix_sources(frame(spark, [], SCHEMA)).count() == 0
 
 
+def test_mixing_rates_match_a_bisection(spark, corpus):
+    """The dual solved by bisection in plain Python: the copies of every range of sizes are its rates, to less than a copy."""
+    import math
+
+    found = mixing.mix_sources(frame(spark, corpus)).collect()
+    by_source = {}
+    for r in found:
+        if r["size"]:
+            by_source.setdefault(r["source"], []).append(r)
+    targets = targets_by_hand({s: sum(r["size"] for r in own) for s, own in by_source.items()})
+    for source, own in by_source.items():
+        mean = sum(r["size"] for r in own) / len(own)
+        rate = lambda m, size: min(3.0, math.exp(min(m * size / mean, 30.0)))
+        low, high = -40.0 * mean, 40.0 * mean
+        for _ in range(200):
+            middle = (low + high) / 2
+            if sum(r["size"] * rate(middle, r["size"]) for r in own) < targets[source]:
+                low = middle
+            else:
+                high = middle
+        run = copies = 0.0
+        own.sort(key=lambda r: r["size"])
+        for i, r in enumerate(own):
+            run, copies = run + rate(low, r["size"]), copies + r["copies"]
+            if i + 1 == len(own) or own[i + 1]["size"] > r["size"]:
+                assert abs(run - copies) < 1.01, (source, r["size"])
+
+
 def test_mixing_without_words(spark):
     rows = [(1, None, "x", "a", 0), (2, "", "x", None, 0), (3, "w", "x", "b", 1), (3, "w", "x", "b", 1)]
     found = mixing.mix_sources(frame(spark, rows)).collect()
@@ -354,3 +382,25 @@ def test_other_tokenizer_files_are_taken_as_they_are(tmp_path):
     assert not encoder.by_words
     assert encoder.ids(text).tolist() == Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
     assert encoder.ids("").tolist() == []
+
+
+def test_languages_match_plain_out_of_place_distances(spark):
+    """Profiles, distances and scores by hand, ties included (texts of a few letters)."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcde"[k: k + 4]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))),
+             f"l{k}", "s", 1) for i in range(240) for k in (i % 2,)]
+    code = lambda gram: sum((1 if c == "_" else ord(c)) << 21 * (len(gram) - 1 - n) for n, c in enumerate(gram))
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:300]
+    profiles = {}
+    for i, text, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for gram, n in profile_by_hand(text, 300)[1].items():
+                held = profiles.setdefault(lang, {})
+                held[gram] = held.get(gram, 0) + n
+    places = {lang: {g: r for r, g in enumerate(ranked(counts))} for lang, counts in profiles.items()}
+    found = {r["id"]: r for r in language_id.predict_languages(frame(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        own = ranked(profile_by_hand(text, 300)[1])
+        apart = {lang: sum(abs(p[g] - r) if g in p else 300 for r, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert found[i]["lang_pred"] == best and abs(found[i]["score"] - (1 - apart[best] / (300 * len(own)))) < 1e-12

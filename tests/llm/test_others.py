@@ -209,3 +209,19 @@ def test_a_conversation_over_many_partitions(spark):
     assert "".join(r["rendered"] for r in by_conv[3]) == "<|user|>\n\n<|assistant|>\nonly"
     assert None in by_conv
     assert chat.repair_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def test_equal_turns_are_spread_over_partitions(spark, monkeypatch):
+    """Half of all rows are one turn: its copies fill as many partitions as they need, and each is a turn of its own."""
+    rows = [(1, 5, "user", "the same")] * 3000 + [(c, k, "user", f"t{k}") for c in range(2, 602) for k in range(5)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(8)
+    sizes = []
+    real = chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df: sizes.append(real(df)) or sizes[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = chat.repair_conversations(table)
+        assert max(r["count"] for r in sizes[0].groupBy("part").count().collect()) < 1600
+        assert made.where("conv_id = 1 AND action <> 'insert'").count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
