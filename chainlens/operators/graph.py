@@ -58,11 +58,27 @@ def wide_sources(edges: DataFrame, max_fanout: int) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_fanout).select("src")
 
 
+def hub_blocks(hubs: DataFrame, max_fanout: int) -> DataFrame:
+    """``hubs`` (src, dst, ...) with ``block``: ranges of ids are gathered by the edges before them, not by their ids.
+
+    A range is half a block wide, as is the stretch of positions in which the ranges of one block start, so a block holds
+    at most ``max_fanout`` edges, and a hub has two blocks for every ``max_fanout`` edges at most, however far apart its
+    neighbours are.
+    """
+    half = max(1, max_fanout // 2)
+    ranged = hubs.withColumn("_range", F.floor(F.col("dst") / F.lit(half)).cast("bigint"))
+    before = Window.partitionBy("src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.groupBy("src", "_range").agg(F.count("*").alias("_n"))
+    starts = counted.select("src", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = materialize(starts.select("src", "_range", F.floor(F.col("_start") / F.lit(half)).cast("bigint").alias("block")))
+    return ranged.join(broadcast_if_small(starts), ["src", "_range"]).drop("_range")
+
+
 def build_cdf(edges: DataFrame, log: bool = True, max_fanout: int = 65536) -> DataFrame:
     """Per source: total weight and cumulative weight in order of ``dst``.
 
-    Sources above ``max_fanout`` edges are cut into ranges of ``dst`` of that width, so no task
-    ever sorts a whole hub. ``block`` is the range (0 for all other sources).
+    Sources above ``max_fanout`` edges are cut into blocks of consecutive neighbours, at most ``max_fanout`` each, so no
+    task ever sorts a whole hub. ``block`` is the number of the block (0 for all other sources).
     """
     weight = log_weight("weight") if log else positive_weight("weight")
     kept = edges.select("src", "dst", weight.alias("weight")).filter(F.col("weight") > 0)
@@ -78,7 +94,7 @@ def build_cdf(edges: DataFrame, log: bool = True, max_fanout: int = 65536) -> Da
     )
     if not any_wide:
         return found
-    hubs = kept.join(broadcast_if_small(wide), "src").withColumn("block", F.floor(F.col("dst") / F.lit(max_fanout)).cast("bigint"))
+    hubs = hub_blocks(kept.join(broadcast_if_small(wide), "src"), max_fanout)
     summed = running_sum(hubs, ["src"], "block", ["dst"], "weight", "cume", total="wsum")
     return found.unionByName(summed.select("src", "dst", "weight", "wsum", "cume", "block"))
 

@@ -24,7 +24,7 @@ class Adjacency:
     ``lists``: (node, block, salt, wsum, cumes[], dsts[], hots[]).
     ``wide``: (node, salt, wide_wsum, ends[], blocks[]) for sources cut into several blocks, else None.
     ``hot``: nodes whose rows are copied ``salts`` times because many walks may stand on them.
-    ``split``: whether there are any; if not, ``node`` alone is the key.
+    ``split``: whether there are any, or any wide source; if not, ``node`` alone is the key.
     ``longest``: the most entries that a list has; a search takes enough steps for it.
     """
 
@@ -43,17 +43,37 @@ def _salted(df: DataFrame, hot: DataFrame, salts: int) -> DataFrame:
     return flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), copies))).drop("_hot")
 
 
+def hot_nodes(cdf: DataFrame, hot_degree: int, rounds: int = 4) -> DataFrame:
+    """(node) on which more than ``hot_degree`` walks may arrive in one hop, counted as one walk from every source.
+
+    Nodes with that many in-edges come first. The walks then move on from these: a node that they reach with enough
+    probability is hot as well, whatever its in-degree, for up to ``rounds`` steps. At most edges / ``hot_degree`` nodes
+    start; a node without either is never copied.
+    """
+    arrivals = cdf.groupBy(F.col("dst").alias("node")).agg(F.count("*").cast("double").alias("n"))
+    found = newest = materialize(arrivals.filter(F.col("n") > hot_degree))
+    for _ in range(rounds):
+        if newest.isEmpty():
+            break
+        leaving = cdf.join(broadcast_if_small(newest.withColumnRenamed("node", "src")), "src")
+        moved = leaving.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("n") * F.col("weight") / F.col("wsum")).alias("n"))
+        fresh = moved.filter(F.col("n") > hot_degree).join(found.select("node"), "node", "left_anti")
+        newest = materialize(fresh)
+        found = found.unionByName(newest)
+    return materialize(found.select("node"))
+
+
 def build_adjacency(
     cdf: DataFrame, hot_degree: int = 1_000_000, salts: int = 64, partitions: int | None = None
 ) -> Adjacency:
     """Collapse the cumulative weights to one row per (source, block), partitioned for the hops.
 
-    A node is hot when it has over ``hot_degree`` in-edges (many walks arrive) or several blocks.
+    Only the lists of nodes where many walks arrive are copied (``hot_nodes``). A long list alone is no reason: it is cut
+    into blocks, and its walks spread over them.
     """
-    incoming = cdf.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > hot_degree)
     spread = cdf.groupBy(F.col("src").alias("node")).agg(F.min("block").alias("a"), F.max("block").alias("b"))
     wide_nodes = spread.filter(F.col("a") != F.col("b")).select("node")
-    hot = materialize(incoming.select("node").union(wide_nodes).distinct())
+    hot = hot_nodes(cdf, hot_degree)
     known_hot = broadcast_if_small(hot)
     flagged = cdf.join(known_hot.select(F.col("node").alias("dst"), F.lit(True).alias("hot")), "dst", "left").withColumn(
         "hot", F.coalesce("hot", F.lit(False))
@@ -67,12 +87,13 @@ def build_adjacency(
             F.col("entries.cume").alias("cumes"), F.col("entries.dst").alias("dsts"), F.col("entries.hot").alias("hots"),
         )
     )
-    split = not hot.isEmpty()
+    any_wide = not wide_nodes.isEmpty()
+    split = any_wide or not hot.isEmpty()
     lists = materialize_bucketed(
         _salted(lists, known_hot, salts), ["node", "block", "salt"] if split else ["node"], partitions
     )
     wide = None
-    if not wide_nodes.isEmpty():
+    if any_wide:
         ends = F.array_sort(F.collect_list(F.struct(F.element_at("cumes", -1).alias("end"), "block")))
         per_node = (
             lists.join(wide_nodes, "node", "left_semi")

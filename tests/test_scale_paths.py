@@ -30,6 +30,33 @@ def test_blocked_cdf_equals_plain_cdf(hub_edges):
     assert rounded(plain) == rounded(blocked)
 
 
+def test_far_neighbours_share_blocks(spark):
+    """Ids a million apart still fill blocks: their number follows the edges."""
+    edges = spark.createDataFrame([(0, i * 1_000_003, 1.0 + i % 3) for i in range(1, 65)], "src bigint, dst bigint, weight double")
+    blocked = graph.build_cdf(edges, max_fanout=8)
+    sizes = blocked.groupBy("block").count()
+    assert sizes.count() <= 16 and sizes.agg(F.max("count")).first()[0] <= 8
+    same = lambda df: rows(df.select("dst", *[F.round(c, 9) for c in ("wsum", "cume")]))
+    assert same(blocked) == same(graph.build_cdf(edges))
+
+
+def test_only_nodes_that_walks_reach_are_copied(spark):
+    """Node 0 has a list of many blocks and one in-edge; 1 is everyone's target and passes its walks on to 2, then 3."""
+    edges = [(0, i, 1.0) for i in range(1, 61)] + [(i, 1, 1.0) for i in range(4, 61)] + [(1, 2, 1.0), (2, 3, 1.0), (3, 0, 0.1), (3, 9, 9.0)]
+    edges = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
+    cdf = graph.build_cdf(edges, log=False, max_fanout=8)
+    adjacency = walks.build_adjacency(cdf, hot_degree=40, salts=64)
+    assert {r[0] for r in rows(adjacency.hot)} == {1, 2, 3, 9}
+    assert adjacency.wide is not None and adjacency.wide.count() == 1
+    assert adjacency.lists.filter("node = 0").agg(F.sum(F.size("dsts"))).first()[0] == 60
+    assert adjacency.lists.agg(F.sum(F.size("dsts"))).first()[0] == edges.count() + 63 * 5
+    cold = walks.build_adjacency(cdf)
+    assert cold.hot.isEmpty() and cold.lists.agg(F.sum(F.size("dsts"))).first()[0] == edges.count()
+    seeds = edges.select(F.col("src").alias("node_id")).distinct()
+    expected = rows(walks.random_walks(seeds, walks.build_adjacency(graph.build_cdf(edges, log=False)), 9))
+    assert expected == rows(walks.random_walks(seeds, adjacency, 9)) == rows(walks.random_walks(seeds, cold, 9))
+
+
 @pytest.mark.parametrize("policy", walks.POLICIES)
 def test_hub_walks_equal_plain_walks(spark, hub_edges, policy):
     seeds = hub_edges.select(F.col("src").alias("node_id")).distinct()
