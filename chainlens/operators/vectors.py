@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector_math import l2_normalize
+from ..session import broadcast_if_small, materialize
 from . import traffic
 
 AXIS_LIMIT = 20_000
 # Cells of one matrix product: 32 MB a float64 array, whatever the batch and the axis.
 CELLS = 4_000_000
+_CLOSE = 65_536  # near pairs whose differences are taken at a time
 
 
 def row_chunks(rows: int, width: int, cells: int = CELLS) -> Iterator[slice]:
@@ -36,10 +38,24 @@ def _score_block(kind: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     if kind == "cosine":
         scale = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
         return np.divide(left @ right.T, scale, out=np.zeros_like(scale), where=scale > 0)
-    squares = np.stack([((left - row) ** 2).sum(axis=1) for row in right], axis=1)
-    with np.errstate(divide="ignore"):
-        inverse = np.where(squares > 0, 1.0 / np.sqrt(squares), np.nan)
-    return inverse if kind == "inverse_euclidean" else inverse**2
+    squares = _square_distances(left, right)
+    return np.reciprocal(np.sqrt(squares, out=squares) if kind == "inverse_euclidean" else squares, out=squares)
+
+
+def _square_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances from one matrix product, or from the differences where it would cancel; missing for equal vectors."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        own, other = np.einsum("ij,ij->i", left, left)[:, None], np.einsum("ij,ij->i", right, right)[:, None]
+        squares = np.hstack([-2.0 * left, own, np.ones_like(own)]) @ np.hstack([right, np.ones_like(other), other]).T
+        least = 1e-3 * (own + (other.max() if len(other) else 0.0))
+        near = np.flatnonzero(~(squares.min(axis=1, keepdims=True, initial=np.inf) > least))
+        place, column = np.nonzero(~(squares[near] > least[near]))
+        row = near[place]
+        for at in range(0, len(row), _CLOSE):
+            i, j = row[at: at + _CLOSE], column[at: at + _CLOSE]
+            exact = ((left[i] - right[j]) ** 2).sum(axis=1)
+            squares[i, j] = np.where(exact == 0, np.nan, exact)
+    return squares
 
 
 def _softmax_rows(block: np.ndarray, keys: list) -> np.ndarray:
@@ -133,6 +149,7 @@ class GroupedAxis:
         held = frame["group"].to_numpy()[order]
         self.starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, np.int64)
         self.groups = held[self.starts]
+        self.sizes = np.diff(np.r_[self.starts, len(held)])
         self.places = pd.DataFrame({"key": self.keys, "column": np.arange(len(self.keys))})
 
     def own_cells(self, ids: Sequence) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +158,42 @@ class GroupedAxis:
         return met["row"].to_numpy(), met["column"].to_numpy()
 
     def sums(self, kind: str, ids: Sequence, left: np.ndarray, skip_self: bool, cells: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """(rows, total, number) per group for slices of the rows; no array is over ``cells`` (or a row of it)."""
+        """(rows, total, number) per group for slices of the rows; no array is over ``cells`` (or a row of it).
+
+        A cosine's sum over a group is the product with the sum of the group's unit vectors, so its cost follows the groups.
+        """
         row, column = self.own_cells(ids) if skip_self else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if kind == "cosine" and len(self.keys) and np.isfinite(self.matrix).all() and np.isfinite(left).all():
+            units, own = unit_rows(self.matrix), unit_rows(left)
+            merged = np.add.reduceat(units, self.starts, axis=0)
+            group = np.searchsorted(self.starts, column, side="right") - 1
+            for part in row_chunks(len(left), len(self.groups), cells):
+                total = _score_block("dot", own[part], merged)
+                number = np.tile(self.sizes, (len(total), 1))
+                mine = (row >= part.start) & (row < part.stop)
+                place = (row[mine] - part.start, group[mine])
+                np.subtract.at(total, place, np.einsum("ij,ij->i", own[row[mine]], units[column[mine]]))
+                np.subtract.at(number, place, 1)
+                yield part, total, number
+            return
         for part in row_chunks(len(left), len(self.keys), cells):
             block = _score_block(kind, left[part], self.matrix)
             mine = (row >= part.start) & (row < part.stop)
             block[row[mine] - part.start, column[mine]] = np.nan
-            valid = ~np.isnan(block)
-            number = np.add.reduceat(valid, self.starts, axis=1, dtype=np.int64)
-            block[~valid] = 0.0
+            number = np.tile(self.sizes, (len(block), 1))
+            odd = np.flatnonzero(np.isnan(block.sum(axis=1)))
+            place, missing = np.nonzero(np.isnan(block[odd]))
+            block[odd[place], missing] = 0.0
+            np.subtract.at(number, (odd[place], np.searchsorted(self.starts, missing, side="right") - 1), 1)
             yield part, np.add.reduceat(block, self.starts, axis=1), number
 
 
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
 def mean_scores_by_group(
     vectors: DataFrame, axis: DataFrame, kind: str = "cosine", skip_self: bool = True, limit: int = AXIS_LIMIT,
     cells: int = CELLS,
@@ -188,23 +229,132 @@ def mean_scores_by_group(
         ready = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
         return ready.mapInArrow(means, f"id {id_type}, group {group_type}, score double")
 
-    def sums_of(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["id", "group", "total", "n"], dtype=object)
-        known = GroupedAxis(b["axis_key"], b["axis_group"], np.stack(b["axis_vector"]).astype("float64"))
-        ids, made = a["own_id"].to_numpy(), []
-        for part, total, number in known.sums(kind, ids, np.stack(a["own_vector"]).astype("float64"), skip_self, cells):
-            made.append(pd.DataFrame({
-                "id": _plain(np.repeat(ids[part], len(known.groups))), "group": _plain(np.tile(known.groups, len(total))),
-                "total": total.ravel(), "n": number.ravel().astype("float64")}))
-        return pd.concat(made)
-
-    side = min(limit, math.isqrt(cells))  # a shard's rows x a block's groups stay within the cells
-    left, right = _sharded(vectors.select("id", "vector"), axis.select(columns), side)
-    parts = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(
-        sums_of, f"id {id_type}, group {group_type}, total double, n double"
+    if kind == "cosine":
+        found = _mean_cosines(vectors, axis, skip_self, limit, cells)
+        if found is not None:
+            return found
+
+    def sums_of(a: pa.Table, b: pa.Table) -> pa.Table:
+        fields = pa.schema([("id", a["own_id"].type), ("group", b["axis_group"].type), ("total", pa.float64()), ("n", pa.int64())])
+        made = [fields.empty_table()]
+        if a.num_rows and b.num_rows:
+            known = GroupedAxis(b["axis_key"].to_pylist(), b["axis_group"].to_pylist(), _matrix(b["axis_vector"]))
+            ids, names = a["own_id"].combine_chunks(), pa.array(known.groups.tolist(), fields.field("group").type)
+            for part, total, number in known.sums(kind, ids.to_pylist(), _matrix(a["own_vector"]), skip_self, cells):
+                which = np.repeat(np.arange(part.start, part.stop), len(names))
+                made.append(pa.table([ids.take(pa.array(which)), names.take(pa.array(np.tile(np.arange(len(names)), len(total)))),
+                                      pa.array(total.ravel()), pa.array(number.ravel())], schema=fields))
+        return pa.concat_tables(made)
+
+    left, right = _sharded_by_group(vectors.select("id", "vector"), axis.select(columns), min(limit, max(1, cells // 200)))
+    parts = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(
+        sums_of, f"id {id_type}, group {group_type}, total double, n bigint"
     )
-    return parts.groupBy("id", "group").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("score"))
+    # A group is in few blocks, so there is little to add before the shuffle; by id alone, what is done per id later stays in place.
+    return parts.repartition("id").groupBy("id", "group").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("score"))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = held.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return flat.reshape(len(held), len(flat) // max(1, len(held)))
+
+
+def _mean_cosines(vectors: DataFrame, axis: DataFrame, skip_self: bool, limit: int, cells: int) -> DataFrame | None:
+    """``mean_scores_by_group`` for cosines over at most ``limit`` groups of any size, else None.
+
+    A group is the sum of its members' unit vectors, so no wallet meets a member but the one of its own key, which is
+    taken off again. Members that are not finite have no such sum: None as well.
+    """
+    id_type, group_type = dict(vectors.dtypes)["id"], dict(axis.dtypes)["group"]
+
+    def merged(by: list[str]) -> DataFrame:
+        """(by, vector, n): sum and number of the unit vectors, a row a batch of members and value of ``by``."""
+        types = dict(axis.dtypes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = pa.table({c: batch.column(i) for i, c in enumerate(by)}).append_column("_row", pa.array(np.arange(batch.num_rows)))
+                found = keys.group_by(by).aggregate([("_row", "list")])["_row_list"].combine_chunks()
+                rows, starts = found.flatten().to_numpy(), found.offsets.to_numpy()
+                sums = np.add.reduceat(unit_rows(_matrix(batch.column(len(by))))[rows], starts[:-1], axis=0)
+                ends = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i).take(pa.array(rows[starts[:-1]])) for i in range(len(by))],
+                     pa.ListArray.from_arrays(ends, pa.array(sums.ravel())), pa.array(np.diff(starts).astype(np.int64))], names=[*by, "vector", "n"])
+
+        given = axis.select(*by, F.col("vector").cast("array<double>").alias("vector"))
+        return given.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in by) + ", vector array<double>, n bigint")
+
+    odd = F.exists(F.col("vector").cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if not axis.filter(F.col("vector").isNull() | odd).isEmpty():
+        return None
+    summed = merged(["group"]).select("group", "n", F.posexplode("vector").alias("_at", "_x")).groupBy("group", "_at").agg(
+        F.sum("_x").alias("_x"), F.sum("n").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_x")))
+    rows = summed.groupBy("group").agg(ordered.getField("_x").alias("vector"), F.max("n").alias("n")).take(limit + 1)
+    if len(rows) > limit:
+        return None
+    place = {row["group"]: i for i, row in enumerate(rows)}
+    sums, sizes = np.array([row["vector"] for row in rows]), np.array([row["n"] for row in rows], np.int64)
+    ready = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    if skip_self:
+        own = merged(["key", "group"]).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("group", "vector", "n")).alias("own"))
+        ready = ready.join(own, F.col("id") == F.col("_key"), "left").drop("_key")
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(place))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vector = _matrix(batch.column(1))
+            endless = np.isinf(vector).any(axis=1) & ~np.isnan(vector).any(axis=1)
+            left = unit_rows(np.where(np.isfinite(vector).all(axis=1, keepdims=True), vector, 0.0))
+            row = column = taken = np.zeros(0, np.int64)
+            if skip_self:
+                own = batch.column(2).flatten()
+                row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().fill_null(0).to_numpy())
+                column = np.array([place[g] for g in own.field("group").to_pylist()], np.int64)
+                taken = own.field("n").to_numpy()
+                score = np.einsum("ij,ij->i", left[row], _matrix(own.field("vector")).reshape(len(row), left.shape[1]))
+            for part in row_chunks(batch.num_rows, len(names), cells):
+                total, number = left[part] @ sums.T, np.tile(sizes, (part.stop - part.start, 1))
+                mine = (row >= part.start) & (row < part.stop)
+                if mine.any():
+                    np.subtract.at(total, (row[mine] - part.start, column[mine]), score[mine])
+                    np.subtract.at(number, (row[mine] - part.start, column[mine]), taken[mine])
+                number[endless[part]] = 0
+                mean = np.divide(total, number, out=np.zeros_like(total), where=number > 0).ravel()
+                which = np.repeat(np.arange(part.start, part.stop), len(names))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(which)), names.take(pa.array(np.tile(np.arange(len(names)), len(total)))),
+                     pa.array(mean, mask=number.ravel() == 0)], names=["id", "group", "score"])
+
+    return ready.mapInArrow(means, f"id {id_type}, group {group_type}, score double")
+
+
+def _sharded_by_group(vectors: DataFrame, axis: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides keyed by (block, shard), blocks of about ``side`` members of whole groups where they fit.
+
+    A group above ``side`` has blocks of its own; others share blocks. So a (vector, group) has few partial sums, and with long
+    blocks and shards the copies of either side are few.
+    """
+    sizes = broadcast_if_small(axis.groupBy(F.col("group").alias("_group")).agg(F.count("*").alias("_n")))
+    shared = max(1, math.ceil(axis.count() / side))
+    shards = max(1, math.ceil(vectors.count() / side))
+    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("_n") / F.lit(side)))
+    block = F.when(F.col("_n") > side, F.xxhash64("group", salt)).otherwise(F.pmod(F.xxhash64("group"), F.lit(shared)))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
+    placed = axis.join(sizes, F.col("group").eqNullSafe(F.col("_group"))).withColumn("block", block)
+    blocks = materialize(placed.select("block").distinct())  # about members / side rows
+    right = placed.select("block", *[F.col(c).alias(f"axis_{c}") for c in ("key", "group")],
+                          F.col("vector").cast("array<double>").alias("axis_vector")).withColumn("shard", every)
+    left = vectors.select(F.col("id").alias("own_id"), F.col("vector").cast("array<double>").alias("own_vector"))
+    left = left.withColumn("shard", F.pmod(F.xxhash64("own_id"), F.lit(shards))).crossJoin(F.broadcast(blocks))
+    return left, right
 
 
 def _plain(values: np.ndarray) -> pd.Series:
@@ -435,7 +585,7 @@ def score_wallets(
     similarity = means_by_exchange.select(
         F.col("id").alias("wallet"), F.col("group").alias("exchange"), F.col("score").alias("similarity")
     )
-    scores = traffic.country_score(traffic.join_trend_similarity(trend, similarity))
+    scores = materialize(traffic.country_score(traffic.join_trend_similarity(trend, similarity)))  # the normalizers read it more than once
     if normalizer == "softmax":
         ranked = softmax_by(scores, ["wallet"], "score", "norm_score", tau=0.1)
     else:

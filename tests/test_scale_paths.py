@@ -325,3 +325,38 @@ def test_groups_of_repeated_keys(spark):
     expect = [("a", "x", None), ("a", "y", 1.0), ("c", "x", 2.0), ("c", "y", 1.0)]
     for limit in (100, 1):
         assert rows(vectors.mean_scores_by_group(wallets, members, "dot", limit=limit)) == rows(spark.createDataFrame(expect, "id string, group string, score double"))
+
+
+def test_cosine_means_never_pair_wallets_with_members(points, monkeypatch):
+    """23 members in 4 groups: the products are as wide as the groups, on a short axis and on a long one."""
+    wallets = points.withColumnRenamed("key", "id").select("id", "vector")
+    rounded = lambda df: rows(df.select("id", "group", F.round("score", 9)))
+    short = rounded(vectors.mean_scores_by_group(wallets, points))
+    assert len(short) == 23 * 4
+    monkeypatch.setattr(vectors, "_sharded_by_group", lambda *a: pytest.fail("pairs were made"), raising=False)
+    assert rounded(vectors.mean_scores_by_group(wallets, points, limit=10)) == short
+    held = points.collect()
+    axis = vectors.GroupedAxis([r.key for r in held], [r.group for r in held], vectors.np.array([r.vector for r in held]))
+    inner, seen = vectors._score_block, []
+    monkeypatch.setattr(vectors, "_score_block", lambda *a: seen.append(inner(*a)) or seen[-1])
+    list(axis.sums("cosine", [r.key for r in held], axis.matrix, True, 1000))
+    assert all(block.shape[1] == 4 for block in seen)
+
+
+def test_long_blocks_hold_whole_groups(spark):
+    """400 members in 4 groups and sides of 100: a group meets a vector in one or two blocks, not in all."""
+    given = [(f"k{i:03d}", f"g{i % 4}", [float(i), 1.0]) for i in range(400)]
+    axis = spark.createDataFrame(given, "key string, group string, vector array<double>")
+    _, right = vectors._sharded_by_group(axis.select(F.col("key").alias("id"), "vector"), axis, 100)
+    assert right.groupBy("axis_group").agg(F.count_distinct("block").alias("n")).agg(F.max("n")).first()[0] <= 2
+
+
+def test_distances_of_close_vectors_are_exact():
+    import numpy as np
+
+    left = np.array([[1e6, 1.0], [1e6, 1.0 + 1e-9], [0.0, 2.0]])
+    right = np.array([[1e6, 1.0], [1e6 + 1e-3, 1.0], [3.0, 2.0]])
+    squares = ((left[:, None, :] - right[None, :, :]) ** 2).sum(axis=2)
+    expected = np.where(squares > 0, 1.0 / np.where(squares > 0, squares, 1.0), np.nan)
+    assert np.allclose(vectors._score_block("inverse_quadratic", left, right), expected, rtol=1e-9, equal_nan=True)
+    assert np.allclose(vectors._score_block("inverse_euclidean", left, right), np.sqrt(expected), rtol=1e-9, equal_nan=True)
