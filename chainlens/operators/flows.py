@@ -30,6 +30,16 @@ def country_flows(labelled: DataFrame) -> DataFrame:
     )
 
 
+def flow_between(transfers: DataFrame, address_country: DataFrame) -> DataFrame:
+    """``country_flows`` of raw transfers, which meet the countries of senders and receivers and are summed at once.
+
+    Sums per pair of addresses would be as many as the transfers where pairs hardly repeat: one shuffle more for nothing.
+    Transfers with an unknown end leave with the first join that finds it.
+    """
+    needed = transfers.select("from_address", "to_address", "amount", "amount_usd").dropna(subset=["from_address", "to_address"])
+    return country_flows(label_flow(needed, address_country.dropna(subset=["address", "country"])))
+
+
 def flow_share(*flows: DataFrame) -> DataFrame:
     """(source, target, amount_usd, amount_usd_pct) over the union of the tokens' flows."""
     merged = flows[0]

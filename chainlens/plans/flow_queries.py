@@ -30,11 +30,11 @@ common("net_pair", """
 
 
 def token_flow_of(t):
-    return flows.country_flows(flows.label_flow(flows.sum_pairs(t["token_transfer"]), t["address_country"]))
+    return flows.flow_between(t["token_transfer"], t["address_country"])
 
 
 def pairs_of(t):
-    native = flows.country_flows(flows.label_flow(flows.sum_pairs(t["native_transfer"]), t["address_country"]))
+    native = flows.flow_between(t["native_transfer"], t["address_country"])
     return flows.flow_share(token_flow_of(t), native)
 
 
@@ -106,7 +106,7 @@ def _(t):
     SELECT from_country, to_country, round(amount_usd, 4) AS amount_usd
     FROM (SELECT * FROM flow UNION ALL SELECT * FROM native_flow) u""")
 def _(t):
-    native = flows.country_flows(flows.label_flow(flows.sum_pairs(t["native_transfer"]), t["address_country"]))
+    native = flows.flow_between(t["native_transfer"], t["address_country"])
     both = transfers.union_all(token_flow_of(t), native)
     return both.select("from_country", "to_country", F.round("amount_usd", 4).alias("amount_usd"))
 
