@@ -360,3 +360,58 @@ def test_distances_of_close_vectors_are_exact():
     expected = np.where(squares > 0, 1.0 / np.where(squares > 0, squares, 1.0), np.nan)
     assert np.allclose(vectors._score_block("inverse_quadratic", left, right), expected, rtol=1e-9, equal_nan=True)
     assert np.allclose(vectors._score_block("inverse_euclidean", left, right), np.sqrt(expected), rtol=1e-9, equal_nan=True)
+
+
+def test_negatives_are_the_same_joined_and_in_place(spark):
+    """Ranks of 300 tokens: workers that hold the distribution draw what the join by cells draws."""
+    vocab = spark.createDataFrame([(1000 + i, 300 // (i + 1) + 1, i) for i in range(300)], "id bigint, count bigint, index bigint")
+    noise = skipgram.noise_distribution(vocab)
+    pairs = spark.range(500).select(F.col("id").alias("walk_id"), F.lit(0).alias("pos"), F.lit(1).alias("ctx_pos"))
+    for uniform in ("hashed", "portable"):
+        place = skipgram.sample_negatives(pairs, noise, 4, uniform=uniform)
+        joined = skipgram.sample_negatives(pairs, noise, 4, uniform=uniform, limit=10)
+        names = ("walk_id", "draw", "negative")
+        assert rows(place, *names) == rows(joined, *names) and place.count() == 2000
+        assert "Join" not in place._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_turns_follow_the_work():
+    """Small parts on request do not make a job for each; many pairs make tasks where one part would be one task."""
+    assert skipgram.part_count(216_000, 8_000_000, 200) == 16
+    assert skipgram.part_count(216_000, 8_000_000, 500_000) == 5
+    assert skipgram.part_count(60, 30_000, 20) == 3 and skipgram.part_count(60, 30_000, 100_000) == 1
+    assert skipgram.part_count(50_000_000, 1, 200) == 100 and skipgram.part_count(0, 0, 10) == 1
+
+
+def test_hops_sort_no_lists(spark, hub_edges):
+    adjacency = walks.build_adjacency(graph.build_cdf(hub_edges))
+    frontier = spark.range(20).select(F.col("id").alias("node"), F.lit(False).alias("hot"), F.lit(0.5).alias("u"), F.col("id").alias("k"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = walks.next_hop(frontier, adjacency, "u", "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "BuildLeft" in plan and "Sort [" not in plan
+
+
+def test_flows_need_no_sums_per_pair(spark):
+    """Unknown, null and repeated addresses count as in the sums per pair; the only sum is that of the countries."""
+    from chainlens.operators import flows
+
+    given = [(f"a{i % 7}" if i % 11 else None, f"a{i % 5}", float(i), float(i) if i % 3 else None) for i in range(200)]
+    sent = spark.createDataFrame(given, "from_address string, to_address string, amount double, amount_usd double")
+    known = spark.createDataFrame([("a0", "X"), ("a1", "Y"), ("a1", "Z"), ("a2", "X"), ("a3", None), (None, "Y")], "address string, country string")
+    found = flows.flow_between(sent, known)
+    assert rows(found) == rows(flows.country_flows(flows.label_flow(flows.sum_pairs(sent), known))) and found.count() > 4
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_partial_sums_meet_in_bounded_partitions(spark):
+    from chainlens.operators import transfers
+
+    sums = spark.range(300).selectExpr("CAST(id AS STRING) AS from_address", "'b' AS to_address", "1.0D AS amount_usd")
+    merged = transfers.merge_partial_edges(sums, sums, per_task=20)
+    assert merged.count() == 300 and merged.agg(F.sum("amount_usd")).first()[0] == 600.0
+    assert "hashpartitioning(from_address" in (plan := merged._jdf.queryExecution().optimizedPlan().toString()) or "30" in plan
+    assert "RepartitionByExpression" in plan and ", 30" in plan
