@@ -39,7 +39,7 @@ _BITS = 21
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code point of each letter; _EDGE for all that is not a letter."""
-    return np.array([c if chr(c).isalpha() else _EDGE for c in range(0x110000)], np.int64)
+    return np.fromiter((c if chr(c).isalpha() else _EDGE for c in range(0x110000)), np.int32, 0x110000)
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -112,6 +112,7 @@ def learn_profiles(rows: DataFrame, size: int = SIZE, sample: int = SAMPLE) -> D
                     [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)],
                     names=["lang", "code", "n"],
                 )
+        pa.default_memory_pool().release_unused()  # reused workers would hold it through the next stages
 
     labelled = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     counted = _sampled(labelled, sample).select("lang", "text").mapInArrow(count, "lang string, code bigint, n bigint")
@@ -162,6 +163,7 @@ def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
                 [*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                 names=[*kept, "lang_pred", "score"],
             )
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*kept).mapInArrow(run, f"{fields}, lang_pred string, score double")
 

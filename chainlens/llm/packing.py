@@ -87,6 +87,10 @@ class Encoder:
         for token, number in vocabulary.items():
             self.closes[number] = set(token.removesuffix("</w>")) <= set(".!?") and token != "</w>"
 
+    def forget(self) -> None:
+        """Drop the remembered words: a worker that goes on to other work holds the tokenizer alone."""
+        self.known, self.runs = {}, {}
+
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
@@ -256,11 +260,12 @@ class Packer:
 
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-    end_id: int = END_ID, sentence: int = 4, inside: int = 16, with_ids: bool = False,
+    end_id: int = END_ID, sentence: int = 4, inside: int = 16, with_ids: bool = False, remember: bool = True,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` on request.
 
-    ``tokenizer`` is the path of a tokenizer file that every machine has.
+    ``tokenizer`` is the path of a tokenizer file that every machine has. Without ``remember`` a worker forgets the ids of
+    known words at the end of a task, so that it holds little when it takes up another stage.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -272,6 +277,8 @@ def pack(
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from packer.add(doc, np.concatenate([encoder.ids(text.as_py() or ""), end]))
         yield from packer.finish()
+        if not remember:
+            encoder.forget()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -295,6 +302,8 @@ def pack(
                 held, size = [], 0
         if held:
             yield made(held)
+        if not remember:
+            pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"{n} bigint" for n in chain(names)) + ", ids array<int>" * with_ids
     rows_in = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
